@@ -23,8 +23,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), bpe_vocabulary())
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Scheme(words=3, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe}
+    return {"op6_bpe": op6_bpe, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
@@ -41,3 +42,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000)
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+#: bytes.translate table for the same; bytes.split() without arguments then splits at the same six bytes as WORD.
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8 with A-Z lower-cased; none for null."""
+    return text.encode().translate(LOWER_BYTES).split() if text else []
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64 over a uint64 array."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
