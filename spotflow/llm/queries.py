@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from spotflow.llm.text import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +31,28 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Scheme(words=3, percent=85))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.filter(~held))
+    rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs.filter(~held), _table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe, "op9_minhash": op9_minhash}
+    return {"op6_bpe": op6_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
