@@ -4,22 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotflow.llm import bpe
+from spotflow.llm import bpe, langid, minhash, mixing, toxicity
 from spotflow.llm.queries import bpe_vocabulary
 from spotflow.session import materialize
 
-#: No stage but the last step of mixing has a DuckDB form; the stages are tested against brute force.
+#: None of the stages can be said in SQL; they are tested against brute force.
 ORACLE_SQL = None
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised: those without a letter and those that fit no language go."""
+    return langid.predict(docs, langid.fit(docs)).filter(~F.col("rejected")).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are less than even odds to be toxic, learned from the labels of those at hand."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: every document as often as its source's target takes it."""
+    return mixing.repeat(docs)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, with the digest of their decoding."""
+    """Token ids of every document that is left, with the digests of ids and decoding."""
     return bpe.digest(docs, bpe_vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", keep_languages),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
     ("bpe", encode_tokens),
 ]
 

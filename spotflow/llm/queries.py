@@ -19,6 +19,12 @@ def bpe_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotflow.llm import bpe
 
@@ -52,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
+    return {"op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
