@@ -26,6 +26,12 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import multi_index
+
+    return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotflow.llm import mixing
 
@@ -44,6 +50,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Scheme(words=3, percent=85))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import topk
+
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotflow.llm import langid
 
@@ -65,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
+    return {"op1_html": op1_html, "op2_embedding": op2_embedding, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
