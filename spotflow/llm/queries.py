@@ -32,6 +32,15 @@ def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import interpolation
+
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    scored = interpolation.score(_table(spark, sf_dir, "documents"), ~held)
+    columns = [c for c in scored.columns if c != "doc_id"]
+    return scored.select("doc_id", held.alias("held_out"), *columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotflow.llm import mixing
 
@@ -77,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_embedding": op2_embedding, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
+    return {"op1_html": op1_html, "op2_embedding": op2_embedding, "op3_lm_score": op3_lm_score, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
