@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from spotflow.llm.text import mix64, slices
+from spotflow.session import materialize
 
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
@@ -210,9 +211,12 @@ def fit(docs: DataFrame, sample_chars: int = 2_000_000) -> LanguageModel | None:
     sampled rows give the counts, the fifth calibrates confidence and rejection.
     """
     rows = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()  # a row a language, as the model has
+    if not sizes:
+        return None
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, sample_chars / r.chars))])
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(sizes, "lang").filter(place * F.col("chars") < sample_chars).select("lang", "text").dropDuplicates()
+    picked = materialize(rows.filter(place < share[F.col("lang")]).dropDuplicates(["lang", "text"]), "sample")
     held = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(5)) == 0
     counts = _gram_counts(picked.filter(~held))
     if counts.empty:

@@ -6,10 +6,10 @@ until one is filled (optimal densification), so every bin agrees between two doc
 probability of their Jaccard similarity. `rows` adjacent bins make a band, and documents that agree
 in a band share a bucket.
 
-Candidates of a bucket form a star around its smallest document instead of all pairs. Links are
-confirmed on the full sets of shingles. Members of a bucket that the star left in different
-components go into a further round with twice the number of hubs, until no bucket holds two
-components whose members were never compared; no bucket is capped.
+Candidates of a bucket form a star around its smallest document instead of all pairs, and links are
+confirmed on the full sets of shingles, for each document first with the hub it shares most bands
+with. Buckets whose members are still in different components after that are open: their members are
+compared block by block inside tasks that return links only. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -21,12 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spotflow.llm.text import lower_words, mix64, slices
 from spotflow.operators.components import connected_components
 from spotflow.session import materialize
 
+#: Documents in a block of the comparison of open buckets, and in a family that is compared as a whole.
+TILE, FAMILY = 128, 20_000
+#: Bits of the largest filter of document ids.
+FILTER = 1 << 27
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -37,7 +41,7 @@ class Scheme:
     words: int = 5
     percent: int = 80
     rows: int = 8
-    miss: float = 1e-7
+    miss: float = 1e-6
 
     @property
     def bands(self) -> int:
@@ -106,13 +110,41 @@ def _sketch(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<long>")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents named in ids: all their shingle hashes as bytes. Some others may come
+    along, which joins on id then leave out.
+
+    Texts are not shuffled to find those that are named: a bitmap of hashed ids, of at most FILTER bits
+    whatever the input, goes to the tasks that read them. More ids than it can tell apart are joined.
+    """
+    named = materialize(ids.select("id").distinct(), "ids")
+    n = named.count()
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    size = max(64, 1 << (16 * n).bit_length())
+    if size > FILTER:
+        text, bitmap = text.join(named, "id", "left_semi").withColumn("h", F.lit(0).cast("long")), None
+    else:
+        at = F.pmod(F.xxhash64("id"), F.lit(size))
+        text = text.withColumn("h", at)
+        marks = named.groupBy(F.floor(at / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias("bits")).toPandas()
+        bitmap = np.zeros(size // 32, dtype=np.uint32)
+        bitmap[marks["word"].to_numpy(dtype=np.int64)] = marks["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2_000_000):
-            found = [shingle_set(t, scheme.words).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "shingles"])
+        for batch in batches:
+            if shared.value is not None:
+                h = batch.column("h").to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((shared.value[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool)))
+            for part in slices(iter([batch]), "text", 2_000_000):
+                found = [shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], names=["id", "shingles"])
+
+    return materialize(text.filter("id IS NOT NULL").mapInArrow(sets, "id long, shingles binary"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +153,85 @@ def _confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
                 both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= scheme.percent * (len(both) - common))
+                keep.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    full = materialize(text.mapInArrow(sets, "id long, shingles binary"), "sets")
-    x = full.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    y = full.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     return materialize(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(linked, "a long, b long").distinct(), "links")
 
 
+def tile_links(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components among the documents of a tile, as many as connect what can be
+    connected. Within one block all pairs are compared; of two blocks the pairs across."""
+    n = len(ids)
+    size = np.array([len(s) for s in sets])
+    doc = np.repeat(np.arange(n), size)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often > 1)
+    place = np.full(len(often), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    doc, column = doc[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    common = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, len(shared), 16_384):  # some columns at a time
+        i, j = np.searchsorted(column, [lo, lo + 16_384])
+        m = np.zeros((n, min(16_384, len(shared) - lo)), dtype=np.float32)
+        m[doc[i:j], column[i:j] - lo] = 1
+        common += m @ m.T
+    link = 100.0 * common >= percent * (size[:, None] + size[None, :] - common.astype(np.float64))
+    link &= comps[:, None] != comps[None, :]
+    if blocks.min() != blocks.max():
+        link &= blocks[:, None] != blocks[None, :]
+    out, root = [], {c: c for c in comps.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for a, b in np.argwhere(np.triu(link, 1)):
+        x, y = find(int(comps[a])), find(int(comps[b]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _compare_open(open_members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) between members of open buckets that are still in different components.
+
+    open_members: key, id, c (component) and hub. The buckets' stars form families. All of a family of
+    at most FAMILY documents are compared with each other; of a larger one the members of each bucket,
+    so that work stays bounded by what shares a bucket. Groups are cut into blocks of TILE documents,
+    and one task compares two blocks; it returns links, never pairs.
+    """
+    families = connected_components(open_members.select(F.col("hub").alias("a"), F.col("id").alias("b")), "a", "b")
+    sizes = families.groupBy("component").agg(F.count("*").alias("m"))
+    named = materialize(families.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), "m"), "families")
+    whole = open_members.select("id", "c").distinct().join(named.filter(F.col("m") <= FAMILY), "id").select(F.col("family").alias("g"), F.lit(0).alias("kind"), "id", "c", "m")
+    rest = open_members.select("key", "id", "c").join(named.filter(F.col("m") > FAMILY).select("id"), "id")
+    of_key = rest.groupBy("key").agg(F.count("*").alias("m"))
+    parts = rest.join(of_key, "key").select(F.col("key").alias("g"), F.lit(1).alias("kind"), "id", "c", "m")
+    blocks = F.ceil(F.col("m") / TILE).cast("int")
+    dealt = whole.unionByName(parts).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = dealt.select("g", "kind", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "c", "block")
+    sets = _full_sets(docs, open_members, scheme.words)
+
+    def link(table: pa.Table) -> pa.Table:
+        cols = {c: table.column(c).to_numpy() for c in ("id", "c", "block")}
+        found = []
+        if len(np.unique(cols["c"])) > 1:
+            sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+            found = tile_links(cols["id"], cols["c"], cols["block"], sets, scheme.percent)
+        return pa.table({k: pa.array([f[i] for f in found], pa.int64()) for i, k in enumerate("ab")})
+
+    return materialize(tiles.join(sets, "id").groupBy("g", "kind", "lo", "hi").applyInArrow(link, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and kept
     (doc_id = component_id) for every row of docs (doc_id, text; other columns are not read).
@@ -141,58 +241,32 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     a null doc_id has a null component and is not kept.
     """
     sketch = materialize(_sketch(docs, scheme), "sketch")
-    same = sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
+    named = sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    same = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copied = materialize(same.filter("copies > 1").select("set_id", "rep"), "copied")
-    rep_of = materialize(sketch.filter("doc_id IS NOT NULL").join(copied, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "reps")
-    members = (
-        sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-        .join(copied.withColumnRenamed("rep", "first"), "set_id", "left")
-        .filter("first IS NULL OR first = doc_id")
-        .select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    )
-    shared = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).filter("hub.id <> last")
-    shared = materialize(shared.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    buckets = materialize(members.join(shared, "key").select("key", "id", "n", "hub", "hub_n"), "buckets")
-
-    def alike(n: str, m: str):
-        return F.expr(f"100 * least({n}, {m}) >= {scheme.percent} * greatest({n}, {m})")
-
-    star = buckets.filter(F.col("id") != F.col("hub")).filter(alike("n", "hub_n"))
-    star = materialize(star.groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands")), "star")
-    best = star.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("neg"))).alias("top")).select((-F.col("top.neg")).alias("a"), "b")
-    links = _confirm(materialize(best, "best"), docs, scheme)
+    rep_of = sketch.filter("doc_id IS NOT NULL").join(copied, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    rep_of = materialize(rep_of, "reps")
+    firsts = named.join(copied, "set_id", "left").filter("rep IS NULL OR rep = doc_id")
+    members = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last")
+    buckets = materialize(members.join(materialize(hubs.select("key", "hub"), "hubs"), "key"), "buckets")
+
+    star = buckets.filter("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands"))
+    n = rep_of.filter("doc_id = rep").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    star = star.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").filter(f"100 * least(na, nb) >= {scheme.percent} * greatest(na, nb)")
+    best = star.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), "b")
+    best = materialize(best, "best")
+    links = _confirm(best, _full_sets(docs, best.select(F.explode(F.array("a", "b")).alias("id")), scheme.words), scheme.percent)
     comps = connected_components(links, "a", "b")
-    tried = materialize(best, "tried")
-
-    def across(pairs: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components and were not compared yet."""
-        left = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        apart = pairs.select("a", "b").distinct().join(left, "a", "left").join(right, "b", "left")
-        apart = apart.filter(~F.coalesce(F.coalesce("ca", "a") == F.coalesce("cb", "b"), F.lit(False)))
-        return materialize(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"), "across")
-
-    hubs, todo = 1, across(star, comps, tried)
-    open_buckets = buckets.select("key", "id", "n")
-    while True:
-        if not todo.limit(1).isEmpty():
-            links = links.unionByName(_confirm(todo, docs, scheme))
-            comps = connected_components(links, "a", "b")
-            tried = tried.unionByName(todo)
-        # what the hubs so far leave open: buckets whose members are still in different components
-        held = open_buckets.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = materialize(held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter(f"lo <> hi AND size > {hubs}").select("key"), "mixed")
-        if mixed.limit(1).isEmpty():
-            break
-        hubs *= 2
-        held = materialize(held.join(mixed, "key", "left_semi"), "open")
-        open_buckets = held.select("key", "id", "n")
-        ranked = held.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("rank") <= hubs)
-        tops = materialize(ranked.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ca")), "tops")
-        pairs = tops.join(held.withColumnRenamed("id", "b"), "key").filter("a < b AND ca <> c").filter(alike("n", "an"))
-        todo = across(pairs, comps, tried)
-
-    named = comps.select(F.col("node").alias("rep"), "component")
-    whole = rep_of.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+    held = buckets.join(comps.select(F.col("node").alias("id"), F.col("component")), "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("c"))
+    held = materialize(held, "held")
+    mixed = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    left = materialize(held.join(materialize(mixed, "mixed"), "key", "left_semi"), "open")
+    if not left.limit(1).isEmpty():
+        comps = connected_components(links.unionByName(_compare_open(left, docs, scheme)), "a", "b")
+
+    reached = comps.select(F.col("node").alias("rep"), "component")
+    whole = rep_of.join(reached, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     lost = sketch.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return whole.unionByName(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -165,3 +165,100 @@ def track_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = A.tracks(spark, sf_dir)
     by_mobility = M.track_colors(tracks, "mobility (log D)", _curves(spark, sf_dir)).withColumnRenamed("color", "mobility")
     return rounded(by_mobility.join(M.track_colors(tracks, "random8").withColumnRenamed("color", "random8"), [*M.TRACK]))
+
+
+# -- localizations -------------------------------------------------------------------------------
+
+from spotflow.operators import image as I, localize as L  # noqa: E402
+
+LIMITS = {"psf_nm": (5.0, 40.0), "photons": (1000.0, 60000.0), "precision_nm": (0.01, 0.08)}
+LIMIT_SQL = " AND ".join(f"{k} BETWEEN {a:e} AND {b:e}" for k, (a, b) in LIMITS.items())
+FLAGS = f"""locs AS (SELECT * FROM ({A.LOCALIZATIONS})), med AS (SELECT file_id, median(psf_nm) AS mp, median(photons) AS mh, median(precision_nm) AS mr FROM locs GROUP BY file_id),
+flags AS (SELECT l.*, {' OR '.join(f'{c} <= 0' for c in ('frame', *L.FIELDS))} AS not_positive, psf_nm > 10 * mp OR photons > 50 * mh OR precision_nm > 10 * mr AS extreme,
+  {' OR '.join(f'({c} <> 0 AND round({c}) = {c})' for c in L.FIELDS)} AS rounded FROM locs l JOIN med USING (file_id)),
+f AS (SELECT *, not_positive OR extreme OR rounded AS is_outlier FROM flags)"""
+
+
+@query(f"SELECT * FROM ({A.LOCALIZATIONS}) WHERE {LIMIT_SQL}")
+def loc_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.within_limits(A.localizations(spark, sf_dir), LIMITS)
+
+
+@query(f"WITH {FLAGS} SELECT * FROM f")
+def loc_outlier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.outlier_flags(A.localizations(spark, sf_dir))
+
+
+@query(f"WITH {FLAGS} SELECT file_id, count(*) AS n, count_if(not_positive)::BIGINT AS n_not_positive, count_if(extreme)::BIGINT AS n_extreme, count_if(rounded)::BIGINT AS n_rounded, count_if(NOT is_outlier)::BIGINT AS n_remaining FROM f GROUP BY file_id")
+def loc_outlier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.outlier_counts(L.outlier_flags(A.localizations(spark, sf_dir)))
+
+
+@query(
+    f"""WITH l AS ({A.LOCALIZATIONS}), b AS (SELECT CAST(least(floor(photons / 2000e0), 39) AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (WHERE {LIMIT_SQL}) AS m FROM l WHERE photons BETWEEN 0 AND 80000 GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n_original, coalesce(m, 0) AS n_filtered, i * 2000e0 AS low, (i + 1) * 2000e0 AS high FROM range(40) g(i) LEFT JOIN b ON b.bin = g.i"""
+)
+def loc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    locs = A.localizations(spark, sf_dir)
+    return L.histogram(locs, L.within_limits(locs, LIMITS), "photons", 2000.0, 40)
+
+
+@query(f"WITH l AS (SELECT frame % 97 AS file_id, frame, x_nm FROM ({A.LOCALIZATIONS})) SELECT file_id, frame, x_nm FROM l WHERE file_id IN (SELECT file_id FROM l GROUP BY file_id HAVING count(*) >= 620)")
+def min_count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.enough_rows(A.localizations(spark, sf_dir).select((F.col("frame") % 97).alias("file_id"), "frame", "x_nm"), 620)
+
+
+# -- images --------------------------------------------------------------------------------------
+
+
+@query(f"WITH p AS ({A.PIXELS}), w AS (SELECT file_id, avg(adu) AS mean FROM p GROUP BY file_id) SELECT file_id, row, col, {r('var_samp(adu)', 'variance', 3)}, {r('any_value(mean)', 'offset')} FROM p JOIN w USING (file_id) GROUP BY file_id, row, col")
+def variance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = I.variance_map(A.pixels(spark, sf_dir))
+    return v.select("file_id", "row", "col", (F.round("variance", 3) + 0.0).alias("variance"), (F.round("offset", 6) + 0.0).alias("offset"))
+
+
+@query(f"SELECT *, {r('(adu - 100e0) * 0.48e0', 'photons')} FROM ({A.PIXELS})")
+def photon_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.to_photons(A.pixels(spark, sf_dir)))
+
+
+@query(f"SELECT file_id, frame, min(adu) AS low FROM ({A.PIXELS}) GROUP BY file_id, frame")
+def frame_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.frame_min(A.pixels(spark, sf_dir))
+
+
+@query(f"SELECT file_id, row, col, max(adu) AS peak FROM ({A.PIXELS}) GROUP BY file_id, row, col")
+def max_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.max_projection(A.pixels(spark, sf_dir))
+
+
+KERNEL = ", ".join(f"({i - 4}, {j - 4}, {v!r}e0)" if "e" not in repr(v) else f"({i - 4}, {j - 4}, {v!r})" for (i, j), v in ((ij, float(x)) for ij, x in __import__("numpy").ndenumerate(I.dog_kernel(1.3))))
+
+
+@query(
+    f"""WITH p AS ({A.PIXELS}), k AS (SELECT * FROM (VALUES {KERNEL}) v(i, j, v))
+SELECT a.file_id, a.frame, a.row, a.col, {r('sum(b.adu * k.v)', 'filtered', 4)} FROM p a JOIN k ON true JOIN p b ON b.file_id = a.file_id AND b.frame = a.frame AND b.row = a.row - k.i AND b.col = a.col - k.j GROUP BY ALL"""
+)
+def dog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.convolve(A.pixels(spark, sf_dir), I.dog_kernel(1.3)), 4)
+
+
+MAXIMA = f"""p AS ({A.PIXELS}), peaks AS (SELECT a.file_id, a.frame, a.row, a.col, a.adu AS peak FROM p a JOIN p b ON a.file_id = b.file_id AND a.frame = b.frame AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col)
+  WHERE a.adu >= 300000 AND a.row BETWEEN 3 AND 28 AND a.col BETWEEN 3 AND 28 GROUP BY ALL HAVING count(*) = 8 AND max(b.adu) < a.adu)"""
+
+
+@query(f"WITH {MAXIMA} SELECT * FROM peaks")
+def local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.local_maxima(A.pixels(spark, sf_dir), "adu", 300000.0, 3)
+
+
+@query(f"WITH {MAXIMA} SELECT k.file_id, k.frame, k.row AS peak_row, k.col AS peak_col, b.row - k.row AS dr, b.col - k.col AS dc, b.adu AS value FROM peaks k JOIN p b ON b.file_id = k.file_id AND b.frame = k.frame AND abs(b.row - k.row) <= 3 AND abs(b.col - k.col) <= 3")
+def roi_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = A.pixels(spark, sf_dir)
+    return I.crop(I.local_maxima(pixels, "adu", 300000.0, 3), pixels, 7)
+
+
+@query(f"SELECT file_id, frame, col + 1 AS x, row + 1 AS y FROM ({A.PIXELS}) WHERE col + 1 > 3 AND col + 1 < 29 AND row + 1 > 3 AND row + 1 < 29")
+def border_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks = A.pixels(spark, sf_dir).select("file_id", "frame", (F.col("col") + 1).alias("x"), (F.col("row") + 1).alias("y"))
+    return I.trim_border(peaks, 32, 32, 7)
