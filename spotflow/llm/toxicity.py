@@ -6,6 +6,9 @@ verb of violence and a target in that order. Their composition is one automaton
 pattern: an insult or threat, plain or aimed at someone, negated or reported. A text's score is a
 logistic function of the weights of the patterns its clauses match; isolated words outside such a
 match carry nothing. Weights start from a prior and are learned from labels, as are cue words.
+
+A learned cue that clean texts use now and then is a suspect: it counts by how dense it is, as the
+log likelihood ratio of its rate in toxic and in clean texts.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ CLAUSE = re.compile(r"[.!?;\n]+")
 SHORTEST, LONGEST, END = 3, 8, "$"
 #: Words whose class a worker remembers before it starts anew.
 REMEMBERED = 500_000
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT = range(7)
+CLASSES = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, SUSPECT = range(8)
 
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile bastard jerk dumb fool vermin filth dummkopf abschaum imbécile ordure idiota imbécil escoria basura"
 THREATS = "kill hurt destroy beat shoot stab burn murder attack punch strangle töten umbringen verletzen tuer frapper brûler matar golpear quemar"
@@ -40,9 +43,11 @@ REPORTS = "said says wrote writes called calls claimed quoted quote reported sag
 INTENTS = "will gonna shall must should going i'll we'll ill werde werden vais allons voy vamos"
 
 #: Patterns that arcs emit, in the order of the weights, and the weights before any label is seen.
-PATTERNS = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "threat negated", "threat reported")
-PRIOR = np.array([2.5, 3.5, 0.2, 0.5, 0.3, 4.0, 0.1, 0.4])
+PATTERNS = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "threat negated", "threat reported", "suspect")
+PRIOR = np.array([2.5, 3.5, 0.2, 0.5, 0.3, 4.0, 0.1, 0.4, 0.5])
 PRIOR_BIAS = -3.0
+#: Rates of suspects a pair of words in toxic and in clean texts, before any label is seen; a rate is never below LEAST_RATE.
+PRIOR_RATES, LEAST_RATE = (0.01, 0.001), 1e-4
 
 
 def beginnings(word: str) -> list[str]:
@@ -66,7 +71,7 @@ def compose(parts: list[dict]) -> tuple[list[list[int]], list[tuple[bool, ...]]]
     number, arcs, todo = {start: 0}, [], [start]
     while todo:
         row = []
-        for c in range(7):
+        for c in CLASSES:
             to = tuple(p["step"](s, c) for p, s in zip(parts, todo[0]))
             if to not in number:
                 number[to] = len(number)
@@ -80,21 +85,28 @@ def compose(parts: list[dict]) -> tuple[list[list[int]], list[tuple[bool, ...]]]
 class _Classes(dict):
     """Class of every word met; the learned cues are beginnings of words, or whole words with END behind."""
 
-    def __init__(self, known: dict[str, int], learned: frozenset[str]):
+    def __init__(self, known: dict[str, int], learned: frozenset[str], suspects: frozenset[str]):
         super().__init__(known)
-        self.known, self.learned = known, learned
+        self.known, self.learned, self.suspects = known, learned, suspects
 
     def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
             self.update(self.known)
-        self[word] = c = self.known.get(word) or (OTHER if self.learned.isdisjoint(beginnings(word)) else INSULT)
+        self[word] = c = self.known.get(word) or self._learned(beginnings(word))
         return c
 
+    def _learned(self, cues: list[str]) -> int:
+        if not self.learned.isdisjoint(cues):
+            return INSULT
+        return OTHER if self.suspects.isdisjoint(cues) else SUSPECT
+
 
 @dataclass
 class ToxicityModel:
     learned: frozenset[str] = frozenset()
+    suspects: frozenset[str] = frozenset()
+    rates: tuple[float, float] = PRIOR_RATES
     bias: float = PRIOR_BIAS
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
@@ -103,7 +115,7 @@ class ToxicityModel:
         known: dict[str, int] = {}
         for kind, text in ((INTENT, INTENTS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)):
             known |= dict.fromkeys(text.split(), kind)
-        return _Classes(known, self.learned)
+        return _Classes(known, self.learned, self.suspects)
 
     @cached_property
     def automaton(self) -> tuple[list[list[int]], list[dict[int, int]]]:
@@ -117,11 +129,16 @@ class ToxicityModel:
         return arcs, emits
 
     def matches(self, text: str | None) -> np.ndarray:
-        """How often each pattern matches in the clauses of a text."""
-        counts = np.zeros(len(PATTERNS))
+        """How often each pattern matches in the clauses of a text (suspects: in different pairs of words),
+        and how many different pairs of words a text with suspects has."""
+        counts = np.zeros(len(PATTERNS) + 1)
         low = (text or "").lower()
         classes = self.classes
-        met = [classes[w] for w in LETTERS.findall(low)]
+        words = LETTERS.findall(low)
+        met = [classes[w] for w in words]
+        if SUSPECT in met:
+            pairs = set(zip(words, ["", *words]))
+            counts[-2:] = sum(classes[w] == SUSPECT for w, _ in pairs), len(pairs)
         if INSULT not in met and THREAT not in met:
             return counts
         arcs, emits = self.automaton
@@ -138,8 +155,14 @@ class ToxicityModel:
                 state = arcs[state][c]
         return counts
 
+    def features(self, counts: np.ndarray) -> np.ndarray:
+        """Of rows that matches() gives: logarithms of the counts, and for suspects the log likelihood ratio."""
+        high, low = self.rates
+        ratio = counts[:, -2] * np.log(high / low) - counts[:, -1] * (high - low)
+        return np.column_stack([np.log2(1 + counts[:, :-2]), np.maximum(0, ratio)])
+
     def probability(self, counts: np.ndarray) -> np.ndarray:
-        z = self.bias + np.log2(1 + counts) @ self.weights
+        z = self.bias + self.features(counts) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -161,7 +184,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, np.nd
     return float(w[0]), w[1:]
 
 
-def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity: float) -> frozenset[str]:
+def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity: float) -> tuple[frozenset[str], frozenset[str]]:
+    """Cues that only toxic texts use, and suspects."""
+
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
@@ -197,8 +222,14 @@ def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity
     both = bad.join(good, "cue", "left").select("cue", "bad", F.coalesce("good", F.lit(0)).alias("good"))
     n = F.col("bad") + F.col("good")
     low = (F.col("bad") / n + 1.92 / n - 1.96 * F.sqrt(F.col("bad") * F.col("good") / (n * n * n) + 0.96 / (n * n))) / (1 + 3.84 / n)
-    found = {r.cue for r in both.filter((low > share) & (F.col("bad") >= purity * n)).select("cue").collect()}
-    return frozenset(c for c in found if not any(c[:k] in found for k in range(SHORTEST, len(c))))  # the shortest beginnings do
+    found = {r.cue: r.pure for r in both.filter(low > share).select("cue", (F.col("bad") >= purity * n).alias("pure")).collect()}
+    pure, rest = {c for c, p in found.items() if p}, {c for c, p in found.items() if not p}
+
+    def shortest(cues: set[str]) -> frozenset[str]:
+        return frozenset(c for c in cues if not any(c[:k] in cues for k in range(SHORTEST, len(c))))
+
+    rest = shortest(rest)  # a cue below a suspect is the suspect's: its purity is chance
+    return shortest({c for c in pure if not any(c[:k] in rest for k in range(SHORTEST, len(c)))}), rest
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, contexts: int = 8, texts: int = 5, share: float = 0.65, purity: float = 0.97) -> ToxicityModel:
@@ -207,8 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, contexts:
     A bounded sample of about `sample_rows` labelled rows is used, picked by a hash of the text. A word
     or a beginning of words becomes a cue if it is met in at least `contexts` different pairs of words
     and `texts` different texts marked toxic, and the lower end of a 95 % interval of its share of toxic
-    contexts is over `share` and the share itself at least `purity`; contexts, not rows, count, so copies of one text teach no more than the
-    text. Of several labels of a document the highest counts. Without labelled rows the prior stands.
+    contexts is over `share`: a cue that counts alone if the share itself is at least `purity`, else a
+    suspect. Contexts, not rows, count, so copies of one text teach no more than the text. Of several labels of a document the highest counts. Without labelled rows the prior stands.
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").join(marks, "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
@@ -219,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, contexts:
         picked = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30))
         rows = docs.filter(picked).select("doc_id", "text").join(marks, "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
     rows = materialize(rows, "labelled")
-    model = ToxicityModel(learned=_learn_cues(rows, contexts, texts, share, purity))
+    model = ToxicityModel(*_learn_cues(rows, contexts, texts, share, purity))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +264,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, contexts:
             )
 
     seen = rows.mapInArrow(features, "counts array<double>, toxic boolean, n long").groupBy("counts", "toxic").agg(F.sum("n").alias("n")).toPandas()
-    x, n = np.log2(1 + np.array(seen["counts"].to_list()).reshape(-1, len(PATTERNS))), seen["n"].to_numpy(dtype=float)
-    bias, weights = _logistic(x, n * seen["toxic"].to_numpy(dtype=float), n)
-    return ToxicityModel(model.learned, bias, weights)
+    counts, n, toxic = np.array(seen["counts"].to_list()).reshape(-1, len(PATTERNS) + 1), seen["n"].to_numpy(dtype=float), seen["toxic"].to_numpy(dtype=bool)
+    rates = []
+    for of in (toxic, ~toxic):  # of texts that have a suspect, what comes after the first
+        of = of & (counts[:, -2] > 0)
+        rates.append(max(LEAST_RATE, float((n * (counts[:, -2] - 1))[of].sum() / max(1.0, (n * counts[:, -1])[of].sum()))))
+    model = ToxicityModel(model.learned, model.suspects, (max(rates[0], 2 * rates[1]), rates[1]) if model.suspects else PRIOR_RATES)
+    model.bias, model.weights = _logistic(model.features(counts), n * toxic, n)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
@@ -247,7 +283,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            counts = np.array([shared.value.matches(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(PATTERNS))
+            counts = np.array([shared.value.matches(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(PATTERNS) + 1)
             p = shared.value.probability(counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
