@@ -22,7 +22,7 @@ from spotflow.llm.text import slices
 
 LONG = 64
 #: Words whose encoding a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Rows of pairs merged together in one go.
 TOGETHER = 8_000
 #: The split of the byte-level scheme (fixed value of the public vocabulary).
@@ -68,9 +68,9 @@ class Codec:
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile(r"(?<=\S)\s")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.slot: dict[str, int] = {m: k for k, m in enumerate(self.special)}
         self.at = [np.arange(len(self.special), dtype=np.int64)]
         self.len = [np.ones(len(self.special), dtype=np.int64)]
@@ -230,7 +230,7 @@ class Codec:
         new = [w for w in dict.fromkeys(words) if w not in self.slot]
         if new:
             if len(self.slot) + len(new) > REMEMBERED:
-                self._forget()
+                self.forget()
                 new = [w for w in dict.fromkeys(words) if w not in self.slot]
             self._learn(new)
         codes = np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words))
@@ -252,29 +252,27 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column `ids` (array<int>) of the BPE ids of every whole text; an input column of that
-    name is replaced. A null text is encoded as an empty one (no ids). Special tokens written in a
-    text get their own id. `vocabulary` is a file that every executor can open."""
-    kept = df.drop(ids)
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with a column `ids` (array<int>) of the BPE ids of every whole text, and if `decoded` names one
+    with a column of the text decoded from them again in the same pass; input columns of these names are
+    replaced. A null text is encoded as an empty one (no ids). Special tokens written in a text get their
+    own id. `vocabulary` is a file that every executor can open."""
+    kept = df.drop(ids, *filter(None, [decoded]))
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    schema = T.StructType([*kept.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        for batch in slices(batches, text):
-            texts = batch.column(text).to_pylist()
-            start = 0
-            while start < len(texts):  # words are looked up for some texts at a time
-                stop, room = start, 2_000_000
-                while stop < len(texts) and (stop == start or room > 0):
-                    room -= len(texts[stop] or "")
-                    stop += 1
-                flat, lens = c.encode(texts[start:stop])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
-                column = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
-                part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids])
-                start = stop
+        try:
+            for batch in slices(batches, text, 2_000_000):
+                flat, lens = c.encode(batch.column(text).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum(lens)])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([c.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+        finally:
+            c.forget()  # the worker process outlives this task
 
     return kept.mapInArrow(run, schema)
 
@@ -297,7 +295,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
 
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs."""
-    coded = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    coded = encode(docs.select("doc_id", "text"), vocabulary, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -25,7 +25,7 @@ ORDER = 4
 BEGIN, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

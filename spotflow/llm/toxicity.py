@@ -32,7 +32,7 @@ CLAUSE = re.compile(r"[.!?;\n]+")
 #: Beginnings of words that can be learned as cues have so many letters; END marks a whole word.
 SHORTEST, LONGEST, END = 3, 8, "$"
 #: Words whose class a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 CLASSES = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, SUSPECT = range(8)
 
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile bastard jerk dumb fool vermin filth dummkopf abschaum imbécile ordure idiota imbécil escoria basura"
@@ -91,11 +91,14 @@ class _Classes(dict):
 
     def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
-            self.clear()
-            self.update(self.known)
+            self.forget()
         self[word] = c = self.known.get(word) or self._learned(beginnings(word))
         return c
 
+    def forget(self) -> None:
+        self.clear()
+        self.update(self.known)
+
     def _learned(self, cues: list[str]) -> int:
         if not self.learned.isdisjoint(cues):
             return INSULT
@@ -286,5 +289,6 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
             counts = np.array([shared.value.matches(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(PATTERNS) + 1)
             p = shared.value.probability(counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+        shared.value.classes.forget()  # the worker process outlives this task
 
     return kept.mapInArrow(run, schema)
