@@ -258,8 +258,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     replaced. A null text is encoded as an empty one (no ids). Special tokens written in a text get their
     own id. `vocabulary` is a file that every executor can open."""
     kept = df.drop(ids, *filter(None, [decoded]))
-    more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
-    schema = T.StructType([*kept.schema.fields, *more])
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)

@@ -56,7 +56,7 @@ def best_of_tile(q: np.ndarray, q_id: np.ndarray, start: np.ndarray, c: np.ndarr
         best = np.lexsort((all_id, -all_score), axis=1)[:, :k]
         top[live], top_id[live] = np.take_along_axis(all_score, best, axis=1), np.take_along_axis(all_id, best, axis=1)
         floor[live] = np.maximum(floor[live], top[live, -1])
-    number, place = np.nonzero(top >= start[:, None])
+    number, place = np.nonzero((top >= start[:, None]) & (top > -np.inf))
     return number, top_id[number, place], top[number, place]
 
 
