@@ -112,13 +112,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     extra = wanted.groupBy("key").applyInPandas(fit, "key string, size long, extra long")
     plan = materialize(lengths.select("key", "size", "n").join(extra, ["key", "size"], "left").na.fill({"extra": 0}), "plan")
 
-    dealt = sized.join(plan, ["key", "size"]).withColumn("part", F.pmod(pick, F.ceil(F.col("n") / RANKED)).cast("long"))
+    # written out, so that the join may split a length that many documents share; ranks are then dealt by part
+    dealt = materialize(sized.join(plan, ["key", "size"]).withColumn("part", F.pmod(pick, F.ceil(F.col("n") / RANKED)).cast("long")), "dealt")
     some = dealt.filter("extra > 0 AND extra < n")
     parts = some.groupBy("key", "size", "part").agg(F.count("*").alias("m"), F.first("extra").alias("extra"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = materialize(parts.select("key", "size", "part", F.least("m", F.greatest(F.lit(0), F.col("extra") - before)).alias("quota")), "quota")
     rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
-    ranked = some.join(quota, ["key", "size", "part"]).withColumn("more", (rank <= F.col("quota")).cast("long"))
+    ranked = some.join(quota, ["key", "size", "part"]).repartition("key", "size", "part").withColumn("more", (rank <= F.col("quota")).cast("long"))
     plain = dealt.filter("extra <= 0 OR extra >= n").withColumn("more", (F.col("extra") > 0).cast("long"))
     every = plain.select("doc_id", "key", "size", "more").unionByName(ranked.select("doc_id", "key", "size", "more"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.lit(0)).cast("long")
