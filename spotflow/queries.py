@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotflow.operators import mobility as M
+from spotflow.operators import spatial as S
 from spotflow.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,10 +212,10 @@ def min_count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- images --------------------------------------------------------------------------------------
 
 
-@query(f"WITH p AS ({A.PIXELS}), w AS (SELECT file_id, avg(adu) AS mean FROM p GROUP BY file_id) SELECT file_id, row, col, {r('var_samp(adu)', 'variance', 3)}, {r('any_value(mean)', 'offset')} FROM p JOIN w USING (file_id) GROUP BY file_id, row, col")
+@query(f"WITH p AS ({A.PIXELS}), w AS (SELECT file_id, avg(adu) AS mean FROM p GROUP BY file_id) SELECT file_id, row, col, {r('var_samp(adu) / 1e6', 'variance')}, {r('any_value(mean)', 'offset')} FROM p JOIN w USING (file_id) GROUP BY file_id, row, col")
 def variance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = I.variance_map(A.pixels(spark, sf_dir))
-    return v.select("file_id", "row", "col", (F.round("variance", 3) + 0.0).alias("variance"), (F.round("offset", 6) + 0.0).alias("offset"))
+    return v.select("file_id", "row", "col", (F.round(F.col("variance") / 1e6, 6) + 0.0).alias("variance"), (F.round("offset", 6) + 0.0).alias("offset"))
 
 
 @query(f"SELECT *, {r('(adu - 100e0) * 0.48e0', 'photons')} FROM ({A.PIXELS})")
@@ -262,3 +263,44 @@ def roi_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def border_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks = A.pixels(spark, sf_dir).select("file_id", "frame", (F.col("col") + 1).alias("x"), (F.col("row") + 1).alias("y"))
     return I.trim_border(peaks, 32, 32, 7)
+
+
+# -- clusters ------------------------------------------------------------------------------------
+
+EPSILON, MIN_PTS = 12.0, 4
+CLUSTERED = f"""p AS ({A.POINTS}),
+near AS (SELECT a.point_id AS a, b.point_id AS b FROM p a JOIN p b ON a.file_id = b.file_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {EPSILON}),
+dense AS (SELECT a AS point_id, count(*) AS n_near, count(*) >= {MIN_PTS} AS is_core FROM near GROUP BY a),
+core AS (SELECT point_id FROM dense WHERE is_core),
+reach AS (SELECT point_id AS a, point_id AS b FROM core UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b JOIN core c ON c.point_id = n.b),
+root AS (SELECT a AS point_id, min(b) AS component FROM reach GROUP BY a),
+numbered AS (SELECT point_id, CAST(dense_rank() OVER (ORDER BY component) AS BIGINT) AS cluster FROM root),
+border AS (SELECT n.a AS point_id, min(c.cluster) AS cluster FROM near n JOIN numbered c ON c.point_id = n.b GROUP BY n.a),
+clustered AS (SELECT p.*, n_near, is_core, coalesce(k.cluster, o.cluster, -1) AS cluster
+  FROM p JOIN dense USING (point_id) LEFT JOIN numbered k USING (point_id) LEFT JOIN border o USING (point_id))"""
+
+
+@query(f"WITH p AS ({A.POINTS}) SELECT a.file_id, a.point_id AS a, b.point_id AS b, {r('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'distance')} FROM p a JOIN p b ON a.file_id = b.file_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {EPSILON}")
+def epsilon_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.neighbours(A.points(spark, sf_dir), EPSILON))
+
+
+@query(f"WITH RECURSIVE {CLUSTERED} SELECT file_id, point_id, n_near, is_core, cluster FROM clustered")
+def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dbscan(A.points(spark, sf_dir), EPSILON, MIN_PTS).select("file_id", "point_id", "n_near", "is_core", "cluster")
+
+
+@query(
+    f"WITH RECURSIVE {CLUSTERED} SELECT file_id, cluster, count(*) AS n, {r('avg(x)', 'x')}, {r('avg(y)', 'y')}, "
+    f"{r(f'CASE WHEN count(*) > 3 THEN {S.FWHM} * sqrt((var_pop(x) + var_pop(y)) / 2) ELSE 0 END', 'diameter')} FROM clustered WHERE cluster > 0 GROUP BY file_id, cluster"
+)
+def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.cluster_summary(S.dbscan(A.points(spark, sf_dir), EPSILON, MIN_PTS)))
+
+
+@query(
+    f"WITH t AS ({A.GAPPED_TRACKS}), s AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM t WINDOW w AS (PARTITION BY file_id, track_id ORDER BY frame)) "
+    f"SELECT file_id, track_id, frame, {r('step', 'step')}, CAST(sum(CASE WHEN step > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, track_id ORDER BY frame) + 1 AS BIGINT) AS part FROM s"
+)
+def track_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.split_by_distance(A.gapped_tracks(spark, sf_dir), 50.0).select("file_id", "track_id", "frame", "step", "part"))
