@@ -3,9 +3,11 @@
 Each half of a unit vector has a codebook of its own; the product of the two is a grid of cells. A
 vector lies in the cell of its nearest centroid pair. It visits cells by ascending sum of the two
 distances (multi-sequence traversal with a heap) until the target recall is reached: how many cells
-that takes is measured on sampled vectors, all of whose links are known from brute force. Visitors
-and residents of a cell are compared exactly, in blocks of bounded size, and tasks return counts and
-a spanning set of links, never pairs.
+that takes is measured on sampled vectors, all of whose links are known from brute force. Equal
+vectors of a label are one weighted vertex, so copies neither count as links of the measure nor are
+compared with each other; their links are added afterwards. Visitors and residents of a cell are
+compared exactly, in blocks of bounded size, and tasks return counts and a spanning set of links,
+never pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spotflow.llm.vectors import finite, matrix
 from spotflow.operators.components import connected_components
@@ -57,9 +59,14 @@ def traverse(d1: np.ndarray, d2: np.ndarray, cells: int) -> list[tuple[int, int]
     return out
 
 
-def compare(v: np.ndarray, v_id: np.ndarray, r: np.ndarray, r_id: np.ndarray, least: float) -> dict[int, list[int]]:
-    """For every id with a link between visitors v and residents r: its links as a visitor, and the smallest
-    id of its component among them."""
+def cells_before(d1: np.ndarray, d2: np.ndarray, i: int, j: int) -> int:
+    """How many cells the traversal visits before cell (i, j)."""
+    return int(np.searchsorted(np.sort(d2), d1[i] + d2[j] - d1).sum())
+
+
+def compare(v: np.ndarray, v_id: np.ndarray, r: np.ndarray, r_id: np.ndarray, weight: np.ndarray, least: float) -> dict[int, list[int]]:
+    """For every id with a link between visitors v and residents r of some weight: the weight it links to as
+    a visitor, and the smallest id of its component among them."""
     link = (v @ r.T >= least) & (v_id[:, None] != r_id[None, :])
     a, b = np.nonzero(link)
     if not len(a):
@@ -76,7 +83,7 @@ def compare(v: np.ndarray, v_id: np.ndarray, r: np.ndarray, r_id: np.ndarray, le
         if (new == label).all():
             break
         label = new
-    count = np.bincount(x, minlength=len(ids))
+    count = np.bincount(x, weights=weight[b], minlength=len(ids))
     return {int(i): [int(c), int(ids[k])] for i, c, k in zip(ids, count, label)}
 
 
@@ -89,59 +96,70 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     with nothing, nor do those whose length is not the most frequent one. A null vec_id has no links, a
     null component and is not kept; rows that repeat a vec_id are one vector. Codebooks are trained on at
     most TRAIN vectors a centroid and the number of visited cells is measured on MEASURED vectors against
-    all rows; every row is indexed and searched.
+    all others, each with the same say however many links it has; every row is indexed and searched.
     """
     ids = vectors.select(F.col("vec_id").cast("long"))
     raw = F.col("embedding").cast("array<double>")
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.filter(finite("embedding") & F.col("vec_id").isNotNull() & F.col("label").isNotNull())
     rows = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), raw.alias("u"), norm.alias("norm")).filter("norm > 0 AND norm < double('Infinity')")
     sizes = rows.groupBy(F.size("u").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     if not sizes or sizes[0].d < 2:
         none = ids.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
         return none.withColumn("kept", F.col("vec_id").isNotNull())
-    d, n = sizes[0].d, sizes[0]["count"]
-    rows = materialize(rows.filter(F.size("u") == d), "vectors")
+    d = sizes[0].d
+    # copies share a 128-bit fingerprint of label and vector (x + 0.0 makes -0.0 zero)
+    plain = F.transform("u", lambda x: x + F.lit(0.0))
+    rows = rows.filter(F.size("u") == d).select("vec_id", "label", F.col("u").cast(kind).alias("u"), *[F.xxhash64(F.lit(s), "label", plain, F.lit(s)).alias(f"h{s}") for s in (1, 2)])
+    rows = materialize(rows, "vectors")
+    vertices = rows.groupBy("h1", "h2").agg(F.count("*").alias("w"), F.min("vec_id").alias("first"), F.min("label").alias("label"), F.min("u").alias("u"))
+    vertices = materialize(vertices.withColumn("vertex", F.monotonically_increasing_id()), "vertices")
+    n = vertices.count()
     half, k = d // 2, int(min(CENTROIDS, max(2, round((n / IN_CELL) ** 0.5))))
 
-    place = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.filter(place < min(1.0, TRAIN * k / n)).select("u").toPandas()["u"]  # about TRAIN * k vectors
-    train = np.stack([*some]) if len(some) >= k else np.stack([r.u for r in rows.select("u").limit(max(k, 2)).collect()])
+    place = F.pmod(F.xxhash64("first", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    some = vertices.filter(place < min(1.0, TRAIN * k / n)).select("u").toPandas()["u"]  # about TRAIN * k vectors
+    train = np.stack([*some]) if len(some) >= k else np.stack([r.u for r in vertices.select("u").limit(max(k, 2)).collect()])
     train = train / np.linalg.norm(train, axis=1, keepdims=True)
     one, two = codebook(train[:, :half], k), codebook(train[:, half:], k)
 
     # cells that must be visited: ranks of the cells of true neighbours in the traversal of sampled vectors
-    asked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) < min(1.0, MEASURED / n)).collect()
-    a_id, a_label = np.array([r.vec_id for r in asked]), np.array([r.label for r in asked])
+    asked = vertices.filter(F.pmod(F.xxhash64("first", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) < min(1.0, MEASURED / n)).select("vertex", "label", "u").collect()
+    a_id, a_label = np.array([r.vertex for r in asked]), np.array([r.label for r in asked])
     a = np.array([r.u for r in asked]).reshape(-1, d)
     a = a / np.linalg.norm(a, axis=1, keepdims=True)
-    a1, a2 = distances(a[:, :half], one), distances(a[:, half:], two)
 
     def unit(column) -> np.ndarray:
         m = matrix(column)
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
     def ranks(batches):
+        before: dict[tuple[int, int, int], int] = {}
         for batch in batches:
-            if not len(batch) or not len(a):
-                continue
-            m, label = unit(batch.column("u")), batch.column("label").to_numpy(zero_copy_only=False)
-            for lo in range(0, len(m), 2_048):
-                x = m[lo : lo + 2_048]
-                c1, c2 = distances(x[:, :half], one).argmin(axis=1), distances(x[:, half:], two).argmin(axis=1)
-                hit = (a @ x.T >= cosine) & (a_label[:, None] == label[None, lo : lo + 2_048]) & (a_id[:, None] != batch.column("vec_id").to_numpy()[None, lo : lo + 2_048])
-                i, j = np.nonzero(hit)
-                found: dict[int, int] = {}
-                for q, c, e in zip(i, c1[j], c2[j]):
-                    before = int((a1[q][:, None] + a2[q][None, :] < a1[q, c] + a2[q, e]).sum())
-                    found[before] = found.get(before, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["before", "n"])
-
-    seen = rows.mapInArrow(ranks, "before long, n long").groupBy("before").agg(F.sum("n").alias("n")).orderBy("before").toPandas()
+            found: dict[tuple[int, int, int], int] = {}
+            label, vertex = batch.column("label").to_numpy(zero_copy_only=False), batch.column("vertex").to_numpy()
+            for name in set(label) & set(a_label):
+                mine, ask = np.flatnonzero(label == name), np.flatnonzero(a_label == name)
+                m = unit(batch.column("u").take(pa.array(mine)))
+                for lo in range(0, len(m), 2_048):
+                    x = m[lo : lo + 2_048]
+                    i, j = np.nonzero((a[ask] @ x.T >= cosine) & (a_id[ask][:, None] != vertex[mine][None, lo : lo + 2_048]))
+                    if not len(i):
+                        continue
+                    c1, c2 = distances(x[:, :half], one).argmin(axis=1), distances(x[:, half:], two).argmin(axis=1)
+                    hits, times = np.unique(np.stack([ask[i], c1[j], c2[j]]), axis=1, return_counts=True)
+                    for q, c, e, times_ in zip(*hits.tolist(), times.tolist()):
+                        found[q, c, e] = found.get((q, c, e), 0) + times_
+            for q, c, e in found.keys() - before.keys():
+                before[q, c, e] = cells_before(distances(a[q : q + 1, :half], one)[0], distances(a[q : q + 1, half:], two)[0], c, e)
+            yield pa.RecordBatch.from_pydict({"q": pa.array([x[0] for x in found], pa.int64()), "before": pa.array([before[x] for x in found], pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
+
+    seen = vertices.select("vertex", "label", "u").mapInArrow(ranks, "q long, before long, n long").groupBy("q", "before").agg(F.sum("n").alias("n")).toPandas()
     cells = min(k * k, 64)
     if seen["n"].sum() >= 100:
-        reached = seen["n"].cumsum() / seen["n"].sum()
-        cells = int(min(k * k, 2 * (seen.loc[reached >= recall, "before"].iloc[0] + 1)))
+        share = (seen["n"] / seen.groupby("q")["n"].transform("sum")).groupby(seen["before"]).sum().sort_index().cumsum()
+        cells = int(min(k * k, 2 * (share.index[share >= recall * share.iloc[-1]][0] + 1)))
 
     def place_in(batches):
         for batch in batches:
@@ -149,36 +167,55 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
             d1, d2 = distances(m[:, :half], one), distances(m[:, half:], two)
             own = d1.argmin(axis=1) * k + d2.argmin(axis=1)
             visits = [[i * k + j for i, j in traverse(x, y, cells)] for x, y in zip(d1, d2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("label"), batch.column("u").cast(pa.list_(pa.float64())), pa.array(own, pa.int64()), pa.array(visits, pa.list_(pa.int64()))],
-                names=["vec_id", "label", "u", "own", "visits"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64()), pa.array(visits, pa.list_(pa.int64()))], names=[*batch.schema.names, "own", "visits"])
 
-    placed = materialize(rows.select("vec_id", "label", "u").mapInArrow(place_in, "vec_id long, label string, u array<double>, own long, visits array<long>"), "placed")
-    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
-    v = placed.select("vec_id", "label", F.col("u").cast(kind).alias("u"), F.explode("visits").alias("cell"))
-    r = placed.select("vec_id", "label", F.col("u").cast(kind).alias("u"), F.col("own").alias("cell"))
+    placed = materialize(vertices.select("vertex", "label", "u", "w").mapInArrow(place_in, f"vertex long, label string, u {kind}, w long, own long, visits array<long>"), "placed")
+    v = placed.select("vertex", "label", "u", F.explode("visits").alias("cell"))
+    r = placed.select("vertex", "label", "u", "w", F.col("own").alias("cell"))
     held = r.groupBy("label", "cell").agg(F.count("*").alias("residents"))
     come = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("visitors"))
     cut = held.join(come, ["label", "cell"]).select("label", "cell", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("nr"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("nv"))
     cut = materialize(cut, "cells")
-    h = F.xxhash64("vec_id")
+    h = F.xxhash64("vertex")
     v = v.join(cut, ["label", "cell"]).withColumn("vb", F.pmod(h, "nv").cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
     r = r.join(cut, ["label", "cell"]).withColumn("rb", F.pmod(h, "nr").cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[int, list[int]] = {}
         if len(left) and len(right):
-            found = compare(unit(left.column("u")), left.column("vec_id").to_numpy(), unit(right.column("u")), right.column("vec_id").to_numpy(), cosine)
-        return pa.table({"vec_id": pa.array(list(found), pa.int64()), "n": pa.array([x[0] for x in found.values()], pa.int64()), "root": pa.array([x[1] for x in found.values()], pa.int64())})
+            found = compare(unit(left.column("u")), left.column("vertex").to_numpy(), unit(right.column("u")), right.column("vertex").to_numpy(), right.column("w").to_numpy(), cosine)
+        return pa.table({"vertex": pa.array(list(found), pa.int64()), "n": pa.array([x[0] for x in found.values()], pa.int64()), "root": pa.array([x[1] for x in found.values()], pa.int64())})
 
     key = ("label", "cell", "rb", "vb")
-    columns = ("vec_id", "u", *key)
-    v, r = v.select(*columns).toDF(*columns), r.select(*columns).toDF(*columns)
-    found = v.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(block, "vec_id long, n long, root long")
+    v, r = v.select("vertex", "u", *key), r.select("vertex", "u", "w", *key)
+    v, r = v.toDF(*v.columns), r.toDF(*r.columns)
+    found = v.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(block, "vertex long, n long, root long")
     found = materialize(found, "found")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    comps = connected_components(found.select("vec_id", "root").distinct(), "vec_id", "root").select(F.col("node").alias("vec_id"), "component")
-    out = ids.join(counts, "vec_id", "left").join(comps, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    edges = found.select("vertex", "root").distinct()
+
+    # rows that repeat a vec_id: their vertices are one, and pairs of them are no links
+    again = rows.groupBy("vec_id").agg(F.count("*").alias("c")).filter("c > 1").select("vec_id")
+    again = rows.join(again, "vec_id").groupBy("vec_id", "h1", "h2").agg(F.count("*").alias("c"))
+    again = materialize(again.join(vertices.select("h1", "h2", "vertex", "label", "u"), ["h1", "h2"]).select("vec_id", "c", "vertex", "label", "u"), "again")
+    own = None
+    if not again.isEmpty():
+        edges = edges.union(again.join(again.groupBy("vec_id").agg(F.min("vertex").alias("root")), "vec_id").filter("vertex <> root").select("vertex", "root"))
+        x, y = again.select("vec_id", "c", "vertex", "label", "u"), again.toDF("vec_id", "c2", "vertex2", "label2", "u2")
+
+        def dot(p: str, q: str) -> Column:
+            return F.aggregate(F.zip_with(F.col(p).cast("array<double>"), F.col(q).cast("array<double>"), lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+
+        pairs = x.join(y, "vec_id").filter((F.col("vertex") == F.col("vertex2")) | ((F.col("label") == F.col("label2")) & (dot("u", "u2") >= cosine * F.sqrt(dot("u", "u")) * F.sqrt(dot("u2", "u2")))))
+        own = pairs.groupBy("vec_id").agg(F.sum(F.col("c") * F.col("c2")).alias("own"))
+
+    comps = connected_components(edges, "vertex", "root").select(F.col("node").alias("vertex"), "component")
+    comps = comps.join(vertices.select("vertex", "first"), "vertex")
+    comps = comps.join(comps.groupBy("component").agg(F.min("first").alias("lowest")), "component").select("vertex", "lowest")
+    counts = found.groupBy("vertex").agg(F.sum("n").alias("n"))
+    linked = vertices.select("vertex", "h1", "h2", "w", "first").join(counts, "vertex", "left").join(comps, "vertex", "left").filter("w > 1 OR lowest IS NOT NULL")
+    linked = linked.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w")).alias("n"), F.coalesce("lowest", "first").alias("component"))
+    known = rows.select("vec_id", "h1", "h2").join(linked, ["h1", "h2"]).groupBy("vec_id").agg(F.sum("n").alias("n"), F.min("component").alias("component"))
+    out = ids.join(known, "vec_id", "left")
+    out = out.join(own, "vec_id", "left") if own is not None else out.withColumn("own", F.lit(1))
+    out = out.select("vec_id", F.coalesce(F.col("n") - F.coalesce("own", F.lit(1)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -75,3 +75,37 @@ def test_few_or_no_vectors(spark, vectors):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1), (50, [1.0, 0.0], 1), (51, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert {tuple(r) for r in topk.top_k(few, "vec_id % 50 = 0").collect()} == {(0, 1, 50, 65536), (0, 2, 51, 65536), (50, 1, 0, 65536), (50, 2, 51, 65536)}
     assert {(r.vec_id, r.n_links, r.component_id) for r in multi_index.near_duplicates(few).collect()} == {(0, 2, 0), (50, 2, 0), (51, 2, 0)}
+
+
+def planted(n, pairs, copies, least=0.935, most=0.97, d=16, seed=9):
+    """n vectors of one label, partners of the first `pairs` at a cosine from least to most, copies of the last."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, d))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=(pairs, d))
+    aside -= (aside * base[:pairs]).sum(axis=1, keepdims=True) * base[:pairs]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    c = rng.uniform(least, most, size=(pairs, 1))
+    m = np.concatenate([base, c * base[:pairs] + np.sqrt(1 - c**2) * aside, np.repeat(base[-1:], copies, axis=0)])
+    return m.astype(np.float32)
+
+
+def found_and_true(spark, m, label=1):
+    got = multi_index.near_duplicates(spark.createDataFrame([(i, v.tolist(), label) for i, v in enumerate(m)], "vec_id long, embedding array<float>, label int"))
+    x = m.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return np.array([r.n_links for r in got.orderBy("vec_id").collect()]), (x @ x.T >= 0.93).sum(axis=1) - 1
+
+
+def test_copies_do_not_hide_other_links(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "IN_CELL", 10)
+    found, true = found_and_true(spark, planted(1_000, 600, 1_500))
+    assert (found <= true).all() and (found[-1_500:] == 1_500).all()
+    assert (found[:600] / true[:600]).mean() > 0.99
+
+
+def test_ids_repeated_with_copies_and_other_vectors(spark):
+    near = [1.0, 0.1, 0.0]
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.0, 0.0], 1), (5, near, 1), (7, near, 1), (5, [0.0, 0.0, 1.0], 1), (9, [0.0, -0.0, 1.0], 1), (4, [0.0, 1.0, 0.0], 1)]
+    got = multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert {tuple(r) for r in got.collect()} == {(5, 4, 5, True), (7, 3, 5, False), (9, 1, 5, False), (4, 0, 4, True)}
