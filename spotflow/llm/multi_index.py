@@ -3,8 +3,9 @@
 Each half of a unit vector has a codebook of its own; the product of the two is a grid of cells. A
 vector lies in the cell of its nearest centroid pair. It visits cells by ascending sum of the two
 distances (multi-sequence traversal with a heap) until the target recall is reached: how many cells
-that takes is measured on sampled vectors, all of whose links are known from brute force. Equal
-vectors of a label are one weighted vertex, so copies neither count as links of the measure nor are
+that takes is measured on sampled vectors, all of whose links are known from brute force; the sample
+grows until enough of them have links. Where links stay too rare, the grid is coarse and a vector
+visits every cell that could hold a vector at the least cosine, so that none is lost. Equal vectors of a label are one weighted vertex, so copies neither count as links of the measure nor are
 compared with each other; their links are added afterwards. Visitors and residents of a cell are
 compared exactly, in blocks of bounded size, and tasks return counts and a spanning set of links,
 never pairs.
@@ -23,8 +24,11 @@ from spotflow.operators.components import connected_components
 from spotflow.session import materialize
 
 #: Vectors that train a codebook for each of its centroids, the most centroids, vectors a cell is meant to
-#: hold, vectors whose links are measured, residents and visitors that are compared in one task.
-TRAIN, CENTROIDS, IN_CELL, MEASURED, RESIDENTS, VISITORS = 64, 1_024, 200, 400, 256, 512
+#: hold, residents and visitors that are compared in one task.
+TRAIN, CENTROIDS, IN_CELL, RESIDENTS, VISITORS = 64, 1_024, 200, 256, 512
+#: Vectors whose links are measured at first and at most, those of them with links that settle the measure,
+#: and vectors a cell and a block hold where links are too rare for that.
+MEASURED, MEASURED_MOST, ENOUGH, IN_COARSE = 400, 25_600, 100, 4_096
 
 
 def codebook(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -59,6 +63,17 @@ def traverse(d1: np.ndarray, d2: np.ndarray, cells: int) -> list[tuple[int, int]
     return out
 
 
+def to_cells(d2: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Least squared distance of points to the cell of each centroid, from squared distances to the centroids: a
+    cell lies behind the planes halfway to all other centroids."""
+    apart = np.sqrt(np.maximum(distances(centre, centre), 0))
+    least = np.zeros_like(d2)
+    for b in range(len(centre)):
+        far = apart[:, b] > 1e-6
+        least[:, far] = np.maximum(least[:, far], (d2[:, far] - d2[:, b : b + 1]) / (2 * apart[far, b]))
+    return least**2
+
+
 def cells_before(d1: np.ndarray, d2: np.ndarray, i: int, j: int) -> int:
     """How many cells the traversal visits before cell (i, j)."""
     return int(np.searchsorted(np.sort(d2), d1[i] + d2[j] - d1).sum())
@@ -95,8 +110,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     is at least `cosine`. Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do those whose length is not the most frequent one. A null vec_id has no links, a
     null component and is not kept; rows that repeat a vec_id are one vector. Codebooks are trained on at
-    most TRAIN vectors a centroid and the number of visited cells is measured on MEASURED vectors against
-    all others, each with the same say however many links it has; every row is indexed and searched.
+    most TRAIN vectors a centroid. The number of visited cells is measured on MEASURED vectors against all
+    others, each with the same say however many links it has, and on more, up to MEASURED_MOST, until ENOUGH
+    of them have links or all are measured; else no cell within reach of the cosine is left out. Every row
+    is indexed and searched.
     """
     ids = vectors.select(F.col("vec_id").cast("long"))
     raw = F.col("embedding").cast("array<double>")
@@ -125,48 +142,68 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     one, two = codebook(train[:, :half], k), codebook(train[:, half:], k)
 
     # cells that must be visited: ranks of the cells of true neighbours in the traversal of sampled vectors
-    asked = vertices.filter(F.pmod(F.xxhash64("first", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) < min(1.0, MEASURED / n)).select("vertex", "label", "u").collect()
-    a_id, a_label = np.array([r.vertex for r in asked]), np.array([r.label for r in asked])
-    a = np.array([r.u for r in asked]).reshape(-1, d)
-    a = a / np.linalg.norm(a, axis=1, keepdims=True)
-
     def unit(column) -> np.ndarray:
         m = matrix(column)
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-    def ranks(batches):
-        before: dict[tuple[int, int, int], int] = {}
-        for batch in batches:
-            found: dict[tuple[int, int, int], int] = {}
-            label, vertex = batch.column("label").to_numpy(zero_copy_only=False), batch.column("vertex").to_numpy()
-            for name in set(label) & set(a_label):
-                mine, ask = np.flatnonzero(label == name), np.flatnonzero(a_label == name)
-                m = unit(batch.column("u").take(pa.array(mine)))
-                for lo in range(0, len(m), 2_048):
-                    x = m[lo : lo + 2_048]
-                    i, j = np.nonzero((a[ask] @ x.T >= cosine) & (a_id[ask][:, None] != vertex[mine][None, lo : lo + 2_048]))
-                    if not len(i):
-                        continue
-                    c1, c2 = distances(x[:, :half], one).argmin(axis=1), distances(x[:, half:], two).argmin(axis=1)
-                    hits, times = np.unique(np.stack([ask[i], c1[j], c2[j]]), axis=1, return_counts=True)
-                    for q, c, e, times_ in zip(*hits.tolist(), times.tolist()):
-                        found[q, c, e] = found.get((q, c, e), 0) + times_
-            for q, c, e in found.keys() - before.keys():
-                before[q, c, e] = cells_before(distances(a[q : q + 1, :half], one)[0], distances(a[q : q + 1, half:], two)[0], c, e)
-            yield pa.RecordBatch.from_pydict({"q": pa.array([x[0] for x in found], pa.int64()), "before": pa.array([before[x] for x in found], pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
-
-    seen = vertices.select("vertex", "label", "u").mapInArrow(ranks, "q long, before long, n long").groupBy("q", "before").agg(F.sum("n").alias("n")).toPandas()
-    cells = min(k * k, 64)
-    if seen["n"].sum() >= 100:
+    def measure(m: float):
+        """Queries with links, cells before those of their links and how many; of about m queries."""
+        asked = vertices.filter(F.pmod(F.xxhash64("first", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) < min(1.0, m / n)).select("vertex", "label", "u").collect()
+        a_id, a_label = np.array([r.vertex for r in asked]), np.array([r.label for r in asked])
+        a = np.array([r.u for r in asked]).reshape(-1, d)
+        a = a / np.linalg.norm(a, axis=1, keepdims=True)
+        return vertices.select("vertex", "label", "u").mapInArrow(ranks_of(a, a_id, a_label), "q long, before long, n long").groupBy("q", "before").agg(F.sum("n").alias("n")).toPandas()
+
+    def ranks_of(a: np.ndarray, a_id: np.ndarray, a_label: np.ndarray):
+        def ranks(batches):
+            before: dict[tuple[int, int, int], int] = {}
+            for batch in batches:
+                found: dict[tuple[int, int, int], int] = {}
+                label, vertex = batch.column("label").to_numpy(zero_copy_only=False), batch.column("vertex").to_numpy()
+                for name in set(label) & set(a_label):
+                    mine, ask = np.flatnonzero(label == name), np.flatnonzero(a_label == name)
+                    m = unit(batch.column("u").take(pa.array(mine)))
+                    step = max(64, 4_000_000 // len(ask))  # bounds the product
+                    for lo in range(0, len(m), step):
+                        x = m[lo : lo + step]
+                        i, j = np.nonzero((a[ask] @ x.T >= cosine) & (a_id[ask][:, None] != vertex[mine][None, lo : lo + step]))
+                        if not len(i):
+                            continue
+                        c1, c2 = distances(x[:, :half], one).argmin(axis=1), distances(x[:, half:], two).argmin(axis=1)
+                        hits, times = np.unique(np.stack([ask[i], c1[j], c2[j]]), axis=1, return_counts=True)
+                        for q, c, e, times_ in zip(*hits.tolist(), times.tolist()):
+                            found[q, c, e] = found.get((q, c, e), 0) + times_
+                for q, c, e in found.keys() - before.keys():
+                    before[q, c, e] = cells_before(distances(a[q : q + 1, :half], one)[0], distances(a[q : q + 1, half:], two)[0], c, e)
+                yield pa.RecordBatch.from_pydict({"q": pa.array([x[0] for x in found], pa.int64()), "before": pa.array([before[x] for x in found], pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
+
+        return ranks
+
+    asked, seen = MEASURED, measure(MEASURED)
+    while seen["q"].nunique() < ENOUGH and asked < min(n, MEASURED_MOST):
+        asked *= 4
+        seen = measure(asked)
+    settled = seen["q"].nunique() >= ENOUGH or asked >= n
+    cells, residents, visitors = 1, RESIDENTS, VISITORS
+    if len(seen):
         share = (seen["n"] / seen.groupby("q")["n"].transform("sum")).groupby(seen["before"]).sum().sort_index().cumsum()
         cells = int(min(k * k, 2 * (share.index[share >= recall * share.iloc[-1]][0] + 1)))
+    if not settled:
+        k, residents, visitors = int(min(CENTROIDS, max(2, round((n / IN_COARSE) ** 0.5)))), IN_COARSE, IN_COARSE
+        one, two = codebook(train[:, :half], k), codebook(train[:, half:], k)
+    reach = 2 * (1 - cosine) + 1e-9  # squared distance of unit vectors at the least cosine
+
+    def visits_of(d1: np.ndarray, d2: np.ndarray) -> list:
+        if settled:
+            return [[i * k + j for i, j in traverse(x, y, cells)] for x, y in zip(d1, d2)]
+        return [np.flatnonzero(x[:, None] + y[None, :] <= reach) for x, y in zip(to_cells(d1, one), to_cells(d2, two))]
 
     def place_in(batches):
         for batch in batches:
             m = unit(batch.column("u")) if len(batch) else np.zeros((0, d))
             d1, d2 = distances(m[:, :half], one), distances(m[:, half:], two)
             own = d1.argmin(axis=1) * k + d2.argmin(axis=1)
-            visits = [[i * k + j for i, j in traverse(x, y, cells)] for x, y in zip(d1, d2)]
+            visits = visits_of(d1, d2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64()), pa.array(visits, pa.list_(pa.int64()))], names=[*batch.schema.names, "own", "visits"])
 
     placed = materialize(vertices.select("vertex", "label", "u", "w").mapInArrow(place_in, f"vertex long, label string, u {kind}, w long, own long, visits array<long>"), "placed")
@@ -174,17 +211,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     r = placed.select("vertex", "label", "u", "w", F.col("own").alias("cell"))
     held = r.groupBy("label", "cell").agg(F.count("*").alias("residents"))
     come = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("visitors"))
-    cut = held.join(come, ["label", "cell"]).select("label", "cell", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("nr"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("nv"))
+    cut = held.join(come, ["label", "cell"]).select("label", "cell", F.ceil(F.col("residents") / residents).cast("int").alias("nr"), F.ceil(F.col("visitors") / visitors).cast("int").alias("nv"))
     cut = materialize(cut, "cells")
     h = F.xxhash64("vertex")
     v = v.join(cut, ["label", "cell"]).withColumn("vb", F.pmod(h, "nv").cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
     r = r.join(cut, ["label", "cell"]).withColumn("rb", F.pmod(h, "nr").cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[int, list[int]] = {}
+        found: list[tuple[int, int, int]] = []
         if len(left) and len(right):
-            found = compare(unit(left.column("u")), left.column("vertex").to_numpy(), unit(right.column("u")), right.column("vertex").to_numpy(), right.column("w").to_numpy(), cosine)
-        return pa.table({"vertex": pa.array(list(found), pa.int64()), "n": pa.array([x[0] for x in found.values()], pa.int64()), "root": pa.array([x[1] for x in found.values()], pa.int64())})
+            m, m_id, weight = unit(right.column("u")), right.column("vertex").to_numpy(), right.column("w").to_numpy()
+            for lo in range(0, len(left), VISITORS):
+                part = left.slice(lo, VISITORS)
+                links = compare(unit(part.column("u")), part.column("vertex").to_numpy(), m, m_id, weight, cosine)
+                found += [(i, c, root) for i, (c, root) in links.items()]
+        return pa.table({"vertex": pa.array([x[0] for x in found], pa.int64()), "n": pa.array([x[1] for x in found], pa.int64()), "root": pa.array([x[2] for x in found], pa.int64())})
 
     key = ("label", "cell", "rb", "vb")
     v, r = v.select("vertex", "u", *key), r.select("vertex", "u", "w", *key)

@@ -109,3 +109,20 @@ def test_ids_repeated_with_copies_and_other_vectors(spark):
     rows = [(5, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.0, 0.0], 1), (5, near, 1), (7, near, 1), (5, [0.0, 0.0, 1.0], 1), (9, [0.0, -0.0, 1.0], 1), (4, [0.0, 1.0, 0.0], 1)]
     got = multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     assert {tuple(r) for r in got.collect()} == {(5, 4, 5, True), (7, 3, 5, False), (9, 1, 5, False), (4, 0, 4, True)}
+
+
+@pytest.mark.parametrize("most", [25_600, 400])  # all vectors are measured; links stay too rare to measure
+def test_rare_links_are_found(spark, monkeypatch, most):
+    monkeypatch.setattr(multi_index, "IN_CELL", 10)
+    monkeypatch.setattr(multi_index, "IN_COARSE", 300, raising=False)
+    monkeypatch.setattr(multi_index, "MEASURED_MOST", most, raising=False)
+    found, true = found_and_true(spark, planted(4_000, 40, 0, most=0.94, d=32))
+    assert true.sum() == 80 and (found == true).all()
+
+
+def test_bound_of_a_cell():
+    rng = np.random.default_rng(6)
+    x, centre = rng.normal(size=(300, 5)), rng.normal(size=(9, 5))
+    near = multi_index.distances(x, centre)
+    bound, own = multi_index.to_cells(near, centre), near.argmin(axis=1)
+    assert (bound[:, own] <= multi_index.distances(x, x) + 1e-9).all() and (bound > 0).any()
