@@ -4,8 +4,10 @@ Markup is stripped first: tags that end a line end a block, and what belongs to
 adverts, forms, scripts and the like by its element, role or class is left out. Every remaining line
 has a length: its characters outside links. Sums of lengths over sliding windows of lines rise
 steeply where the article begins (surge) and fall to nothing where it ends (dive); the lines from a
-surge to its dive are kept. Lines inside an article or main element count as dense, so that there a
-surge and a dive lie on the element's borders and short paragraphs survive.
+surge to its dive are kept. Borders of an article or main element end a window. Inside such an element
+the thresholds are lower: if its text is enough for a surge, all its windows with any text are kept, so
+that short paragraphs survive and lists of links fall; cards whose text is not enough fall too, and dense
+text beside an element is kept.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ MARKS = frozenset(
     "replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What may follow a mark in a class or id of an article; other words (comments-open, has-sidebar) say what it has.
+PARTS = frozenset("body box card content entry item list text wrapper".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -47,8 +52,10 @@ def _is_apart(name: str, attrs: str, inside: bool) -> bool:
     """Whether an element is not main text; inside: it stands in an article or main element."""
     if name in APART or (name == "header" and not inside):
         return True
-    if name in ("article", "main", "body", "html") or name in INLINE:
+    if name in ("main", "body", "html") or name in INLINE:
         return False
+    if name == "article":
+        return _is_apart_article(attrs)
     for kind, a, b, c in NAMES.findall(attrs) if attrs else ():
         value = a or b or c
         if kind.lower() == "role":
@@ -61,19 +68,33 @@ def _is_apart(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article or main element) of each block with text, in page order."""
-    out: list[tuple[str, int, bool]] = []
+def _is_apart_article(attrs: str) -> bool:
+    """Whether an article is marked as a comment, an advert or the like by a role or a whole name."""
+    for kind, a, b, c in NAMES.findall(attrs) if attrs else ():
+        for value in (a or b or c).split():
+            if kind.lower() == "role":
+                if value.lower() in ROLES:
+                    return True
+                continue
+            words = [w.lower() for w in WORDS.findall(value)]
+            if words and words[0] in MARKS and all(w in MARKS or w in PARTS for w in words[1:]):
+                return True
+    return False
+
+
+def lines_of(html: str) -> list[tuple[str, int, int]]:
+    """(text, characters in links, number of the outermost article or main element around it, else 0) of each block with text, in page order."""
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = at = 0
     apart, nested = "", 0  # the element that is left out, and how many of its name are open in it
-    main = links = 0
+    main = links = elements = 0
 
     def end() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append((text, min(linked, len(text)), main > 0))
+            out.append((text, min(linked, len(text)), elements if main else 0))
         parts.clear()
         linked = 0
 
@@ -113,6 +134,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             end()
             apart, nested = name, 1
         elif name in ("article", "main"):
+            elements += not closing and not main
             main = max(0, main + (-1 if closing else 1))
         elif name == "a":
             links = 0 if closing else 1
@@ -121,29 +143,43 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
-    """The lines between surge and dive points of the line-block distribution."""
-    if any(inside for _, _, inside in lines):
-        length = np.array([SURGE if inside else 0 for _, _, inside in lines])
-    else:
-        length = np.array([len(text) - linked if linked * 2 <= len(text) else 0 for text, linked, _ in lines], dtype=np.int64)
-    if not len(lines):
-        return []
-    ahead = np.convolve(length, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # sums of each line and those after it
-    if ahead.max() < SURGE:  # nothing surges on a short page: all of its text outside links
-        return [text for (text, _, _), n in zip(lines, length) if n]
-    kept, i = [], 0
-    while i < len(lines):
-        if not length[i] or ahead[i] < SURGE:
+def _dense(lengths: list[int]) -> list[bool]:
+    """Which of the lines of a block lie between a surge and its dive."""
+    ahead = np.convolve(np.array(lengths, dtype=np.int64), np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # sums of each line and those after it
+    kept, i = [False] * len(lengths), 0
+    while i < len(lengths):
+        if not lengths[i] or ahead[i] < SURGE:
             i += 1
             continue
-        start = i
-        while i < len(lines) and ahead[i] > DIVE:
+        while i < len(lengths) and ahead[i] > DIVE:
+            kept[i] = lengths[i] > 0
             i += 1
-        kept += [text for (text, _, _), n in zip(lines[start:i], length[start:i]) if n]
     return kept
 
 
+def _not_empty(lengths: list[int]) -> list[bool]:
+    """Which of the lines of an element with enough text are in no window without any text."""
+    kept = [sum(lengths) >= SURGE] * len(lengths)
+    for i in range(len(lengths) - WINDOW + 1):
+        if not any(lengths[i : i + WINDOW]):
+            kept[i : i + WINDOW] = [False] * WINDOW
+    return kept
+
+
+def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
+    """The lines between surge and dive points of the line-block distribution, by block: an article or main
+    element, or what stands between them."""
+    true = [len(text) - linked if linked * 2 <= len(text) else 0 for text, linked, _ in lines]
+    kept: list[bool] = []
+    for element, block in groupby(zip(true, lines), key=lambda x: x[1][2]):
+        lengths = [n for n, _ in block]
+        kept += _not_empty(lengths) if element else _dense(lengths)
+    if not any(kept):  # nothing surges on a short page: the text of its elements, else all of its text outside links
+        inside = any(element for _, _, element in lines)
+        kept = [element > 0 if inside else n > 0 for n, (_, _, element) in zip(true, lines)]
+    return [text for keep, (text, _, _) in zip(kept, lines) if keep]
+
+
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """pages with its main text in `text` (an input column of that name is replaced). White space in a
     block becomes one space, blocks are joined by one space in page order, character references are

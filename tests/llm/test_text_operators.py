@@ -302,6 +302,19 @@ def test_html_main_text(spark):
     assert html.extract(df.filter("false")).count() == 0
 
 
+def test_article_and_main_do_not_hide_other_text():
+    def found(page):
+        return html.main_lines(html.lines_of(page))
+
+    body, cards = "A sentence of the body of this page. " * 6, "".join(f"<article><a href=/{i}>Card {i}</a><p>Short teaser.</p></article>" for i in range(3))
+    assert found(f"<body><div><p>{body}</p></div>{cards}</body>") == [body.strip()]
+    assert found(f"<body><div><p>{body}</p></div><main><p>Not much.</p></main></body>") == [body.strip()]
+    comment = f"<article class='comment-body'><p>{body}</p></article><article id=advert><p>{body}</p></article>"
+    assert found(f"<body><article class='post comments-open has-sidebar'><h1>Head</h1><p>{body}</p></article>{comment}</body>") == ["Head", body.strip()]
+    links = "".join(f"<p><a href=/{i}>Another page {i}</a></p>" for i in range(4))
+    assert found(f"<main><h1><a href=/>Head</a></h1><p>{body}</p>{links}</main>") == ["Head", body.strip()]
+
+
 def test_dense_lines_between_surge_and_dive():
     lines = [("Home", 4, False), ("x" * 200, 0, False), ("short", 0, False), ("y" * 150, 0, False), ("Imprint", 7, False), ("Contact", 7, False), ("Terms", 5, False)]
     assert html.main_lines(lines) == ["x" * 200, "short", "y" * 150]
