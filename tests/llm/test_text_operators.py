@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import re
 import math
 import random
 from collections import Counter
@@ -284,6 +285,14 @@ def test_licences_equal_sql(spark, rows):
     assert not any("Python" in x or "Arrow" in x for x in [licenses.scan(pdf)._jdf.queryExecution().toString()])
 
 
+def test_whole_licence_texts(spark):
+    body = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", *licenses.LONG)}
+    wrapped = [(i, f"{name} licence\n\nCopyright (c) 2020 Someone\n\n" + re.sub(r"((?:\S+ ){12})", r"\1\n", text)) for i, (name, text) in enumerate(body.items())]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(wrapped, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(body))
+    assert all(len(text.split()) > 100 for text in body.values())
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/x>Menu one</a></nav><div class="ad">Buy now, it is cheap and good for you and all.</div>
 <article><h1>Head &amp; line</h1><p>First   paragraph with <b>bold
 text</b> and &eacute;.<p>Second one.</p><div class="comments"><p>A reader says something here.</p></div></article><footer>&copy; 2020 someone</footer><script>var a="<p>no</p>";</script></body></html>"""
