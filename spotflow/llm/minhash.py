@@ -8,8 +8,8 @@ in a band share a bucket.
 
 Candidates of a bucket form a star around its smallest document instead of all pairs, and links are
 confirmed on the full sets of shingles, for each document first with the hub it shares most bands
-with. Buckets whose members are still in different components after that are open: their members are
-compared block by block inside tasks that return links only. No bucket is capped.
+with. Buckets whose members are still in different components after that are open: members of different
+components are compared block by block inside tasks that return links only. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.llm.text import lower_words, mix64, slices
+from spotflow.llm.text import lower_words, mix64, row_keys, slices
 from spotflow.operators.components import connected_components
 from spotflow.session import materialize
 
-#: Documents in a block of the comparison of open buckets, and in a family that is compared as a whole.
-TILE, FAMILY = 128, 20_000
+#: Documents in a block of the comparison of open buckets, and shingles that are compared at a time.
+TILE, SHINGLES = 256, 8_192
 #: Bits of the largest filter of document ids.
 FILTER = 1 << 27
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -176,9 +176,9 @@ def tile_links(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, sets: lis
     order = np.argsort(column, kind="stable")
     doc, column = doc[order], column[order]
     common = np.zeros((n, n), dtype=np.float32)
-    for lo in range(0, len(shared), 16_384):  # some columns at a time
-        i, j = np.searchsorted(column, [lo, lo + 16_384])
-        m = np.zeros((n, min(16_384, len(shared) - lo)), dtype=np.float32)
+    for lo in range(0, len(shared), SHINGLES):  # some columns at a time
+        i, j = np.searchsorted(column, [lo, lo + SHINGLES])
+        m = np.zeros((n, min(SHINGLES, len(shared) - lo)), dtype=np.float32)
         m[doc[i:j], column[i:j] - lo] = 1
         common += m @ m.T
     link = 100.0 * common >= percent * (size[:, None] + size[None, :] - common.astype(np.float64))
@@ -200,36 +200,46 @@ def tile_links(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, sets: lis
     return out
 
 
-def _compare_open(open_members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+def _compare_open(open_members: DataFrame, sizes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (a, b) between members of open buckets that are still in different components.
 
-    open_members: key, id, c (component) and hub. The buckets' stars form families. All of a family of
-    at most FAMILY documents are compared with each other; of a larger one the members of each bucket,
-    so that work stays bounded by what shares a bucket. Groups are cut into blocks of TILE documents,
-    and one task compares two blocks; it returns links, never pairs.
+    open_members: key, id and c (component); sizes: id and n. Of buckets with the same members one is
+    compared. Its members are dealt into blocks of about TILE documents by the band of their set size and
+    by component: a component of TILE members and more has blocks of its own. Only blocks whose bands are
+    neighbours, as sets of enough similarity have, and that can hold different components meet, so the
+    members of one large component meet those of the others and never each other. One task compares
+    two blocks and returns links, never pairs. This holds for buckets of every size.
     """
-    families = connected_components(open_members.select(F.col("hub").alias("a"), F.col("id").alias("b")), "a", "b")
-    sizes = families.groupBy("component").agg(F.count("*").alias("m"))
-    named = materialize(families.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), "m"), "families")
-    whole = open_members.select("id", "c").distinct().join(named.filter(F.col("m") <= FAMILY), "id").select(F.col("family").alias("g"), F.lit(0).alias("kind"), "id", "c", "m")
-    rest = open_members.select("key", "id", "c").join(named.filter(F.col("m") > FAMILY).select("id"), "id")
-    of_key = rest.groupBy("key").agg(F.count("*").alias("m"))
-    parts = rest.join(of_key, "key").select(F.col("key").alias("g"), F.lit(1).alias("kind"), "id", "c", "m")
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
-    dealt = whole.unionByName(parts).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = dealt.select("g", "kind", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "c", "block")
-    sets = _full_sets(docs, open_members, scheme.words)
+    h = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    one = open_members.groupBy("key").agg(F.count("*").alias("m"), *h).groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    wide = math.log(100 / scheme.percent) * (1 - 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / wide).cast("int") if scheme.percent < 100 else F.lit(0)
+    rows = open_members.select("key", "id", "c").join(materialize(one, "distinct"), "key", "left_semi").join(sizes, "id")
+    rows = materialize(rows.select("key", "id", "c", band.alias("band")).distinct(), "members")
+    of_comp = rows.groupBy("key", "band", "c").agg(F.count("*").alias("of"))
+    small = F.sum(F.when(F.col("of") < TILE, F.col("of")).otherwise(0))
+    rest = of_comp.groupBy("key", "band").agg(small.alias("rest"))
+    big = F.when(F.col("of") >= TILE, F.col("c"))
+    of_comp = of_comp.join(rest, ["key", "band"])
+    spread = F.when(big.isNotNull(), F.ceil(F.col("of") / TILE)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("rest") / TILE)))
+    plan = materialize(of_comp.select("key", "band", "c", big.alias("big"), spread.cast("long").alias("spread")), "plan")
+    number = F.pmod(F.xxhash64(F.when(F.col("big").isNotNull(), F.col("id")).otherwise(F.col("c"))), F.col("spread"))
+    dealt = materialize(rows.join(plan, ["key", "band", "c"]).select("key", "id", "c", "band", "big", F.xxhash64("band", "big", number).alias("block")), "dealt")
+    blocks = dealt.groupBy("key", "block").agg(F.min("band").alias("band"), F.min("big").alias("big"), F.min("c").alias("low"), F.max("c").alias("high"))
+    x, y = blocks.toDF("key", "lo", "band_x", "big_x", "low_x", "high_x"), blocks.toDF("key", "hi", "band_y", "big_y", "low_y", "high_y")
+    tiles = x.join(y, "key").filter("lo <= hi AND abs(band_x - band_y) <= 1 AND least(low_x, low_y) < greatest(high_x, high_y)").select("key", "lo", "hi")
+    tiles = materialize(tiles, "tiles")
+    ends = tiles.select("key", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    met = ends.join(dealt.select("key", "block", "id", "c"), ["key", "block"])
+    sets = _full_sets(docs, rows, scheme.words)
 
     def link(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_numpy() for c in ("id", "c", "block")}
-        found = []
-        if len(np.unique(cols["c"])) > 1:
-            sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-            found = tile_links(cols["id"], cols["c"], cols["block"], sets, scheme.percent)
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        found = tile_links(cols["id"], cols["c"], cols["block"], sets, scheme.percent)
         return pa.table({k: pa.array([f[i] for f in found], pa.int64()) for i, k in enumerate("ab")})
 
-    return materialize(tiles.join(sets, "id").groupBy("g", "kind", "lo", "hi").applyInArrow(link, "a long, b long"), "links")
+    return materialize(met.join(sets, "id").groupBy("key", "lo", "hi").applyInArrow(link, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
@@ -259,14 +269,28 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     links = _confirm(best, _full_sets(docs, best.select(F.explode(F.array("a", "b")).alias("id")), scheme.words), scheme.percent)
     comps = connected_components(links, "a", "b")
 
-    held = buckets.join(comps.select(F.col("node").alias("id"), F.col("component")), "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("c"))
+    held = buckets.join(comps.select(F.col("node").alias("id"), F.col("component")), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     held = materialize(held, "held")
     mixed = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    left = materialize(held.join(materialize(mixed, "mixed"), "key", "left_semi"), "open")
+    left = materialize(held.join(materialize(mixed, "mixed"), "key", "left_semi").select("key", "id", "c").distinct(), "open")
     if not left.limit(1).isEmpty():
-        comps = connected_components(links.unionByName(_compare_open(left, docs, scheme)), "a", "b")
+        comps = connected_components(links.unionByName(_compare_open(left, n, docs, scheme)), "a", "b")
 
     reached = comps.select(F.col("node").alias("rep"), "component")
     whole = rep_of.join(reached, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     lost = sketch.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return whole.unionByName(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
+    """docs without near duplicates: of each group one row stays, that with the smallest doc_id.
+
+    Every row is a document of its own, also rows without a doc_id and those that share one; in a group
+    with such rows the one that stays follows from a hash of the rows. Rows without words stay all.
+    """
+    keyed = row_keys(docs)
+    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), scheme)
+    kept = materialize(groups.filter("kept").select(F.col("doc_id").alias("_key"), (F.col("n_shingles") > 0).alias("_words")).distinct(), "kept")
+    rows = keyed.join(kept, "_key")
+    alone = rows.filter("NOT _again OR NOT _words").select(*docs.columns)
+    return alone.unionByName(rows.filter("_again AND _words").dropDuplicates(["_key"]).select(*docs.columns))

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from spotflow.session import materialize
 
 #: A word is a run of characters other than space and the controls from tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,6 +32,18 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with a long column `_key` and a boolean `_again`: where a doc_id is not null and one row's alone
+    it is the key; other rows (_again) get a hash of the whole row, so that only equal rows share a key."""
+    counted = docs.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count("*").alias("_n"))
+    again = materialize(counted.filter("_n > 1 OR _id IS NULL").select("_id", F.lit(True).alias("_again")), "again")
+    own = F.col("doc_id").cast("long")
+    if again.isEmpty():
+        return docs.withColumn("_key", own).withColumn("_again", F.lit(False))
+    marked = docs.join(again, own.eqNullSafe(again["_id"]), "left").drop("_id").withColumn("_again", F.coalesce("_again", F.lit(False)))
+    return marked.withColumn("_key", F.when(F.col("_again"), F.xxhash64(*docs.columns)).otherwise(own))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches at row borders so that a piece holds about `chars` bytes of text (or one row)."""
     for batch in batches:
