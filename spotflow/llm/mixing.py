@@ -2,8 +2,8 @@
 
 Targets share the corpus's words by weight, bounded by a multiple of each source's own words. A
 source's target is met by whole copies of all its documents and, for the rest, by one more copy of
-some: documents are counted by exact length, every length takes its even share of the rest, and a
-bounded-knapsack dynamic program over the documents left in each length fits what remains to the
+some: documents are counted by exact length, every length takes its even share of the rest but REACH
+words, and a bounded-knapsack dynamic program over the documents left in each length fits those to the
 word. Which documents of a length are taken follows from a seeded hash.
 """
 
@@ -13,12 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spotflow.llm.text import word_count
+from spotflow.llm.text import row_keys, word_count
 from spotflow.session import materialize
 
 #: Documents of one source and length that one task ranks; larger groups are dealt into so many.
 RANKED = 256
-#: The dynamic program starts when so many words remain; fits the sum of a few of the longest documents.
+#: Words of a budget that are left to the dynamic program; fits the sum of a few of the longest documents.
 REACH = 50_000
 
 
@@ -44,10 +44,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 def fit_counts(length: np.ndarray, available: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near `budget` as can be.
 
-    length: distinct and positive; budget: at most the words there are.
+    length: distinct and positive; budget: at most the words there are. Lengths share the budget beyond
+    REACH words evenly; the last REACH words are fitted, which for a smaller budget is all of it.
     """
     words = int((length * available).sum())
-    share = available * (budget / max(1, words)) * (words > REACH)  # few words are left to the program alone
+    share = available * (max(0, budget - REACH) / max(1, words))
     taken = np.floor(share).astype(np.int64)
     rest, share = budget - int((length * taken).sum()), share - taken
     for i in np.argsort(-share, kind="stable"):  # the largest remainders first
@@ -128,7 +129,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
 
 def repeat(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed corpus: rows of docs, each as often as the mix takes it (not at all to three times).
-    doc_id should identify a row; rows that share one share the largest number of copies."""
-    copies = mix(docs, seed=seed).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    often = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    Rows without a doc_id and rows that share one are documents of their own; equal rows share their
+    copies."""
+    keyed = row_keys(docs)
+    mixed = mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), seed=seed)
+    copies = materialize(mixed.groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies")).filter("_copies > 0"), "copies")
+    rows = keyed.filter("NOT _again").unionByName(keyed.filter("_again").dropDuplicates(["_key"]))
+    often = rows.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return often.select(*docs.columns)
