@@ -9,6 +9,7 @@ that one search serves every language; a context array holds the weights left to
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,9 @@ from spotflow.session import materialize
 
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word characters but digits, the underscore and numbers that are no letters (like a half).
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 150_000
 
