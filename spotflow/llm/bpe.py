@@ -294,12 +294,13 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     return kept.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs."""
+def digest(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs, and behind them the ids if wanted."""
     coded = encode(docs.select("doc_id", "text"), vocabulary, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )
