@@ -10,12 +10,12 @@ from spotflow.llm import bpe, langid, minhash, mixing, toxicity
 from spotflow.llm.queries import bpe_vocabulary
 from spotflow.session import materialize
 
-#: None of the stages can be said in SQL; they are tested against brute force.
+#: None of the stages can be said in SQL; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: those without a letter and those that fit no language go."""
+    """Documents whose language is recognised: those without a letter (or text) and those that fit no language go."""
     return langid.predict(docs, langid.fit(docs)).filter(~F.col("rejected")).select(*docs.columns)
 
 
@@ -26,19 +26,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id").select(*docs.columns)
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more, that with the
+    smallest doc_id. Rows without a doc_id and rows that share one are documents of their own."""
+    return minhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as its source's target takes it."""
+    """The mix: every document as often as its source's target takes it. Rows without a doc_id and rows that
+    share one are documents of their own; those without words are never taken."""
     return mixing.repeat(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, with the digests of ids and decoding."""
-    return bpe.digest(docs, bpe_vocabulary())
+    """doc_id, n_tokens and digests of ids and decoding of every document that is left, and its token ids."""
+    return bpe.digest(docs, bpe_vocabulary(), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
