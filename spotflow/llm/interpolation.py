@@ -7,8 +7,10 @@ training document is held out from the estimates it is predicted with.
 
 Counts are exchanged by chunks of documents. A chunk sends its distinct n-grams, sorted by hash and
 cut into ranges, each once however often it occurs; the task of a range adds up what all chunks sent
-and answers each with the corpus totals of its own n-grams. Nothing grows in one place: neither the
-vocabulary nor the bigrams are ever gathered in one task or on the driver.
+and answers each with the corpus totals of its own n-grams. A chunk writes to the ranges that it has
+n-grams of, so that messages are never more than the n-grams in them, whatever the size of the corpus.
+Nothing grows in one place: neither the vocabulary nor the bigrams are ever gathered in one task or on
+the driver.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from spotflow.llm.text import lower_words, mix64
 from spotflow.session import materialize
 
 #: Tokens of a chunk, and tokens of the corpus for each range of hashes.
-CHUNK, RANGE = 1_500_000, 1_000_000
+CHUNK, RANGE = 1_500_000, 2_000_000
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Buckets of context frequencies (powers of two) and bins of the logarithms of ratios.
 BUCKETS, BINS, STEP, LOWEST = 40, 240, 0.25, -20.0
@@ -127,7 +129,7 @@ def _totals(chunks: DataFrame, bits: int) -> DataFrame:
                 c = _Chunk.of(row)
                 words, pairs = c.counts()
                 a, b = _ranges(c.keys, bits), _ranges(c.pair_keys, bits)
-                for p in range(1 << bits):
+                for p in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
                     w, q = slice(a[p], a[p + 1]), slice(b[p], b[p + 1])
                     out = {"chunk": row["chunk"], "part": p, "word_keys": c.keys[w].tobytes(), "words": pack(words[w].astype(np.int32)), "pair_keys": c.pair_keys[q].tobytes(), "pairs": pack(pairs[q].astype(np.int32))}
                     yield pa.RecordBatch.from_pylist([out], schema=asked)
