@@ -1,14 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four small transducers read the classes of a clause's words: negation and targets open a scope of a
-few words, reported speech one that lasts to the clause's end, and a threat needs an intention, a
-verb of violence and a target in that order. Their composition is one automaton whose arcs emit a
-pattern: an insult or threat, plain or aimed at someone, negated or reported. A text's score is a
-logistic function of the weights of the patterns its clauses match; isolated words outside such a
-match carry nothing. Weights start from a prior and are learned from labels, as are cue words.
-
-A learned cue that clean texts use now and then is a suspect: it counts by how dense it is, as the
-log likelihood ratio of its rate in toxic and in clean texts.
+Five small transducers read the classes of a clause's words: negation and targets open a scope of a
+few words, reported speech one that lasts to the clause's end, a threat needs an intention, a verb of
+violence and a target in that order, and a host counts the words around a cue. Their composition is one
+automaton. Its final state accepts the clause or not: a cue is a match only in a clause of at least HOST
+words or aimed at someone, so that a word that stands alone matches nothing. A match has a pattern:
+an insult or threat, plain or aimed at someone, negated or reported. Cues that clean texts use too are weak:
+their clauses match by the same grammar, and what they add is the log likelihood ratio of their number in
+clauses of that length; negated and reported ones add nothing. A text's score is a logistic function of
+the weights of its matched clauses. Weights start from a prior and are learned from labels, as are cues.
 """
 
 from __future__ import annotations
@@ -28,12 +28,16 @@ from spotflow.llm.text import slices
 from spotflow.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;\n]+")
-#: Beginnings of words that can be learned as cues have so many letters; END marks a whole word.
-SHORTEST, LONGEST, END = 3, 8, "$"
+#: A clause ends at one of these marks (several in a row are emphasis or noise) or at the end of a line.
+CLAUSE = re.compile(r"(?<![.!?;])[.!?;](?![.!?;])|\n")
+#: Stems that can be learned as cues have so many letters and begin so many different words, else whole words
+#: are learned; END marks a whole word.
+SHORTEST, LONGEST, STEM_WORDS, END = 4, 8, 4, "$"
+#: Words of a clause that hosts a cue.
+HOST = 3
 #: Words whose class a worker remembers before it starts anew.
 REMEMBERED = 150_000
-CLASSES = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, SUSPECT = range(8)
+CLASSES = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, WEAK = range(8)
 
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile bastard jerk dumb fool vermin filth dummkopf abschaum imbécile ordure idiota imbécil escoria basura"
 THREATS = "kill hurt destroy beat shoot stab burn murder attack punch strangle töten umbringen verletzen tuer frapper brûler matar golpear quemar"
@@ -43,10 +47,10 @@ REPORTS = "said says wrote writes called calls claimed quoted quote reported sag
 INTENTS = "will gonna shall must should going i'll we'll ill werde werden vais allons voy vamos"
 
 #: Patterns that arcs emit, in the order of the weights, and the weights before any label is seen.
-PATTERNS = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "threat negated", "threat reported", "suspect")
+PATTERNS = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "threat negated", "threat reported", "weak")
 PRIOR = np.array([2.5, 3.5, 0.2, 0.5, 0.3, 4.0, 0.1, 0.4, 0.5])
 PRIOR_BIAS = -3.0
-#: Rates of suspects a pair of words in toxic and in clean texts, before any label is seen; a rate is never below LEAST_RATE.
+#: Rates of weak cues a pair of words in toxic and in clean texts, before any label is seen; a rate is never below LEAST_RATE.
 PRIOR_RATES, LEAST_RATE = (0.01, 0.001), 1e-4
 
 
@@ -59,6 +63,11 @@ def scope(opener: int, length: int) -> dict:
     return {"start": 0, "step": lambda s, c: length if c == opener else max(0, s - 1), "out": lambda s: s > 0}
 
 
+def at_least(words: int) -> dict:
+    """A transducer that is open from the given number of words on."""
+    return {"start": 0, "step": lambda s, c: min(words, s + 1), "out": lambda s: s >= words}
+
+
 def until_end(opener: int) -> dict:
     """A transducer that stays open from the first `opener` on."""
     return {"start": 0, "step": lambda s, c: 1 if c == opener else s, "out": lambda s: s > 0}
@@ -83,11 +92,11 @@ def compose(parts: list[dict]) -> tuple[list[list[int]], list[tuple[bool, ...]]]
 
 
 class _Classes(dict):
-    """Class of every word met; the learned cues are beginnings of words, or whole words with END behind."""
+    """Class of every word met; the learned cues are stems, or whole words with END behind."""
 
-    def __init__(self, known: dict[str, int], learned: frozenset[str], suspects: frozenset[str]):
+    def __init__(self, known: dict[str, int], learned: frozenset[str], weak: frozenset[str]):
         super().__init__(known)
-        self.known, self.learned, self.suspects = known, learned, suspects
+        self.known, self.learned, self.weak = known, learned, weak
 
     def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
@@ -102,13 +111,13 @@ class _Classes(dict):
     def _learned(self, cues: list[str]) -> int:
         if not self.learned.isdisjoint(cues):
             return INSULT
-        return OTHER if self.suspects.isdisjoint(cues) else SUSPECT
+        return OTHER if self.weak.isdisjoint(cues) else WEAK
 
 
 @dataclass
 class ToxicityModel:
     learned: frozenset[str] = frozenset()
-    suspects: frozenset[str] = frozenset()
+    weak: frozenset[str] = frozenset()
     rates: tuple[float, float] = PRIOR_RATES
     bias: float = PRIOR_BIAS
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
@@ -118,48 +127,59 @@ class ToxicityModel:
         known: dict[str, int] = {}
         for kind, text in ((INTENT, INTENTS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)):
             known |= dict.fromkeys(text.split(), kind)
-        return _Classes(known, self.learned, self.suspects)
+        return _Classes(known, self.learned, self.weak)
 
     @cached_property
-    def automaton(self) -> tuple[list[list[int]], list[dict[int, int]]]:
-        """arcs, and for each state the pattern that a cue met in it emits."""
-        arcs, outs = compose([scope(NEGATION, 4), scope(TARGET, 6), until_end(REPORT), scope(INTENT, 4)])
+    def automaton(self) -> tuple[list[list[int]], list[tuple[int, int]], list[bool]]:
+        """arcs; for each state the patterns of an insult and of a threat met in it; whether a clause that ends
+        in it is a host."""
+        arcs, outs = compose([scope(NEGATION, 4), scope(TARGET, 6), until_end(REPORT), scope(INTENT, 4), at_least(HOST)])
         emits = []
-        for negated, aimed, reported, intent in outs:
+        for negated, aimed, reported, intent, _ in outs:
             insult = 3 if reported else 2 if negated else 1 if aimed else 0
-            threat = 7 if reported else 6 if negated else 4
-            emits.append({INSULT: insult, THREAT: threat if intent else -1})
-        return arcs, emits
+            emits.append((insult, (7 if reported else 6 if negated else 4) if intent else -1))
+        return arcs, emits, [out[-1] for out in outs]
+
+    def clause(self, met: list[int]) -> list[tuple[int, int]]:
+        """(place of the cue, pattern) of each match in a clause whose words have the classes met."""
+        arcs, emits, hosts = self.automaton
+        state, found = 0, []
+        for i, c in enumerate(met):
+            if c == INSULT or c == WEAK:
+                found.append((i, emits[state][0]))
+            elif c == THREAT and emits[state][1] >= 0:
+                found.append((i, emits[state][1]))
+            elif c == TARGET and found and found[-1][1] == 4:  # the threat has found whom it is for
+                found[-1] = found[-1][0], 5
+            state = arcs[state][c]
+        return found if hosts[state] else [m for m in found if m[1] in (1, 5)]
 
     def matches(self, text: str | None) -> np.ndarray:
-        """How often each pattern matches in the clauses of a text (suspects: in different pairs of words),
-        and how many different pairs of words a text with suspects has."""
+        """How many clauses match each pattern, how many different weak cues (with the word before) match
+        plainly or aimed, and how many different pairs of words a text with such matches has."""
         counts = np.zeros(len(PATTERNS) + 1)
         low = (text or "").lower()
         classes = self.classes
         words = LETTERS.findall(low)
         met = [classes[w] for w in words]
-        if SUSPECT in met:
-            pairs = set(zip(words, ["", *words]))
-            counts[-2:] = sum(classes[w] == SUSPECT for w, _ in pairs), len(pairs)
-        if INSULT not in met and THREAT not in met:
+        if INSULT not in met and THREAT not in met and WEAK not in met:
             return counts
-        arcs, emits = self.automaton
+        at, weak = 0, set()
         for clause in CLAUSE.split(low):
-            state, pending = 0, False
-            for c in [classes[w] for w in LETTERS.findall(clause)]:
-                if c == INSULT:
-                    counts[emits[state][INSULT]] += 1
-                elif c == THREAT and emits[state][THREAT] >= 0:
-                    counts[emits[state][THREAT]] += 1
-                    pending = emits[state][THREAT] == 4
-                elif c == TARGET and pending:  # the threat has found whom it is for
-                    counts[4], counts[5], pending = counts[4] - 1, counts[5] + 1, False
-                state = arcs[state][c]
+            n = len(LETTERS.findall(clause))
+            kinds, first = met[at : at + n], at
+            at += n
+            if INSULT not in kinds and THREAT not in kinds and WEAK not in kinds:
+                continue
+            found = self.clause(kinds)
+            counts[list({pattern for i, pattern in found if kinds[i] != WEAK})] += 1
+            weak.update((words[first + i], words[first + i - 1] if first + i else "") for i, pattern in found if kinds[i] == WEAK and pattern < 2)
+        if weak:
+            counts[-2:] = len(weak), len(set(zip(words, ["", *words])))
         return counts
 
     def features(self, counts: np.ndarray) -> np.ndarray:
-        """Of rows that matches() gives: logarithms of the counts, and for suspects the log likelihood ratio."""
+        """Of rows that matches() gives: logarithms of the counts, and for weak cues the log likelihood ratio."""
         high, low = self.rates
         ratio = counts[:, -2] * np.log(high / low) - counts[:, -1] * (high - low)
         return np.column_stack([np.log2(1 + counts[:, :-2]), np.maximum(0, ratio)])
@@ -188,7 +208,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, np.nd
 
 
 def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity: float) -> tuple[frozenset[str], frozenset[str]]:
-    """Cues that only toxic texts use, and suspects."""
+    """Cues that only toxic texts use, and weak ones."""
 
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -197,15 +217,16 @@ def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity
                 found = list(set(zip(words, ["", *words])))
                 own = xxhash.xxh3_64_intdigest((text or "").encode()) >> 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([own] * len(found), pa.int64()), pa.array([f"{b} {w}" for w, b in found], pa.string()), pa.array([beginnings(w) for w, _ in found], pa.list_(pa.string()))],
-                    names=["own", "context", "cues"],
+                    [pa.array([own] * len(found), pa.int64()), pa.array([w for w, _ in found], pa.string()), pa.array([b for _, b in found], pa.string()), pa.array([beginnings(w) for w, _ in found], pa.list_(pa.string()))],
+                    names=["own", "word", "before", "cues"],
                 )
 
-    met = rows.filter("toxic").select("text").mapInArrow(of_toxic, "own long, context string, cues array<string>").select("own", "context", F.explode("cues").alias("cue"))
-    met = materialize(met, "cues")
-    wide = met.select("cue", "context").distinct().groupBy("cue").agg(F.count("*").alias("bad")).filter(F.col("bad") >= contexts)
+    met = rows.filter("toxic").select("text").mapInArrow(of_toxic, "own long, word string, before string, cues array<string>")
+    met = materialize(met.select("own", "word", "before", F.explode("cues").alias("cue")), "cues")
+    wide = met.groupBy("cue", "word", "before").agg(F.lit(1)).groupBy("cue", "word").agg(F.count("*").alias("n")).groupBy("cue").agg(F.sum("n").alias("bad"), F.count("*").alias("words"))
     often = met.select("cue", "own").distinct().groupBy("cue").agg(F.count("*").alias("texts")).filter(F.col("texts") >= texts)
-    bad = materialize(wide.join(often, "cue").select("cue", "bad"), "candidates")
+    fit_for_it = (F.col("bad") >= contexts) & (F.col("cue").endswith(END) | (F.col("words") >= STEM_WORDS))
+    bad = materialize(wide.filter(fit_for_it).join(often, "cue").select("cue", "bad"), "candidates")
     wanted = rows.sparkSession.sparkContext.broadcast(frozenset(r.cue for r in bad.select("cue").collect()))
 
     def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,34 +246,37 @@ def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity
     both = bad.join(good, "cue", "left").select("cue", "bad", F.coalesce("good", F.lit(0)).alias("good"))
     n = F.col("bad") + F.col("good")
     low = (F.col("bad") / n + 1.92 / n - 1.96 * F.sqrt(F.col("bad") * F.col("good") / (n * n * n) + 0.96 / (n * n))) / (1 + 3.84 / n)
-    found = {r.cue: r.pure for r in both.filter(low > share).select("cue", (F.col("bad") >= purity * n).alias("pure")).collect()}
-    pure, rest = {c for c, p in found.items() if p}, {c for c, p in found.items() if not p}
-
-    def shortest(cues: set[str]) -> frozenset[str]:
-        return frozenset(c for c in cues if not any(c[:k] in cues for k in range(SHORTEST, len(c))))
-
-    rest = shortest(rest)  # a cue below a suspect is the suspect's: its purity is chance
-    return shortest({c for c in pure if not any(c[:k] in rest for k in range(SHORTEST, len(c)))}), rest
+    found = both.filter(low > share).select("cue", "bad", "good", (F.col("bad") >= purity * n).alias("pure")).collect()  # fewer than the sample has stems
+    wanted.destroy()
+    # of a stem and those that begin with it the one counts that tells most
+    gain = {r.cue: r.bad * float(np.log((r.bad + 0.5) / (r.good + 0.5))) for r in found}
+    taken: dict[str, bool] = {}
+    for r in sorted(found, key=lambda r: (-gain[r.cue], r.cue)):
+        below = any(other.startswith(r.cue) for other in taken)
+        if not below and not any(r.cue[:k] in taken for k in range(SHORTEST, len(r.cue))):
+            taken[r.cue] = r.pure
+    return frozenset(c for c, p in taken.items() if p), frozenset(c for c, p in taken.items() if not p)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, contexts: int = 8, texts: int = 5, share: float = 0.65, purity: float = 0.97) -> ToxicityModel:
     """Learn cues and weights from docs (doc_id, text) that labels (doc_id, toxic) marks.
 
-    A bounded sample of about `sample_rows` labelled rows is used, picked by a hash of the text. A word
-    or a beginning of words becomes a cue if it is met in at least `contexts` different pairs of words
-    and `texts` different texts marked toxic, and the lower end of a 95 % interval of its share of toxic
-    contexts is over `share`: a cue that counts alone if the share itself is at least `purity`, else a
-    suspect. Contexts, not rows, count, so copies of one text teach no more than the text. Of several labels of a document the highest counts. Without labelled rows the prior stands.
+    A bounded sample of about `sample_rows` labelled rows is used, equal texts once and picked by a hash of
+    the text. A word, or a stem that begins several words, becomes a cue if it is met in at least `contexts`
+    different pairs of words and `texts` different texts marked toxic, and the lower end of a 95 % interval of
+    its share of toxic contexts is over `share`: an insult if the share itself is at least `purity`, else a
+    weak cue. Contexts, not rows, count, so copies of one text teach no more than the text. Of several labels
+    of a document (or of equal texts) the highest counts. Without labelled rows the prior stands.
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
-    total = docs.select("doc_id").join(marks, "doc_id").count()
+    marked = docs.select("doc_id", "text").join(marks, "doc_id")
+    total = marked.count()
     if not total:
         return ToxicityModel()
     if total > sample_rows:
         picked = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30))
-        rows = docs.filter(picked).select("doc_id", "text").join(marks, "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
-    rows = materialize(rows, "labelled")
+        marked = docs.filter(picked).select("doc_id", "text").join(marks, "doc_id")
+    rows = materialize(marked.groupBy("text").agg((F.max("toxic") == 1).alias("toxic")), "labelled")
     model = ToxicityModel(*_learn_cues(rows, contexts, texts, share, purity))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -267,12 +291,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, contexts:
             )
 
     seen = rows.mapInArrow(features, "counts array<double>, toxic boolean, n long").groupBy("counts", "toxic").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
     counts, n, toxic = np.array(seen["counts"].to_list()).reshape(-1, len(PATTERNS) + 1), seen["n"].to_numpy(dtype=float), seen["toxic"].to_numpy(dtype=bool)
     rates = []
-    for of in (toxic, ~toxic):  # of texts that have a suspect, what comes after the first
+    for of in (toxic, ~toxic):  # of texts that have a weak cue, what comes after the first
         of = of & (counts[:, -2] > 0)
         rates.append(max(LEAST_RATE, float((n * (counts[:, -2] - 1))[of].sum() / max(1.0, (n * counts[:, -1])[of].sum()))))
-    model = ToxicityModel(model.learned, model.suspects, (max(rates[0], 2 * rates[1]), rates[1]) if model.suspects else PRIOR_RATES)
+    model = ToxicityModel(model.learned, model.weak, (max(rates[0], 2 * rates[1]), rates[1]) if model.weak else PRIOR_RATES)
     model.bias, model.weights = _logistic(model.features(counts), n * toxic, n)
     return model
 
