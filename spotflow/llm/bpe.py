@@ -22,7 +22,7 @@ from spotflow.llm.text import slices
 
 LONG = 64
 #: Words whose encoding a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: Rows of pairs merged together in one go.
 TOGETHER = 8_000
 #: The split of the byte-level scheme (fixed value of the public vocabulary).

@@ -28,7 +28,7 @@ BEGIN, END = "\x02", "\x03"
 NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,6 +235,7 @@ def fit(docs: DataFrame, sample_chars: int = 2_000_000) -> LanguageModel | None:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(list(sums), pa.list_(pa.float64()))], names=["lang", "n", "sums"])
 
     seen = picked.filter(held).mapInArrow(score, "lang string, n long, sums array<double>").filter("n > 0").toPandas()
+    shared.destroy()
     seen = seen[seen["lang"].isin(model.langs)]
     if len(seen):
         sums, n = np.stack(seen["sums"].to_list()).reshape(-1, k), seen["n"].to_numpy()

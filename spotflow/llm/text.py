@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotflow.session import materialize
@@ -44,10 +46,20 @@ def row_keys(docs: DataFrame) -> DataFrame:
     return marked.withColumn("_key", F.when(F.col("_again"), F.xxhash64(*docs.columns)).otherwise(own))
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system: the worker process outlives the task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches at row borders so that a piece holds about `chars` bytes of text (or one row)."""
     for batch in batches:
-        sizes = batch.column(text).to_pandas().str.len().fillna(0).to_numpy()
+        column = batch.column(text)
+        sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).tolist()
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > chars:
@@ -56,6 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000)
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 #: bytes.translate table for the same; bytes.split() without arguments then splits at the same six bytes as WORD.

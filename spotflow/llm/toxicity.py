@@ -36,7 +36,7 @@ SHORTEST, LONGEST, STEM_WORDS, END = 4, 8, 4, "$"
 #: Words of a clause that hosts a cue.
 HOST = 3
 #: Words whose class a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 CLASSES = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, WEAK = range(8)
 
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile bastard jerk dumb fool vermin filth dummkopf abschaum imbécile ordure idiota imbécil escoria basura"
