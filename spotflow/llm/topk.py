@@ -24,17 +24,28 @@ from spotflow.session import materialize
 CANDIDATES, QUERIES, STEP, BANDS, SEEDS = 16_384, 4_096, 1_024, 16, 512
 #: Share of the dimensions in the partial sums.
 FIRST = 0.25
+#: Whole numbers up to EXACT are exact in a double; a score is handed on as high * HIGH + low.
+EXACT, HIGH = 2.0**53, 62
+
+
+def whole_numbers(v: np.ndarray) -> np.ndarray:
+    """The same numbers as Python integers, which never overflow."""
+    return np.frompyfunc(int, 1, 1)(v)
 
 
 def best_of_tile(q: np.ndarray, q_id: np.ndarray, start: np.ndarray, c: np.ndarray, c_id: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, candidate id, score) of each query's k best candidates that reach its starting score."""
+    """(query number, candidate id, score) of each query's k best candidates that reach its starting score.
+    Scores are exact: doubles where no product of lengths exceeds what they hold, else Python integers."""
     order = np.lexsort((c_id, -(c**2).sum(axis=1)))
     c, c_id = c[order], c_id[order]
     p = max(1, int(FIRST * c.shape[1]))
     qt, ct = q @ turn, c @ turn
     q_len, c_len = np.sqrt((q**2).sum(axis=1)), np.sqrt((c**2).sum(axis=1))
     q_rest, c_rest = np.sqrt((qt[:, p:] ** 2).sum(axis=1)), np.sqrt((ct[:, p:] ** 2).sum(axis=1))
-    top = np.full((len(q), k), -np.inf)
+    exact = q_len.max() * c_len.max() < EXACT
+    if not exact:
+        q_whole, c_whole = whole_numbers(q), whole_numbers(c)
+    top = np.full((len(q), k), -np.inf, dtype=np.float64 if exact else object)
     top_id = np.full((len(q), k), np.iinfo(np.int64).max)
     floor = start.copy()
     slack = 1e-9 * (q_len * c_len.max() + 1)  # rounding of the bounds
@@ -50,13 +61,14 @@ def best_of_tile(q: np.ndarray, q_id: np.ndarray, start: np.ndarray, c: np.ndarr
             continue
         live, could = live[rows], could[rows]
         columns = np.flatnonzero(could.any(axis=0))
-        score = np.where(could[:, columns], q[live] @ c[lo:hi][columns].T, -np.inf)  # whole numbers, exact in a double
+        score = q[live] @ c[lo:hi][columns].T if exact else q_whole[live] @ c_whole[lo:hi][columns].T
+        score = np.where(could[:, columns], score, -np.inf)
         all_score = np.concatenate([top[live], score], axis=1)
         all_id = np.concatenate([top_id[live], np.broadcast_to(c_id[lo:hi][columns], score.shape)], axis=1)
-        best = np.lexsort((all_id, -all_score), axis=1)[:, :k]
+        best = np.lexsort((all_id, -all_score), axis=1)[:, :k] if exact else np.array([sorted(range(len(x)), key=lambda j: (-x[j], i[j]))[:k] for x, i in zip(all_score, all_id)])
         top[live], top_id[live] = np.take_along_axis(all_score, best, axis=1), np.take_along_axis(all_id, best, axis=1)
-        floor[live] = np.maximum(floor[live], top[live, -1])
-    number, place = np.nonzero((top >= start[:, None]) & (top > -np.inf))
+        floor[live] = np.maximum(floor[live], top[live, -1].astype(np.float64))
+    number, place = np.nonzero((top > -np.inf) & (top.astype(np.float64) + slack[:, None] >= start[:, None]))
     return number, top_id[number, place], top[number, place]
 
 
@@ -65,19 +77,35 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
     condition is_query picks, the k other rows with the highest inner product of floor(scale * x).
 
     Ties go to the smaller vec_id; with fewer than k candidates all are returned. Vectors that are null,
-    empty or hold null or non-finite components take no part, nor do those whose length is not the most
-    frequent one, nor rows without a vec_id. A row is no candidate of a query with its own vec_id.
+    empty or hold null or non-finite components take no part, nor do rows without a vec_id. Vectors of
+    different lengths have no inner product; there is a pass for every length that occurs. Rows that repeat
+    a vec_id are one vector: the longest of them by its norm, then the greatest by its components. Ranks follow
+    exact scores; a score beyond a long is given as the nearest long.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(finite("embedding") & F.col("vec_id").isNotNull())
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    d = sizes[0].d
-    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
-    rows = rows.filter(F.size("embedding") == d).select(F.col("vec_id").cast("long"), F.expr(is_query).alias("asks"), whole.alias("v"))
-    rows = materialize(rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), "vectors")
+    # floor gives a long, which ends where doubles don't: components beyond it are whole numbers as they are
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < 2.0**53 / scale, F.floor(x * scale).cast("double")).otherwise(x * scale))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(is_query).alias("asks"), whole.alias("v"))
+    rows = materialize(rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).filter("norm < double('Infinity')"), "vectors")
+    again = materialize(rows.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id"), "again")
+    if not again.isEmpty():
+        one = rows.join(again, "vec_id").groupBy("vec_id").agg(F.max(F.struct("norm", "v", "asks")).alias("r"))
+        rows = materialize(rows.join(again, "vec_id", "left_anti").unionByName(one.select("vec_id", "r.asks", "r.v", "r.norm")), "vectors")
+    found = None
+    for d in sorted(r.d for r in rows.groupBy(F.size("v").alias("d")).agg(F.max("asks").alias("asks")).filter("asks").collect()):
+        some = _best(rows.filter(F.size("v") == d), d, k)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
+    score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.col("high") * (1 << HIGH) + F.col("low"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+
+
+def _best(rows: DataFrame, d: int, k: int) -> DataFrame:
+    """query_id, vec_id, high and low (score = high * 2**HIGH + low) of what the tiles find among rows (vec_id,
+    asks, v, norm) of d dimensions."""
 
     def gram(batches):
         total = np.zeros((d, d))
@@ -98,10 +126,11 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
         for batch in batches:
             m, ids = matrix(batch.column("v")), batch.column("query_id").to_numpy()
             start = np.full(len(ids), -np.inf)
-            if len(ids):
+            if len(ids) and len(seed_id):
                 score = np.where(ids[:, None] == seed_id[None, :], -np.inf, m @ seed.T)
                 if score.shape[1] >= k:
                     start = np.partition(score, -k, axis=1)[:, -k]
+                    start = start - 1e-12 * d * np.abs(m).max() * np.abs(seed).max() * (np.abs(start) >= EXACT)  # rounding
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], names=[*batch.schema.names, "start"])
 
     asked = rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
@@ -125,9 +154,9 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
         ids, found = left.column("query_id").to_numpy(), (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
         if len(left) and len(right):
             found = best_of_tile(matrix(left.column("v")), ids, left.column("start").to_numpy(), matrix(right.column("v")), right.column("vec_id").to_numpy(), turn, k)
-        return pa.table({"query_id": pa.array(ids[found[0]], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2].astype(np.int64))})
+        score = [int(x) for x in found[2]]
+        high, low = pa.array([x >> HIGH for x in score], pa.int64()), pa.array([x & ((1 << HIGH) - 1) for x in score], pa.int64())
+        return pa.table({"query_id": pa.array(ids[found[0]], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "high": high, "low": low})
 
     key = ("band", "part", "group")
-    found = seen.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(tile, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return seen.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(tile, "query_id long, vec_id long, high long, low long")
