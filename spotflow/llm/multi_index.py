@@ -102,36 +102,11 @@ def compare(v: np.ndarray, v_id: np.ndarray, r: np.ndarray, r_id: np.ndarray, we
     return {int(i): [int(c), int(ids[k])] for i, c, k in zip(ids, count, label)}
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999) -> DataFrame:
-    """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable, itself
-    included) and kept (vec_id = component_id) for every row of vectors (vec_id, embedding, label).
-
-    Two vectors are linked if their labels are equal and not null and their cosine, in double precision,
-    is at least `cosine`. Vectors that are null, empty, zero or hold null or non-finite components link
-    with nothing, nor do those whose length is not the most frequent one. A null vec_id has no links, a
-    null component and is not kept; rows that repeat a vec_id are one vector. Codebooks are trained on at
-    most TRAIN vectors a centroid. The number of visited cells is measured on MEASURED vectors against all
-    others, each with the same say however many links it has, and on more, up to MEASURED_MOST, until ENOUGH
-    of them have links or all are measured; else no cell within reach of the cosine is left out. Every row
-    is indexed and searched.
-    """
-    ids = vectors.select(F.col("vec_id").cast("long"))
-    raw = F.col("embedding").cast("array<double>")
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = vectors.filter(finite("embedding") & F.col("vec_id").isNotNull() & F.col("label").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), raw.alias("u"), norm.alias("norm")).filter("norm > 0 AND norm < double('Infinity')")
-    sizes = rows.groupBy(F.size("u").alias("d")).count().orderBy(F.desc("count"), "d").collect()
-    if not sizes or sizes[0].d < 2:
-        none = ids.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
-        return none.withColumn("kept", F.col("vec_id").isNotNull())
-    d = sizes[0].d
-    # copies share a 128-bit fingerprint of label and vector (x + 0.0 makes -0.0 zero)
-    plain = F.transform("u", lambda x: x + F.lit(0.0))
-    rows = rows.filter(F.size("u") == d).select("vec_id", "label", F.col("u").cast(kind).alias("u"), *[F.xxhash64(F.lit(s), "label", plain, F.lit(s)).alias(f"h{s}") for s in (1, 2)])
-    rows = materialize(rows, "vectors")
-    vertices = rows.groupBy("h1", "h2").agg(F.count("*").alias("w"), F.min("vec_id").alias("first"), F.min("label").alias("label"), F.min("u").alias("u"))
-    vertices = materialize(vertices.withColumn("vertex", F.monotonically_increasing_id()), "vertices")
+def _search(vertices: DataFrame, d: int, kind: str, cosine: float, recall: float) -> DataFrame:
+    """vertex, n (weight linked to as a visitor) and root, from the blocks of the index over vertices (vertex,
+    label, u, w, first) of d dimensions."""
+    if d == 1:  # vectors of one dimension have no halves
+        vertices, d = vertices.withColumn("u", F.concat("u", F.array(F.lit(0.0)).cast(kind))), 2
     n = vertices.count()
     half, k = d // 2, int(min(CENTROIDS, max(2, round((n / IN_CELL) ** 0.5))))
 
@@ -231,7 +206,41 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     v, r = v.select("vertex", "u", *key), r.select("vertex", "u", "w", *key)
     v, r = v.toDF(*v.columns), r.toDF(*r.columns)
     found = v.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(block, "vertex long, n long, root long")
-    found = materialize(found, "found")
+    return materialize(found, "found")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999) -> DataFrame:
+    """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable, itself
+    included) and kept (vec_id = component_id) for every row of vectors (vec_id, embedding, label).
+
+    Two vectors are linked if their labels are equal and not null and their cosine, in double precision,
+    is at least `cosine`. Vectors that are null, empty, zero or hold null or non-finite components link
+    with nothing, nor do vectors of different lengths; there is an index for every length that occurs. A null
+    vec_id has no links, a null component and is not kept; rows that repeat a vec_id are one vector. Codebooks are trained on at
+    most TRAIN vectors a centroid. The number of visited cells is measured on MEASURED vectors against all
+    others, each with the same say however many links it has, and on more, up to MEASURED_MOST, until ENOUGH
+    of them have links or all are measured; else no cell within reach of the cosine is left out. Every row
+    is indexed and searched.
+    """
+    ids = vectors.select(F.col("vec_id").cast("long"))
+    raw = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.filter(finite("embedding") & F.col("vec_id").isNotNull() & F.col("label").isNotNull())
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), raw.alias("u"), norm.alias("norm")).filter("norm > 0 AND norm < double('Infinity')")
+    # copies share a 128-bit fingerprint of label and vector (x + 0.0 makes -0.0 zero)
+    plain = F.transform("u", lambda x: x + F.lit(0.0))
+    rows = rows.select("vec_id", "label", F.col("u").cast(kind).alias("u"), *[F.xxhash64(F.lit(s), "label", plain, F.lit(s)).alias(f"h{s}") for s in (1, 2)])
+    rows = materialize(rows, "vectors")
+    vertices = rows.groupBy("h1", "h2").agg(F.count("*").alias("w"), F.min("vec_id").alias("first"), F.min("label").alias("label"), F.min("u").alias("u"))
+    vertices = materialize(vertices.withColumn("vertex", F.monotonically_increasing_id()).withColumn("d", F.size("u")), "vertices")
+    found = None
+    for d in sorted(r.d for r in vertices.select("d").distinct().collect()):
+        some = _search(vertices.filter(F.col("d") == d), d, kind, cosine, recall)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        none = ids.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
+        return none.withColumn("kept", F.col("vec_id").isNotNull())
     edges = found.select("vertex", "root").distinct()
 
     # rows that repeat a vec_id: their vertices are one, and pairs of them are no links

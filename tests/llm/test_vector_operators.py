@@ -126,3 +126,44 @@ def test_bound_of_a_cell():
     near = multi_index.distances(x, centre)
     bound, own = multi_index.to_cells(near, centre), near.argmin(axis=1)
     assert (bound[:, own] <= multi_index.distances(x, x) + 1e-9).all() and (bound > 0).any()
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), 1) for i in range(60)]
+    rows += [(100, [1.0, 2.0, 3.0], 1), (101, [1.0, 2.0, 3.0], 1), (102, [2.0, 4.0, 6.1], 1), (150, [1.0, 2.0, 3.0], 2)]
+    rows += [(200, [2.0], 1), (201, [7.0], 1), (202, [-1.0], 1), (250, [3.0, 4.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want_links, want_top = {}, set()
+    for i, v, label in rows:
+        x = np.array(v, dtype=np.float32).astype(np.float64)
+        near = {j for j, w, other in rows if j != i and len(w) == len(v) and other == label and x @ np.array(w, dtype=np.float32).astype(np.float64) >= 0.93 * np.linalg.norm(x) * np.linalg.norm(np.array(w, dtype=np.float32).astype(np.float64))}
+        want_links[i] = len(near)
+        if i % 50 == 0:
+            score = sorted((-int(np.floor(256 * x) @ np.floor(256 * np.array(w, dtype=np.float32).astype(np.float64))), j) for j, w, _ in rows if j != i and len(w) == len(v))[:5]
+            want_top |= {(i, k, j, -s) for k, (s, j) in enumerate(score, 1)}
+    got = multi_index.near_duplicates(df).collect()
+    assert {r.vec_id: r.n_links for r in got} == want_links and want_links[100] == 2 and want_links[200] == 1
+    assert {r.vec_id: r.component_id for r in got}[102] == 100
+    assert {tuple(r) for r in topk.top_k(df, "vec_id % 50 = 0").collect()} == want_top
+
+
+def test_rows_that_repeat_a_query_or_candidate(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), *[(i, [float(i), 1.0], 1) for i in range(1, 9)], (3, [3.0, 1.0], 1), (8, [8.0, 1.0], 1), (8, [0.5, 0.5], 1)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id % 50 = 0").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(k, 9 - k, 65536 * (9 - k)) for k in range(1, 6)]
+
+
+def test_scores_beyond_doubles_and_longs(spark):
+    rng = np.random.default_rng(5)
+    for scale in (2.0**18, 2.0**21, 1e10):  # sums beyond 2**53, near 2**63 and beyond a long
+        m = rng.normal(size=(40, 6)) * scale
+        m[7] = m[3]  # a tie
+        rows = [(i, v.tolist(), 1) for i, v in enumerate(m)]
+        whole = [[int(np.floor(256 * x)) for x in v] for v in m]
+        want = set()
+        for i in (0, 20):
+            score = sorted((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in range(40) if j != i)[:5]
+            want |= {(i, k, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, j) in enumerate(score, 1)}
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id % 20 = 0")
+        assert {tuple(r) for r in got.collect()} == want
