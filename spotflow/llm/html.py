@@ -43,41 +43,32 @@ MARKS = frozenset(
     "replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: What may follow a mark in a class or id of an article; other words (comments-open, has-sidebar) say what it has.
-PARTS = frozenset("body box card content entry item list text wrapper".split())
+#: Words that a class or id name may have beside marks and still name the part itself; with any other word
+#: (comment-free, social-impact, has-sidebar) the name says what the element is about.
+PARTS = frozenset(
+    "area article bar block body bottom box button buttons card container content entry footer form group header icon icons inner item items left link links list main "
+    "module outer page panel post posts primary reader readers right row section secondary site slot strip text thread top unit user users wrap wrapper".split()
+)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _names_mark(name: str, ignored: str = "") -> bool:
+    """Whether a class or id name consists of marks and of words for parts of a page, with at least one mark."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    marks = [w for w in words if w in MARKS and w != ignored]
+    return bool(marks) and all(w in MARKS or w in PARTS for w in words)
+
+
 def _is_apart(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is not main text; inside: it stands in an article or main element."""
+    """Whether an element is not main text; inside: it stands in an article or main element, where a header
+    belongs to the text."""
     if name in APART or (name == "header" and not inside):
         return True
     if name in ("main", "body", "html") or name in INLINE:
         return False
-    if name == "article":
-        return _is_apart_article(attrs)
-    for kind, a, b, c in NAMES.findall(attrs) if attrs else ():
-        value = a or b or c
-        if kind.lower() == "role":
-            if value.lower() in ROLES:
-                return True
-        elif not MARKS.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            if inside and MARKS.isdisjoint(w.lower() for w in WORDS.findall(value) if w.lower() != "header"):
-                continue
-            return True
-    return False
-
-
-def _is_apart_article(attrs: str) -> bool:
-    """Whether an article is marked as a comment, an advert or the like by a role or a whole name."""
     for kind, a, b, c in NAMES.findall(attrs) if attrs else ():
         for value in (a or b or c).split():
-            if kind.lower() == "role":
-                if value.lower() in ROLES:
-                    return True
-                continue
-            words = [w.lower() for w in WORDS.findall(value)]
-            if words and words[0] in MARKS and all(w in MARKS or w in PARTS for w in words[1:]):
+            if value.lower() in ROLES if kind.lower() == "role" else _names_mark(value, "header" if inside else ""):
                 return True
     return False
 
@@ -144,7 +135,8 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
 
 
 def _dense(lengths: list[int]) -> list[bool]:
-    """Which of the lines of a block lie between a surge and its dive."""
+    """Which of the lines of a block lie between a surge and its dive. Short lines before the next surge are
+    no dive if none of them is made of links."""
     ahead = np.convolve(np.array(lengths, dtype=np.int64), np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # sums of each line and those after it
     kept, i = [False] * len(lengths), 0
     while i < len(lengths):
@@ -154,6 +146,10 @@ def _dense(lengths: list[int]) -> list[bool]:
         while i < len(lengths) and ahead[i] > DIVE:
             kept[i] = lengths[i] > 0
             i += 1
+    runs = np.flatnonzero(kept)
+    for a, b in zip(runs, runs[1:]):
+        if all(lengths[a:b]):
+            kept[a:b] = [True] * int(b - a)
     return kept
 
 

@@ -154,13 +154,13 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     license and dice are those of the best match (ties: line before paragraph before text, then the
     earlier place, then the first template), licenses the matched identifiers in order, joined by commas,
     n_matches the matching pairs of unit and template. Null and empty texts, and texts without a match,
-    have nulls, an empty string and 0. Rows that repeat are reported each.
+    have nulls, an empty string and 0. Rows that repeat are reported each. Without templates nothing matches.
     """
     table = [{"t": i, "license": name, "grams": template_bigrams(text)} for i, (name, text) in enumerate(templates)]
     table = [{**t, "size": len(t["grams"])} for t in table if t["grams"]]
     known = F.from_json(F.lit(json.dumps(table)), "array<struct<t:int,license:string,grams:array<string>,size:int>>")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(t["size"] for t in table) * low, max(t["size"] for t in table) * high
+    least, most = min((t["size"] for t in table), default=1) * low, max((t["size"] for t in table), default=0) * high
 
     def unit(kind: int):
         def of(x: Column, i: Column) -> Column:
