@@ -52,9 +52,9 @@ def gaussian_kernel(size: int, sigma: float) -> np.ndarray:
 
 
 def dog_kernel(sigma: float = 1.3) -> np.ndarray:
-    """Difference of two Gaussians, the wide one 2.5 times (at least 1) as wide."""
-    size = max(math.ceil(6 * sigma), 3)
-    size += 1 - size % 2
+    """Difference of two Gaussians, the wide one 2.5 times (at least 1) as wide, on a square of six sigma and
+    one pixel (at least 3), even or odd."""
+    size = max(math.ceil(6 * sigma + 1), 3)
     return gaussian_kernel(size, sigma) - gaussian_kernel(size, max(1.0, 2.5 * sigma))
 
 
@@ -71,16 +71,16 @@ def convolve(pixels: DataFrame, kernel: np.ndarray, value: str = "adu") -> DataF
 
 def local_maxima(pixels: DataFrame, value: str, least: float, margin: int = 1) -> DataFrame:
     """Pixels of at least `least` that are greater than all eight neighbours, `margin` away from the border.
-    Neighbours come from windows over rows and columns of the frame; equal neighbours are no peak."""
+    Only those pixels ask for their neighbours, by an equi-join; equal neighbours are no peak."""
     v = F.col(value)
-    ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
-    spread = pixels.select(*PIXEL[:2], F.explode(ring).alias("k"), "row", "col", v.alias("v"))
-    spread = spread.select("file_id", "frame", (F.col("row") + F.col("k.i")).alias("row"), (F.col("col") + F.col("k.j")).alias("col"), "v")
-    around = spread.groupBy(*PIXEL).agg(F.max("v").alias("around"), F.count("*").alias("neighbours"))
     size = pixels.groupBy("file_id").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
-    rows = pixels.filter(v >= least).join(around, [*PIXEL]).join(size, "file_id").filter((v > F.col("around")) & (F.col("neighbours") == 8))
     inside = F.col("row").between(margin, F.col("last_row") - margin) & F.col("col").between(margin, F.col("last_col") - margin)
-    return rows.filter(inside).select(*PIXEL, v.alias("peak"))
+    high = pixels.filter(v >= least).join(size, "file_id").filter(inside).select(*PIXEL, v.alias("peak"))
+    ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    asks = high.withColumn("k", F.explode(ring)).select("file_id", "frame", F.col("row").alias("r"), F.col("col").alias("c"), "peak", (F.col("row") + F.col("k.i")).alias("row"), (F.col("col") + F.col("k.j")).alias("col"))
+    met = asks.join(pixels.select(*PIXEL, v.alias("v")), [*PIXEL]).filter("v < peak")
+    found = met.groupBy("file_id", "frame", F.col("r").alias("row"), F.col("c").alias("col"), "peak").count().filter("count = 8")
+    return found.select(*PIXEL, "peak")
 
 
 def trim_border(peaks: DataFrame, width: int, height: int, roi: int, strict: bool = True) -> DataFrame:
@@ -117,7 +117,7 @@ def find_peaks(image: np.ndarray, least: float, margin: int) -> np.ndarray:
 def convolve_image(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Zero-padded convolution of the image's size."""
     h, w = kernel.shape
-    padded = np.pad(image, ((h // 2, h // 2), (w // 2, w // 2)))
+    padded = np.pad(image, ((h - 1 - h // 2, h // 2), (w - 1 - w // 2, w // 2)))
     out = np.zeros(image.shape)
     for i in range(h):
         for j in range(w):
@@ -152,3 +152,22 @@ def to_pixels(frames: DataFrame) -> DataFrame:
     """The pixel form of frames (row and col from 0)."""
     rows = frames.select("file_id", "frame", "width", F.posexplode("pixels").alias("at", "adu"))
     return rows.select("file_id", "frame", F.floor(F.col("at") / F.col("width")).cast("int").alias("row"), (F.col("at") % F.col("width")).cast("int").alias("col"), F.col("adu").cast("double").alias("adu"))
+
+
+def to_frames(pixels: DataFrame, height: int, width: int, value: str = "adu") -> DataFrame:
+    """Frames of a fixed size from pixels; positions without a pixel are 0."""
+    at = (F.col("row") * width + F.col("col")).cast("int")
+    packed = pixels.groupBy("file_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct(at, F.col(value).cast("double")))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
+    return packed.select("file_id", "frame", F.lit(height).alias("height"), F.lit(width).alias("width"), filled.alias("pixels"))
+
+
+def filter_frames(frames: DataFrame, kernel: np.ndarray) -> DataFrame:
+    """Every frame convolved with a kernel, zero outside. A frame is a row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shaped = (np.asarray(f.pixels, dtype=np.float64).reshape(f.height, f.width) for f in batch.itertuples(index=False))
+            yield batch.assign(pixels=[convolve_image(image, kernel).ravel() for image in shaped])
+
+    return frames.select("file_id", "frame", "height", "width", "pixels").mapInPandas(run, FRAME_SCHEMA.replace("float", "double"))

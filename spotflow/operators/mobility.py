@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spotflow.session import materialize
+
 TRACK = ("file_id", "track_id")
+#: Rows of a track that one part of its self-join holds.
+PART = 4_096
 
 
 def valid_tracks(tracks: DataFrame, min_track_length: int = 1) -> DataFrame:
@@ -17,14 +21,17 @@ def valid_tracks(tracks: DataFrame, min_track_length: int = 1) -> DataFrame:
 
 def displacement_pairs(tracks: DataFrame, min_track_length: int = 1) -> DataFrame:
     """file_id, track_id, lag and squared displacement in square micrometres of all pairs of a track's
-    rows (coordinates in nanometres). The validity of a track comes from the same partitioning as the
-    self-join, so tracks are shuffled once."""
+    rows (coordinates in nanometres). Rows without a frame or coordinate are left out. The validity of a track
+    comes from the same partitioning as the self-join, so tracks are shuffled once. The second side of a track of
+    more than PART rows is dealt into parts, so that no task meets all pairs of a long track."""
     by = Window.partitionBy(*TRACK)
-    rows = tracks.withColumn("rows", F.count("*").over(by)).withColumn("span", F.max("frame").over(by) - F.min("frame").over(by) + 1)
-    rows = rows.filter((F.col("rows") >= 3) & (F.col("span") >= min_track_length)).select(*TRACK, "frame", "x", "y")
-    a, b = rows.toDF(*TRACK, "fa", "xa", "ya"), rows.toDF(*TRACK, "fb", "xb", "yb")
+    rows = tracks.filter("frame IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    rows = rows.withColumn("rows", F.count("*").over(by)).withColumn("span", F.max("frame").over(by) - F.min("frame").over(by) + 1)
+    rows = rows.filter((F.col("rows") >= 3) & (F.col("span") >= min_track_length)).withColumn("parts", F.ceil(F.col("rows") / PART).cast("int"))
+    a = rows.select(*TRACK, F.col("frame").alias("fa"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    b = rows.select(*TRACK, F.col("frame").alias("fb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.pmod(F.xxhash64("frame"), "parts").cast("int").alias("part"))
     dx, dy = (F.col("xb") - F.col("xa")) / 1000, (F.col("yb") - F.col("ya")) / 1000
-    return a.join(b, [*TRACK]).filter("fa < fb").select(*TRACK, (F.col("fb") - F.col("fa")).alias("lag"), (dx * dx + dy * dy).alias("d2"))
+    return a.join(b, [*TRACK, "part"]).filter("fa < fb").select(*TRACK, (F.col("fb") - F.col("fa")).alias("lag"), (dx * dx + dy * dy).alias("d2"))
 
 
 def msd(tracks: DataFrame, frame_rate: float = 50.0, min_track_length: int = 1) -> DataFrame:
@@ -37,6 +44,7 @@ def mean_msd(curves: DataFrame) -> DataFrame:
     """Over all tracks of a file: weighted mean, its standard deviation with reliability weights, effective
     degrees of freedom and standard error. Lags that a single track has are left out (no deviation)."""
     n, m = F.col("n").cast("double"), F.col("msd")
+    curves = materialize(curves.select("file_id", "lag", "lag_s", "msd", "n"), "curves")  # read twice
     sums = curves.groupBy("file_id", "lag", "lag_s").agg(F.sum(n).alias("w"), F.sum(n * n).alias("ww"), F.sum(n * m).alias("wm"))
     means = sums.withColumn("mean", F.col("wm") / F.col("w"))
     back = curves.join(means.select("file_id", "lag", "mean"), ["file_id", "lag"])
@@ -53,16 +61,15 @@ def linear_regression(rows: DataFrame, by: list[str], x: str = "x", y: str = "y"
     s = rows.groupBy(*by).agg(
         F.sum(W).alias("sw"), F.sum(W * X).alias("sx"), F.sum(W * Y).alias("sy"), F.sum(W * X * X).alias("sxx"), F.sum(W * X * Y).alias("sxy"),
         F.count("*").alias("n_points"), F.avg(Y).alias("mean_y"),
-        F.collect_list(F.struct(X.alias("x"), Y.alias("y"))).alias("points"),
     )
     det = F.nullif(F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
     s = s.withColumn("c1", (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / det).withColumn("c0", (F.col("sy") - F.col("c1") * F.col("sx")) / F.col("sw"))
-    zero = F.lit(0.0)
-    res = F.aggregate("points", zero, lambda a, p: a + (p.y - F.col("c0") - F.col("c1") * p.x) ** 2)
-    tot = F.aggregate("points", zero, lambda a, p: a + (p.y - F.col("mean_y")) ** 2)
-    r2 = 1 - res / F.nullif(tot, F.lit(0.0))
+    # residuals in a second pass over the rows, which are partitioned by group already
+    back = rows.select(*by, X.alias("_x"), Y.alias("_y")).join(s.select(*by, "c0", "c1", "mean_y", "n_points"), by)
+    res, tot = F.sum((F.col("_y") - F.col("c0") - F.col("c1") * F.col("_x")) ** 2), F.sum((F.col("_y") - F.col("mean_y")) ** 2)
+    line = back.groupBy(*by, "c0", "c1", "n_points").agg((1 - res / F.nullif(tot, F.lit(0.0))).alias("r2"))
     n = F.col("n_points")
-    return s.select(*by, "c0", "c1", F.when(n > 2, 1 - (1 - r2) * (n - 1) / (n - 2)).alias("adj_r2"), "n_points")
+    return line.select(*by, "c0", "c1", F.when(n > 2, 1 - (1 - F.col("r2")) * (n - 1) / (n - 2)).alias("adj_r2"), "n_points")
 
 
 def fit_msd(curves: DataFrame, first: int = 2, last: int = 4, tracks: DataFrame | None = None) -> DataFrame:

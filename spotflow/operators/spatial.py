@@ -1,31 +1,44 @@
-"""Distance joins on a grid and density-based clusters.
+"""Distance joins on a grid, density-based clusters, nearest neighbours and point-in-polygon joins.
 
-Points are rows of file_id, point_id, x and y. Distances are compared through cells as wide as the
-radius: a point meets the points of its own and the eight cells around it, so the join is an equi-join
-and no file is compared with itself as a whole.
+Points are rows of file_id, point_id, x and y; the two ids together name a point. Distances are compared
+through cells as wide as the radius: a point meets the points of its own and the eight cells around it, so the
+join is an equi-join and no file is compared with itself as a whole.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spotflow.operators.components import connected_components
+from spotflow.operators.ordered import ordinals
 from spotflow.session import materialize
 
 #: Full width at half maximum of a normal distribution, in standard deviations.
 FWHM = 2 * math.sqrt(2 * math.log(2))
+POINT = ("file_id", "point_id")
+
+
+def finite_points(points: DataFrame) -> DataFrame:
+    """Points whose coordinates are numbers."""
+    fine = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("x", "y")]
+    return points.filter(fine[0] & fine[1])
+
+
+def _ring(reach: int = 1) -> Column:
+    span = range(-reach, reach + 1)
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span])
 
 
 def neighbours(points: DataFrame, radius: float) -> DataFrame:
     """file_id, a, b and distance of all ordered pairs of points at most `radius` apart, a point with itself
-    included. Points with a null or non-finite coordinate have no pairs."""
-    fine = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("x", "y")]
-    p = points.filter(fine[0] & fine[1]).select("file_id", "point_id", "x", "y")
-    p = p.withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = p.withColumn("to", F.explode(around))
+    included. Points with a null or non-finite coordinate have no pairs; with radius 0 equal points are pairs.
+    Rows that repeat are points of their own."""
+    side = radius if radius > 0 else 1.0
+    p = finite_points(points).select(*POINT, "x", "y")
+    p = p.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    a = p.withColumn("to", F.explode(_ring()))
     a = a.select("file_id", F.col("point_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("cx") + F.col("to.i")).alias("cx"), (F.col("cy") + F.col("to.j")).alias("cy"))
     b = p.select("file_id", F.col("point_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
@@ -37,22 +50,24 @@ def dbscan(points: DataFrame, epsilon: float, min_pts: int) -> DataFrame:
     """points with n_near (points within epsilon, itself included), is_core (n_near >= min_pts) and cluster.
 
     Clusters are the connected components of core points, numbered from 1 within a file by their smallest
-    point_id; a border point takes the smallest cluster among its core neighbours; -1 is noise. point_id
-    must identify a point across files.
+    point_id; a border point takes the smallest cluster among its core neighbours; -1 is noise. Points without
+    coordinates are noise with n_near 0. file_id and point_id together must name a point.
     """
     pairs = materialize(neighbours(points, epsilon), "near")
-    near = pairs.groupBy(F.col("a").alias("point_id")).agg(F.count("*").alias("n_near"))
-    rows = points.join(near, "point_id", "left").na.fill({"n_near": 0})
-    rows = materialize(rows.withColumn("is_core", F.col("n_near") >= min_pts), "density")
-    core = rows.filter("is_core").select("file_id", "point_id")
-    linked = pairs.join(core.select(F.col("point_id").alias("a")), "a", "left_semi").join(core.select(F.col("point_id").alias("b")), "b", "left_semi")
-    roots = connected_components(linked.filter("a <= b"), "a", "b").select(F.col("node").alias("point_id"), "component")
-    first = core.join(roots, "point_id")
-    number = F.dense_rank().over(Window.partitionBy("file_id").orderBy("component"))
-    numbers = first.select("file_id", "component").distinct().withColumn("cluster", number.cast("long"))
-    of_core = materialize(first.join(numbers, ["file_id", "component"]).select("point_id", "cluster"), "core")
-    border = pairs.join(of_core.select(F.col("point_id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("point_id")).agg(F.min("cluster").alias("border"))
-    out = rows.join(of_core, "point_id", "left").join(border, "point_id", "left")
+    near = pairs.groupBy("file_id", F.col("a").alias("point_id")).agg(F.count("*").alias("n_near"))
+    rows = points.join(near, [*POINT], "left").na.fill({"n_near": 0})
+    rows = materialize(rows.withColumn("is_core", F.col("n_near") >= min_pts).withColumn("_node", F.monotonically_increasing_id()), "density")
+    core = rows.filter("is_core").select(*POINT, "_node")
+    x, y = core.toDF("file_id", "a", "na"), core.toDF("file_id", "b", "nb")
+    linked = pairs.filter("a <= b").join(x, ["file_id", "a"]).join(y, ["file_id", "b"]).select("na", "nb")
+    roots = connected_components(linked, "na", "nb").select(F.col("node").alias("_node"), "component")
+    first = materialize(core.join(roots, "_node"), "roots")
+    lowest = first.groupBy("file_id", "component").agg(F.min("point_id").alias("lowest"))
+    numbers = ordinals(lowest, ["file_id"], ["lowest", "component"], "cluster")
+    of_core = materialize(first.join(numbers, ["file_id", "component"]).select(*POINT, "cluster"), "core")
+    border = pairs.join(of_core.select("file_id", F.col("point_id").alias("b"), "cluster"), ["file_id", "b"])
+    border = border.groupBy("file_id", F.col("a").alias("point_id")).agg(F.min("cluster").alias("border"))
+    out = rows.join(of_core, [*POINT], "left").join(border, [*POINT], "left")
     return out.select(*points.columns, "n_near", "is_core", F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
 
 
@@ -64,6 +79,25 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.when(F.count("*") > 3, spread).otherwise(0.0).alias("diameter"))
 
 
+def enough_points(clustered: DataFrame, least: int) -> DataFrame:
+    """clustered with clusters of fewer than `least` points turned into noise."""
+    n = clustered.filter("cluster > 0").groupBy("file_id", "cluster").agg(F.count("*").alias("_n"))
+    return clustered.join(n, ["file_id", "cluster"], "left").withColumn("cluster", F.when(F.col("_n") >= least, F.col("cluster")).otherwise(-1)).select(*clustered.columns)
+
+
+def point_colors(clustered: DataFrame, scheme: str, seed: int = 1) -> DataFrame:
+    """file_id, point_id and color of clustered points: noise/cluster (0, 1), noise/core/border (0, 1, 2) or
+    randomN (0 for noise, else a number from 1 to N that a cluster's points share)."""
+    noise = F.col("cluster") == -1
+    if scheme == "noise/cluster":
+        color = F.when(noise, 0)
+    elif scheme == "noise/core/border":
+        color = F.when(noise, 0).when(~F.col("is_core"), 2)
+    else:
+        color = F.when(noise, 0).otherwise(F.pmod(F.col("cluster") * 7919 + seed, F.lit(int(scheme.removeprefix("random")))) + 1)
+    return clustered.select(*POINT, F.coalesce(color, F.lit(1)).cast("double").alias("color"))
+
+
 def split_by_distance(tracks: DataFrame, farthest: float) -> DataFrame:
     """tracks (file_id, track_id, frame, x, y) with `step`, the distance to the row before (null for the
     first), and `part`, which grows by one wherever a step is longer than `farthest`."""
@@ -71,3 +105,105 @@ def split_by_distance(tracks: DataFrame, farthest: float) -> DataFrame:
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
     rows = tracks.withColumn("step", F.sqrt(dx * dx + dy * dy))
     return rows.withColumn("part", F.sum(F.coalesce((F.col("step") > farthest).cast("long"), F.lit(0))).over(w) + 1)
+
+
+def knn_distance(points: DataFrame, k: int) -> DataFrame:
+    """file_id, point_id and distance to the k-th nearest point of the file, itself and equal points counted;
+    null where the file has fewer than k points. Points without coordinates are left out.
+
+    Equal positions are one with a weight. A position meets those of the cells around it and is done when its
+    k-th distance is no longer than a cell; the others go on with cells twice as wide, so each round is an
+    equi-join and dense regions are settled in small cells.
+    """
+    p = materialize(finite_points(points).select(*POINT, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points")
+    places = materialize(p.groupBy("file_id", "x", "y").agg(F.count("*").alias("w")), "places")
+    bounds = places.groupBy("file_id").agg(F.sum("w").alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
+    bounds = materialize(bounds.withColumn("side", F.greatest(F.lit(1e-9), F.col("extent") * F.sqrt(F.least(F.lit(1.0), k / F.col("n"))))), "bounds")
+    left, done, wider = places.join(bounds.filter(F.col("n") >= k), "file_id"), None, 1.0
+    while True:
+        side = F.col("side") * wider
+        cells = places.join(bounds, "file_id").select("file_id", F.col("x").alias("bx"), F.col("y").alias("by"), "w", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+        asks = left.select("file_id", "x", "y", side.alias("reach"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"), "extent", F.explode(_ring()).alias("to"))
+        asks = asks.withColumn("cx", F.col("cx") + F.col("to.i")).withColumn("cy", F.col("cy") + F.col("to.j"))
+        d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
+        near = asks.join(cells, ["file_id", "cx", "cy"]).select("file_id", "x", "y", "reach", "extent", d.alias("d"), "w")
+        upto = F.sum("w").over(Window.partitionBy("file_id", "x", "y").orderBy("d"))
+        found = near.withColumn("upto", upto).filter(F.col("upto") >= k).groupBy("file_id", "x", "y").agg(F.min("d").alias("distance"), F.first("reach").alias("reach"), F.first("extent").alias("extent"))
+        found = materialize(found.filter("distance <= reach OR reach >= extent").select("file_id", "x", "y", "distance"), "knn")
+        done = found if done is None else done.unionByName(found)
+        left = materialize(left.join(found, ["file_id", "x", "y"], "left_anti"), "left")
+        if left.isEmpty():
+            return p.join(done, ["file_id", "x", "y"], "left").select(*POINT, "distance")
+        wider *= 2
+
+
+def line_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of points from the foot that the reference formula gives for a line through two points: the
+    foot's share of the line is divided by the squared 2-norm of the matrix of the two points, not by the
+    squared length of the line, so that it is no perpendicular in general."""
+    half = (x1 * x1 + x2 * x2 + y1 * y1 + y2 * y2) / 2
+    det = x1 * y2 - x2 * y1
+    u = ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / F.nullif(half + F.sqrt(F.greatest(F.lit(0.0), half * half - det * det)), F.lit(0.0))
+    return F.hypot(x1 + u * (x2 - x1) - x, y1 + u * (y2 - y1) - y)
+
+
+def epsilon_knee(points: DataFrame, k: int) -> DataFrame:
+    """file_id and epsilon: the k-th nearest distance at which the sorted curve of all of them is farthest from the
+    line through its ends (the first such); null distances are left out."""
+    d = knn_distance(points, k).filter("distance IS NOT NULL")
+    curve = materialize(ordinals(d, ["file_id"], ["distance", "point_id"], "i").select("file_id", "i", "distance"), "curve")
+    ends = curve.groupBy("file_id").agg(F.count("*").cast("double").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
+    far = line_distance(F.col("i").cast("double"), F.col("distance"), F.lit(1.0), F.col("low"), F.col("n"), F.col("high"))
+    rows = curve.join(ends, "file_id").withColumn("far", F.coalesce(far, F.lit(0.0)))
+    return rows.groupBy("file_id").agg(F.max_by("distance", F.struct("far", -F.col("i"))).alias("epsilon"))
+
+
+def polygon_edges(polygons: DataFrame) -> DataFrame:
+    """Edges (x1, y1, x2, y2) of closed rings (file_id, poly_id, ord, x, y), the last one back to the first corner."""
+    ring = Window.partitionBy("file_id", "poly_id").orderBy("ord")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edge = [F.coalesce(F.lead(c).over(ring), F.first(c).over(whole)).alias(f"{c}2") for c in ("x", "y")]
+    return polygons.select("file_id", "poly_id", "ord", F.col("x").alias("x1"), F.col("y").alias("y1"), *edge)
+
+
+def polygon_summary(polygons: DataFrame) -> DataFrame:
+    """area, centroid (of the area; null without one) and number of corners of each ring."""
+    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    g = polygon_edges(polygons).groupBy("file_id", "poly_id").agg(
+        F.sum(cross).alias("twice"), F.sum((F.col("x1") + F.col("x2")) * cross).alias("mx"), F.sum((F.col("y1") + F.col("y2")) * cross).alias("my"), F.count("*").alias("corners")
+    )
+    by = F.nullif(3 * F.col("twice"), F.lit(0.0))
+    return g.select("file_id", "poly_id", F.abs(F.col("twice") / 2).alias("area"), (F.col("mx") / by).alias("x"), (F.col("my") / by).alias("y"), "corners")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """file_id, point_id and poly_id of every point inside or on the border of a ring of its file.
+
+    Rings are cut into vertical slabs of the mean width of a ring, and a point meets the edges of its slab only:
+    the number of edges to its right, counted in one aggregation, is odd inside.
+    """
+    edges = polygon_edges(polygons)
+    bounds = edges.groupBy("file_id", "poly_id").agg(F.min("x1").alias("left"), F.max("x1").alias("right"))
+    width = bounds.groupBy("file_id").agg(F.greatest(F.lit(1e-9), F.avg(F.col("right") - F.col("left"))).alias("width"))
+    # an edge lies in all slabs from its ring's left end to its own right end, as a ray to the right starts there
+    e = edges.join(bounds, ["file_id", "poly_id"]).join(width, "file_id")
+    slab = lambda v: F.floor(v / F.col("width"))
+    e = e.select("file_id", "poly_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(slab(F.col("left")), slab(F.greatest("x1", "x2")))).alias("slab"))
+    p = finite_points(points).select(*POINT, "x", "y").join(width, "file_id").select(*POINT, "x", "y", slab(F.col("x")).alias("slab"))
+    x, y, x1, y1, x2, y2 = map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))
+    crosses = ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) * (x2 - x1))
+    on = ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
+    met = p.join(e, ["file_id", "slab"]).groupBy(*POINT, "poly_id", "x", "y").agg(F.count_if(crosses).alias("n"), F.max(on).alias("border"))
+    return met.filter("n % 2 = 1 OR border").select(*POINT, "poly_id")
+
+
+def first_rank_density(areas: DataFrame, edges: DataFrame) -> DataFrame:
+    """file_id, point_id and density: cells of the first ring around a point and itself by their area, in units of
+    the file's mean density. areas: file_id, point_id, area; edges: neighbours (file_id, p, q), in one or both
+    directions and as often as they may repeat. Null areas count as cells without area."""
+    both = edges.select("file_id", F.col("p").alias("point_id"), F.col("q").alias("other")).unionByName(edges.select("file_id", F.col("q").alias("point_id"), F.col("p").alias("other")))
+    both = both.unionByName(areas.select(*POINT, F.col("point_id").alias("other"))).distinct()
+    of = areas.select("file_id", F.col("point_id").alias("other"), "area")
+    ring = both.join(of, ["file_id", "other"]).groupBy(*POINT).agg((F.count("*") / F.nullif(F.sum("area"), F.lit(0.0))).alias("ring"))
+    mean = areas.groupBy("file_id").agg(F.avg("area").alias("mean"))
+    return ring.join(mean, "file_id").select(*POINT, (F.col("ring") * F.col("mean")).alias("density"))

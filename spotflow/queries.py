@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotflow.operators import mobility as M
-from spotflow.operators import spatial as S
+from spotflow.operators import image as I, localize as L, mobility as M, spatial as S
+from spotflow.registry import ORACLES, QUERIES, query, r, rounded
 from spotflow.sources import adapters as A
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded and without negative zeros."""
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def r(expression: str, name: str, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0e0 AS {name}"
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # -- mobility ------------------------------------------------------------------------------------
 
@@ -170,8 +145,6 @@ def track_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- localizations -------------------------------------------------------------------------------
 
-from spotflow.operators import image as I, localize as L  # noqa: E402
-
 LIMITS = {"psf_nm": (5.0, 40.0), "photons": (1000.0, 60000.0), "precision_nm": (0.01, 0.08)}
 LIMIT_SQL = " AND ".join(f"{k} BETWEEN {a:e} AND {b:e}" for k, (a, b) in LIMITS.items())
 FLAGS = f"""locs AS (SELECT * FROM ({A.LOCALIZATIONS})), med AS (SELECT file_id, median(psf_nm) AS mp, median(photons) AS mh, median(precision_nm) AS mr FROM locs GROUP BY file_id),
@@ -238,10 +211,12 @@ KERNEL = ", ".join(f"({i - 4}, {j - 4}, {v!r}e0)" if "e" not in repr(v) else f"(
 
 @query(
     f"""WITH p AS ({A.PIXELS}), k AS (SELECT * FROM (VALUES {KERNEL}) v(i, j, v))
-SELECT a.file_id, a.frame, a.row, a.col, {r('sum(b.adu * k.v)', 'filtered', 4)} FROM p a JOIN k ON true JOIN p b ON b.file_id = a.file_id AND b.frame = a.frame AND b.row = a.row - k.i AND b.col = a.col - k.j GROUP BY ALL"""
+SELECT a.file_id, a.frame, a.row, a.col, {r('sum(CAST(b.adu AS FLOAT)::DOUBLE * k.v)', 'filtered', 4)} FROM p a JOIN k ON true JOIN p b ON b.file_id = a.file_id AND b.frame = a.frame AND b.row = a.row - k.i AND b.col = a.col - k.j GROUP BY ALL"""
 )
 def dog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.convolve(A.pixels(spark, sf_dir), I.dog_kernel(1.3)), 4)
+    pixels = A.pixels(spark, sf_dir)
+    found = I.to_pixels(I.filter_frames(I.to_frames(pixels, 32, 32), I.dog_kernel(1.3)))
+    return rounded(found.withColumnRenamed("adu", "filtered").join(pixels.select(*I.PIXEL), [*I.PIXEL], "left_semi"), 4)
 
 
 MAXIMA = f"""p AS ({A.PIXELS}), peaks AS (SELECT a.file_id, a.frame, a.row, a.col, a.adu AS peak FROM p a JOIN p b ON a.file_id = b.file_id AND a.frame = b.frame AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col)
@@ -304,3 +279,6 @@ def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def track_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.split_by_distance(A.gapped_tracks(spark, sf_dir), 50.0).select("file_id", "track_id", "frame", "step", "part"))
+
+
+from spotflow import more_queries  # noqa: E402, F401
