@@ -9,7 +9,6 @@ that one search serves every language; a context array holds the weights left to
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,13 +23,20 @@ from spotflow.session import materialize
 
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
-#: Runs of letters: word characters but digits, the underscore and numbers that are no letters (like a half).
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Runs of letters and of numbers that are no digits (like a half); the latter are taken out by letter_words.
+WORDS = re.compile(r"[^\W\d_]+")
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 60_000
 
 
+def letter_words(text: str) -> list[str]:
+    """Runs of letters of a text."""
+    words = WORDS.findall(text)
+    if "".join(words).isalpha():
+        return words
+    return [part for w in words for part in (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w)).split()]
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the framed words in a row, each one's place in its word, and where words start."""
     codes = np.frombuffer("".join(f"{BEGIN}{w}{END}" for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -122,7 +128,7 @@ class _Scorer:
         words: list[str] = []
         ends, sizes = [], []
         for text in texts:
-            own = LETTERS.findall(text.lower()) if text else []
+            own = letter_words(text.lower()) if text else []
             words += own
             ends.append(len(words))
             sizes.append(sum(map(len, own)) + len(own))
@@ -150,7 +156,7 @@ def _gram_counts(texts: DataFrame) -> pd.DataFrame:
         for batch in slices(batches, "text"):
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                found.update((lang, w) for w in LETTERS.findall((text or "").lower()))
+                found.update((lang, w) for w in letter_words((text or "").lower()))
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([f"{BEGIN}{k[1]}{END}" for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
