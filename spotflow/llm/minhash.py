@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.llm.text import lower_words, mix64, row_keys, slices
+from spotflow.llm.text import UPPER, lower_words, mix64, row_keys, slices
 from spotflow.operators.components import connected_components
 from spotflow.session import materialize
 
@@ -294,3 +294,18 @@ def keep_one(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     rows = keyed.join(kept, "_key")
     alone = rows.filter("NOT _again OR NOT _words").select(*docs.columns)
     return alone.unionByName(rows.filter("_again AND _words").dropDuplicates(["_key"]).select(*docs.columns))
+
+
+def oracle(words: int, percent: int) -> str:
+    """near_duplicates over the table documents by all pairs that share a shingle, as DuckDB SQL."""
+    shingle = "array_to_string(w[i : i + {}], ' ')".format(words - 1)
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, {shingle} AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {words - 1}) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS low FROM ends UNION SELECT e.b, r.low FROM reach r JOIN ends e ON e.a = r.doc_id WHERE r.low < e.b),
+c AS (SELECT doc_id, min(low) AS low FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(low, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""

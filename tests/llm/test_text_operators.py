@@ -328,3 +328,58 @@ def test_dense_lines_between_surge_and_dive():
     lines = [("Home", 4, False), ("x" * 200, 0, False), ("short", 0, False), ("y" * 150, 0, False), ("Imprint", 7, False), ("Contact", 7, False), ("Terms", 5, False)]
     assert html.main_lines(lines) == ["x" * 200, "short", "y" * 150]
     assert json.dumps(html.main_lines([])) == "[]"
+
+
+def test_sql_of_minhash_equals_the_operator(spark, docs, rows):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, t) for i, t, _, _ in {(r[0], r[1]): r for r in rows}.values()], columns=["doc_id", "text"]))
+    want = con.execute(minhash.oracle(3, 85)).fetchall()
+    got = minhash.near_duplicates(docs, minhash.Scheme(words=3, percent=85)).distinct().collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == set(want)
+
+
+def test_interpolated_score_against_plain_python(spark, docs, rows):
+    """Counts without the token's own document, weights by expectation-maximisation by bucket, then the mix."""
+    train = [i is not None and i % 5 != 1 for i, *_ in rows]
+    texts = [[*tokens_of(t), None] for _, t, _, _ in rows]
+    one, two = Counter(), Counter()
+    for use, t in zip(train, texts):
+        if use:
+            one.update(t)
+            two.update(zip(["<s>", *t], t))
+    n, v, starts = sum(one.values()), len(one), sum(train)
+    bin_of = lambda p, q: int(min(max((math.log2(p / q) - interpolation.LOWEST) / interpolation.STEP + 1, 1), interpolation.BINS - 1)) if p > 0 else 0
+    bucket = lambda c: int(min(math.log2(c + 1), interpolation.BUCKETS - 1))
+    cells = Counter()
+    for use, t in zip(train, texts):
+        if use:
+            own1, own2 = Counter(t), Counter(zip(["<s>", *t], t))
+            for a, b in zip(["<s>", *t], t):
+                context = (starts - 1) if a == "<s>" else one[a] - own1[a]
+                p1 = (one[b] - own1[b]) / max(1, n - len(t))
+                p2 = (two[a, b] - own2[a, b]) / max(1, context)
+                cells[bucket(context), bin_of(p2, p1) if p2 > 0 else 0, bin_of(p1, 1 / (v + 1))] += 1
+    weights = {}
+    for k in {c[0] for c in cells}:
+        w = [0.3, 0.6, 0.1]
+        mine = [(c[1], c[2], m) for c, m in cells.items() if c[0] == k]
+        up = lambda b: 2.0 ** (interpolation.LOWEST + interpolation.STEP * (b - 0.5)) if b else 0.0
+        for _ in range(200):
+            total = [0.0, 0.0, 1e-3]
+            for r2, r1, m in mine:
+                p = [w[0] * up(r2) * up(r1), w[1] * up(r1), w[2]]
+                for j in range(3):
+                    total[j] += m * p[j] / sum(p)
+            w = [x / sum(total) for x in total]
+        weights[k] = w
+    got = {(r.doc_id, r.n_tokens): r.score for r in interpolation.score(docs, F.coalesce(F.col("doc_id") % 5 != 1, F.lit(False))).collect()}
+    for (i, *_), t in zip(rows, texts):
+        want = 0.0
+        for a, b in zip(["<s>", *t], t):
+            context = starts if a == "<s>" else one[a]
+            w = weights.get(bucket(context), [0.3, 0.6, 0.1])
+            want += math.log10(w[0] * two[a, b] / max(1, context) + w[1] * one[b] / n + w[2] / (v + 1))
+        assert math.isclose(got[i, len(t)], want, rel_tol=1e-6), (i, got[i, len(t)], want)
