@@ -532,3 +532,41 @@ def localization_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def track_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = A.compact_tracks(spark, sf_dir)
     return R.track_text(tracks.join(tracks.groupBy("file_id", "track_id").count().filter("count >= 62"), ["file_id", "track_id"], "left_semi"))
+
+
+# -- masks, spots and colours --------------------------------------------------------------------
+
+MASK = f"SELECT file_id, row, col FROM (SELECT file_id, row, col, adu, (min(adu) OVER (PARTITION BY file_id) + max(adu) OVER (PARTITION BY file_id)) / 2 AS middle FROM ({A.PIXELS}) WHERE frame = 0) WHERE adu >= middle"
+
+
+@query(f"WITH m AS ({MASK}), p AS ({A.POINTS}) SELECT * FROM p WHERE EXISTS (SELECT 1 FROM m WHERE m.file_id = p.file_id AND m.col = floor(x / 10) AND m.row = floor(y / 10))")
+def points_in_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = S.binarized(A.pixels(spark, sf_dir).filter("frame = 0"))
+    return S.points_in_mask(A.points(spark, sf_dir), mask, 10.0)
+
+
+@query()
+def fit_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A maximum-likelihood fit of every window; tests/test_psf.py holds it against known spots."""
+    from spotflow.operators import psf
+
+    pixels = A.pixels(spark, sf_dir)
+    frames = I.frames_to_photons(I.to_frames(pixels, 32, 32))
+    return L.pixels_to_nm(psf.fit_psf(I.detect(frames, 1.3, 20000.0, 7)), 100.0, 7)
+
+
+SCHEMES = ("binary", "n", "duration", "displacement", "range", "mean x", "mobility (D)", "immobile/mobile")
+
+
+@query(
+    f"""WITH {LINES}, k AS (SELECT file_id, track_id, count(*) AS n, max(frame) - min(frame) + 1 AS span, avg(x) AS mx, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) AS range,
+  sqrt(pow(arg_max(x, frame) - arg_min(x, frame), 2) + pow(arg_max(y, frame) - arg_min(y, frame), 2)) AS moved FROM t GROUP BY ALL)
+SELECT k.file_id, k.track_id, 1e0 AS binary, CAST(n AS DOUBLE) AS n, {r('span / 50e0', 'duration')}, {r('moved', 'displacement')}, {r('range', 'range')}, {r('mx', 'mean_x')}, {r('CASE WHEN is_fitted AND d > 0 THEN d END', 'mobility_d')},
+{r('CASE WHEN is_fitted AND d > 0 THEN (log10(d) > -1.75)::DOUBLE END', 'mobile')} FROM k LEFT JOIN fits USING (file_id, track_id)"""
+)
+def track_color_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks, curves = A.tracks(spark, sf_dir), _curves(spark, sf_dir)
+    out = tracks.select(*M.TRACK).distinct()
+    for scheme, name in zip(SCHEMES, ("binary", "n", "duration", "displacement", "range", "mean_x", "mobility_d", "mobile")):
+        out = out.join(M.track_colors(tracks, scheme, curves).withColumnRenamed("color", name), [*M.TRACK], "left")
+    return rounded(out)

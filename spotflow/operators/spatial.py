@@ -207,3 +207,16 @@ def first_rank_density(areas: DataFrame, edges: DataFrame) -> DataFrame:
     ring = both.join(of, ["file_id", "other"]).groupBy(*POINT).agg((F.count("*") / F.nullif(F.sum("area"), F.lit(0.0))).alias("ring"))
     mean = areas.groupBy("file_id").agg(F.avg("area").alias("mean"))
     return ring.join(mean, "file_id").select(*POINT, (F.col("ring") * F.col("mean")).alias("density"))
+
+
+def points_in_mask(points: DataFrame, mask: DataFrame, pixel_size: float = 1.0) -> DataFrame:
+    """Points (file_id, point_id, x, y) whose pixel of the mask (file_id, row, col from 0, inside) is inside: the raster
+    form of a mask, an equi-join on the pixel. Points off the mask and without coordinates are outside."""
+    at = finite_points(points).withColumn("col", F.floor(F.col("x") / pixel_size)).withColumn("row", F.floor(F.col("y") / pixel_size))
+    return at.join(mask.filter("inside").select("file_id", "row", "col").distinct(), ["file_id", "row", "col"], "left_semi").select(*points.columns)
+
+
+def binarized(pixels: DataFrame, value: str = "adu") -> DataFrame:
+    """file_id, row, col and inside of one-frame images: at least the middle of the least and the greatest value."""
+    ends = pixels.groupBy("file_id").agg(((F.min(value) + F.max(value)) / 2).alias("_middle"))
+    return pixels.join(ends, "file_id").select("file_id", "row", "col", (F.col(value) >= F.col("_middle")).alias("inside"))
