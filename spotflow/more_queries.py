@@ -610,4 +610,14 @@ def voronoi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def voronoi_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Touching cells of high density; tests/test_voronoi.py holds clusters against plain Python."""
-    return V.voronoi_clusters(V.voronoi_cells(A.file_points(spark, sf_dir)), 2.0, "density", 3)
+    cells = V.voronoi_cells(A.file_points(spark, sf_dir))
+    return V.voronoi_clusters(cells, V.voronoi_members(cells, 2.0, "density", 3))
+
+
+@query()
+def voronoi_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings around the clusters with the points inside; tests/test_voronoi.py holds their areas against those of the cells."""
+    cells = V.voronoi_cells(A.file_points(spark, sf_dir))
+    rings = V.outlines(cells, V.voronoi_members(cells, 2.0, "density", 3))
+    inside = S.points_in_polygons(A.file_points(spark, sf_dir), rings).groupBy("file_id", "poly_id").agg(F.count("*").alias("n_inside"))
+    return S.polygon_summary(rings).join(inside, ["file_id", "poly_id"], "left").na.fill({"n_inside": 0})

@@ -101,8 +101,8 @@ def _more_cuts(table: pa.Table) -> pa.Table:
 
 
 def voronoi_cells(points: DataFrame) -> DataFrame:
-    """file_id, point_id, x, y, area, corners (array of x and y), neighbours (point_ids of the cells behind its edges) and
-    is_open (the cell ends at the file's bounding box) of every distinct position; equal positions are one, named by
+    """file_id, point_id, x, y, area, corners (array of x and y), behind (the point_id behind the edge that begins in each
+    corner, null for the box), neighbours (the distinct ones) and is_open (the cell ends at the file's bounding box) of every distinct position; equal positions are one, named by
     the smallest point_id. Points without coordinates have no cell, nor has a file whose points lie on a line along
     an axis or in one place (its box has no area)."""
     p = finite_points(points).groupBy("file_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("point_id").alias("point_id"))
@@ -144,14 +144,15 @@ def voronoi_cells(points: DataFrame) -> DataFrame:
         done, left = done.unionByName(rounds.filter(2 * far <= F.col("reach"))), open_(rounds)
     done = materialize(done, "done")
     names = p.select(F.col("node").alias("other"), F.col("point_id").alias("name"))
-    behind = done.select("node", F.explode(F.array_distinct("owner")).alias("other")).filter(F.col("other") != BOX)
-    behind = behind.join(names, "other").groupBy("node").agg(F.array_sort(F.collect_list("name")).alias("neighbours"))
+    sides = done.select("node", F.posexplode("owner").alias("k", "other")).join(names, "other", "left")
+    behind = sides.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda v: v["name"]).alias("behind"))
     corners = F.arrays_zip(F.col("cx").alias("x"), F.col("cy").alias("y"))
     shifted = F.concat(F.slice("cx", 2, F.size("cx") - 1), F.slice("cx", 1, 1)), F.concat(F.slice("cy", 2, F.size("cy") - 1), F.slice("cy", 1, 1))
     cross = F.zip_with(F.arrays_zip("cx", "cy"), F.arrays_zip(shifted[0].alias("nx"), shifted[1].alias("ny")), lambda a, b: (a["cx"] - F.col("x")) * (b["ny"] - F.col("y")) - (b["nx"] - F.col("x")) * (a["cy"] - F.col("y")))
     area = F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
     found = done.select("node", area.alias("area"), corners.alias("corners"), F.array_contains("owner", F.lit(BOX)).alias("is_open"))
-    return p.join(found, "node").join(behind, "node", "left").select("file_id", "point_id", "x", "y", "area", "corners", F.coalesce("neighbours", F.array().cast("array<long>")).alias("neighbours"), "is_open")
+    neighbours = F.array_sort(F.array_distinct(F.filter("behind", lambda v: v.isNotNull())))
+    return p.join(found, "node").join(behind, "node").select("file_id", "point_id", "x", "y", "area", "corners", "behind", neighbours.alias("neighbours"), "is_open")
 
 
 def neighbour_edges(cells: DataFrame) -> DataFrame:
@@ -160,11 +161,11 @@ def neighbour_edges(cells: DataFrame) -> DataFrame:
     return pairs.select("file_id", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
 
 
-def voronoi_clusters(cells: DataFrame, threshold: float, method: str = "density", min_n: int = 1, keep_open: bool = False) -> DataFrame:
-    """file_id, cluster, n, area, diameter, x and y of groups of touching cells: those with an area below the threshold, or
-    with a normalised first-rank density above it (strictly). Cells that end at the box are left out unless
-    keep_open. Clusters are numbered from 1 in a file by their smallest point_id; the diameter is that of a circle of
-    the area. Regions that touch in one corner only are apart; their outlines are not traced anew."""
+def voronoi_members(cells: DataFrame, threshold: float, method: str = "density", min_n: int = 1, keep_open: bool = False) -> DataFrame:
+    """file_id, point_id and cluster of the cells in groups of at least min_n touching cells: those with an area below the
+    threshold, or with a normalised first-rank density above it (strictly). Cells that end at the box are left out
+    unless keep_open. Clusters are numbered from 1 in a file by their smallest point_id. Cells that touch in one
+    corner only are apart."""
     cells = cells if keep_open else cells.filter("NOT is_open")
     cells = materialize(cells.withColumn("node", F.monotonically_increasing_id()), "cells")
     edges = neighbour_edges(cells)
@@ -173,10 +174,64 @@ def voronoi_clusters(cells: DataFrame, threshold: float, method: str = "density"
         chosen = cells.join(rank.filter(F.col("density") > threshold).select("file_id", "point_id"), ["file_id", "point_id"], "left_semi")
     else:
         chosen = cells.filter(F.col("area") < threshold)
-    chosen = materialize(chosen.select("file_id", "point_id", "node", "x", "y", "area"), "chosen")
+    chosen = materialize(chosen.select("file_id", "point_id", "node"), "chosen")
     a, b = (chosen.select("file_id", F.col("point_id").alias(c), F.col("node").alias(f"n{c}")) for c in "pq")
     comps = connected_components(edges.join(a, ["file_id", "p"]).join(b, ["file_id", "q"]), "np", "nq")
     of = chosen.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    g = of.groupBy("file_id", "component").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("point_id").alias("lowest")).filter(F.col("n") >= min_n)
-    numbered = ordinals(g, ["file_id"], ["lowest"], "cluster")
-    return numbered.select("file_id", "cluster", "n", "area", F.sqrt(4 * F.col("area") / F.pi()).alias("diameter"), "x", "y")
+    g = of.groupBy("file_id", "component").agg(F.count("*").alias("n"), F.min("point_id").alias("lowest")).filter(F.col("n") >= min_n)
+    numbered = ordinals(g, ["file_id"], ["lowest"], "cluster").select("file_id", "component", "cluster")
+    return materialize(of.join(numbered, ["file_id", "component"]).select("file_id", "point_id", "cluster"), "clusters")
+
+
+def voronoi_clusters(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """file_id, cluster, n, area, diameter of a circle of that area, mean x and y of the clusters of voronoi_members."""
+    g = cells.join(members, ["file_id", "point_id"]).groupBy("file_id", "cluster")
+    g = g.agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return g.select("file_id", "cluster", "n", "area", F.sqrt(4 * F.col("area") / F.pi()).alias("diameter"), "x", "y")
+
+
+def border_sides(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """file_id, cluster, x1, y1, x2 and y2 of the sides of a cluster's cells that no other cell of it lies behind."""
+    own = cells.join(members, ["file_id", "point_id"])
+    after = F.concat(F.slice("corners", 2, F.size("corners") - 1), F.slice("corners", 1, 1))
+    sides = own.select("file_id", "cluster", F.explode(F.arrays_zip("corners", after.alias("after"), "behind")).alias("s"))
+    sides = sides.select("file_id", "cluster", F.col("s.behind").alias("other"), F.col("s.corners.x").alias("x1"), F.col("s.corners.y").alias("y1"), F.col("s.after.x").alias("x2"), F.col("s.after.y").alias("y2"))
+    same = members.select("file_id", "cluster", F.col("point_id").alias("other"), F.lit(True).alias("same"))
+    return sides.join(same, ["file_id", "cluster", "other"], "left").filter("same IS NULL").select("file_id", "cluster", "x1", "y1", "x2", "y2")
+
+
+def rings_of(starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Closed walks over directed sides; corners that differ by rounding only are one."""
+    points = np.concatenate([starts, ends])
+    unit = max(float(np.ptp(points, axis=0).max()), 1e-300) * 1e-9
+    _, place = np.unique(np.round(points / unit), axis=0, return_inverse=True)
+    place = place.reshape(-1)
+    out: dict[int, list[int]] = {}
+    for k, (a, b) in enumerate(zip(place[: len(starts)].tolist(), place[len(starts) :].tolist())):
+        if a != b:
+            out.setdefault(a, []).append(k)
+    after, rings = place[len(starts) :].tolist(), []
+    while out:
+        at, walk = next(iter(out)), []
+        while at in out:
+            k = out[at].pop()
+            if not out[at]:
+                del out[at]
+            walk.append(k)
+            at = after[k]
+        rings.append(starts[walk])
+    return rings
+
+
+def outlines(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """Corners (file_id, poly_id = cluster, ord, x, y) of the longest ring around each cluster; inner rings (holes) are
+    left out. The sides of one cluster are traced in one task."""
+
+    def trace(table: pa.Table) -> pa.Table:
+        c = {n: table.column(n).to_numpy() for n in ("x1", "y1", "x2", "y2")}
+        rings = rings_of(np.column_stack([c["x1"], c["y1"]]), np.column_stack([c["x2"], c["y2"]]))
+        ring = max(rings, key=lambda r: float(np.hypot(*np.diff(np.vstack([r, r[:1]]), axis=0).T).sum()))
+        n, first = len(ring), table.slice(0, 1).to_pylist()[0]
+        return pa.table({"file_id": pa.array([first["file_id"]] * n, pa.int64()), "poly_id": pa.array([first["cluster"]] * n, pa.int64()), "ord": pa.array(range(1, n + 1), pa.int32()), "x": ring[:, 0], "y": ring[:, 1]})
+
+    return border_sides(cells, members).groupBy("file_id", "cluster").applyInArrow(trace, "file_id long, poly_id long, ord int, x double, y double")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from spotflow.operators import voronoi
+from spotflow.operators import spatial, voronoi
 
 POINTS = "file_id long, point_id long, x double, y double"
 
@@ -66,9 +66,21 @@ def test_clusters_of_small_cells(spark):
                 group.add(i)
                 todo += want[i][1] & small
         groups.append(group)
-    got = voronoi.voronoi_clusters(cells, 0.2, "area", 3).orderBy("cluster").collect()
+    members = voronoi.voronoi_members(cells, 0.2, "area", 3)
+    got = voronoi.voronoi_clusters(cells, members).orderBy("cluster").collect()
     big = [g for g in groups if len(g) >= 3]
     assert [r.n for r in got] == [len(g) for g in big] and len(got) >= 2
     assert all(math.isclose(r.area, sum(want[i][0] for i in g), rel_tol=1e-6) for r, g in zip(got, big))
-    assert voronoi.voronoi_clusters(cells, 3.0, "density", 3).count() >= 1
+    assert {(r.point_id, r.cluster) for r in members.collect()} == {(i, k) for k, g in enumerate(big, 1) for i in g}
+    ring_area = {r.poly_id: r.area for r in spatial.polygon_summary(voronoi.outlines(cells, members)).collect()}
+    assert all(ring_area[k] >= r.area * (1 - 1e-6) for k, r in enumerate(got, 1))  # a ring also holds its holes
+    assert any(math.isclose(ring_area[k], r.area, rel_tol=1e-6) for k, r in enumerate(got, 1))
+    assert voronoi.voronoi_members(cells, 1.5, "density", 3).count() >= 3
     assert voronoi.voronoi_cells(spark.createDataFrame([], POINTS)).count() == 0
+
+
+def test_rings_of_a_square_with_a_hole():
+    outer, inner = [(0, 0), (3, 0), (3, 3), (0, 3)], [(1, 1), (1, 2), (2, 2), (2, 1)]
+    sides = [(a, b) for ring in (outer, inner) for a, b in zip(ring, ring[1:] + ring[:1])]
+    starts, ends = (np.array(x, dtype=float) for x in zip(*[sides[k] for k in (5, 0, 3, 6, 1, 7, 2, 4)]))
+    assert sorted(len(r) for r in voronoi.rings_of(starts, ends)) == [4, 4]
