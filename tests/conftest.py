@@ -11,9 +11,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from spotflow.session import get_session
+    from spotflow.session import clear_staging, get_session
 
     session = get_session("tests", cores="4", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_staging(session)
     session.stop()
