@@ -91,17 +91,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import whitening
+
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import collocations
+
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm import contamination
+
+    found = contamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_embedding": op2_embedding, "op3_lm_score": op3_lm_score, "op4_mixing": op4_mixing, "op5_license": op5_license, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity}
+    return {"op1_html": op1_html, "op2_embedding": op2_embedding, "op3_lm_score": op3_lm_score, "op4_mixing": op4_mixing, "op5_license": op5_license, "op6_bpe": op6_bpe, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_minhash": op9_minhash, "op10_toxicity": op10_toxicity, "op11_whitening": op11_whitening, "op12_collocations": op12_collocations, "op13_contamination": op13_contamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    from spotflow.llm import licenses, minhash
+    from spotflow.llm import collocations, contamination, licenses, minhash
 
     whole = "WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
     return {
         "op5_license": licenses.oracle(),
         "op9_minhash": minhash.oracle(3, 85),
+        "op12_collocations": collocations.oracle(),
+        "op13_contamination": contamination.oracle(10),
         "op7_topk": f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings {whole}),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)

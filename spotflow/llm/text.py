@@ -85,3 +85,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def segments(text: bytes, size: int = 4_000_000, ends: bytes = b" ") -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes, each cut behind one of the bytes `ends`, so that the words of a
+    very long text never all exist at once."""
+    start = 0
+    while len(text) - start > size:
+        found = [i for i in (text.find(bytes([e]), start + size) for e in ends) if i >= 0]
+        if not found:
+            break
+        yield text[start : min(found) + 1]
+        start = min(found) + 1
+    yield text[start:]
