@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.llm.text import UPPER, lower_words, mix64, row_keys, slices
+from spotflow.llm.text import UPPER, carried, lower_words, mix64, row_keys, slices
 from spotflow.operators.components import connected_components
 from spotflow.session import materialize
 
@@ -286,14 +286,16 @@ def keep_one(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """docs without near duplicates: of each group one row stays, that with the smallest doc_id.
 
     Every row is a document of its own, also rows without a doc_id and those that share one; in a group
-    with such rows the one that stays follows from a hash of the rows. Rows without words stay all.
+    with such rows the one that stays follows from a hash of the rows. Rows without words stay all. Columns of docs are
+    handed on as they are, whatever their names.
     """
-    keyed = row_keys(docs)
+    inner, own = carried(docs, "doc_id", "text")
+    keyed = row_keys(inner)
     groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), scheme)
     kept = materialize(groups.filter("kept").select(F.col("doc_id").alias("_key"), (F.col("n_shingles") > 0).alias("_words")).distinct(), "kept")
     rows = keyed.join(kept, "_key")
-    alone = rows.filter("NOT _again OR NOT _words").select(*docs.columns)
-    return alone.unionByName(rows.filter("_again AND _words").dropDuplicates(["_key"]).select(*docs.columns))
+    alone = rows.filter("NOT _again OR NOT _words").select(*own)
+    return alone.unionByName(rows.filter("_again AND _words").dropDuplicates(["_key"]).select(*own))
 
 
 def oracle(words: int, percent: int) -> str:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spotflow.llm.text import row_keys, word_count
+from spotflow.llm.text import carried, row_keys, word_count
 from spotflow.session import materialize
 
 #: Documents of one source and length that one task ranks; larger groups are dealt into so many.
@@ -130,10 +130,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
 def repeat(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed corpus: rows of docs, each as often as the mix takes it (not at all to three times).
     Rows without a doc_id and rows that share one are documents of their own; equal rows share their
-    copies."""
-    keyed = row_keys(docs)
+    copies. Columns of docs are handed on as they are, whatever their names."""
+    inner, own = carried(docs, "doc_id", "text", "source")
+    keyed = row_keys(inner)
     mixed = mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), seed=seed)
     copies = materialize(mixed.groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies")).filter("_copies > 0"), "copies")
     rows = keyed.filter("NOT _again").unionByName(keyed.filter("_again").dropDuplicates(["_key"]))
     often = rows.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return often.select(*docs.columns)
+    return often.select(*own)

@@ -34,6 +34,13 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def carried(docs: DataFrame, *read: str) -> tuple[DataFrame, list[Column]]:
+    """docs with every column but those that are read under a name of its own (_c and its place), so that no
+    operator's own column can take the place of one of docs; and the columns of docs to select at the end."""
+    inner = [c if c in read else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*inner), [F.col(i).alias(c) for i, c in zip(inner, docs.columns)]
+
+
 def row_keys(docs: DataFrame) -> DataFrame:
     """docs with a long column `_key` and a boolean `_again`: where a doc_id is not null and one row's alone
     it is the key; other rows (_again) get a hash of the whole row, so that only equal rows share a key."""

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spotflow.llm import bpe, langid, minhash, mixing, toxicity
@@ -136,3 +137,20 @@ def test_keep_one_keeps_rows_without_words(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (None, "", "en", "s", 1), (None, "", "en", "s", 1), (None, None, "en", "s", 1), (2, "g h", "en", "s", 1)]
     got = minhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert Counter(r.text for r in got) == {"a b c d e f": 1, "": 2, None: 1, "g h": 1}
+
+
+#: Names that the operators use for columns of their own.
+HELPERS = ("_key", "_again", "_id", "_n", "_words", "_copies", "_copy", "score", "predicted", "lang_pred", "cross_entropy", "rejected", "ids", "copies", "key", "size", "toxic", "n_tokens", "_c0")
+
+
+def test_no_stage_overwrites_a_column(spark, folder):
+    """Columns with the operators' own names come out of every stage as they went in."""
+    plain = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 200")
+    docs = plain.select("*", *[F.concat(F.lit(f"{c} of "), "doc_id").alias(c) for c in HELPERS])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in HELPERS), name
+        assert bag(r[:5] for r in rows) == bag(stage(spark, plain, folder).collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
