@@ -11,20 +11,19 @@ from spotflow.sources import adapters as A
 
 # -- localizations -------------------------------------------------------------------------------
 
-DETECTED = f"""p AS ({A.PIXELS}), k AS (SELECT * FROM (VALUES {KERNEL}) v(i, j, v)), q AS (SELECT *, CAST((adu - 100e0) * 0.48e0 AS FLOAT) AS v FROM p),
+DETECTED = f"""px AS ({A.PIXELS}), p AS (SELECT f.file_id, f.frame, CAST(i // 32 AS INTEGER) AS row, CAST(i % 32 AS INTEGER) AS col, coalesce(adu, 0e0) AS adu
+  FROM (SELECT DISTINCT file_id, frame FROM px) f CROSS JOIN range(1024) t(i) LEFT JOIN px ON px.file_id = f.file_id AND px.frame = f.frame AND px.row = i // 32 AND px.col = i % 32), k AS (SELECT * FROM (VALUES {KERNEL}) v(i, j, v)), q AS (SELECT *, CAST((adu - 100e0) * 0.48e0 AS FLOAT) AS v FROM p),
 q2 AS (SELECT file_id, frame, row, col, v::DOUBLE - min(v) OVER (PARTITION BY file_id, frame) AS v FROM q),
 f AS (SELECT a.file_id, a.frame, a.row, a.col, sum(b.v * k.v) AS v FROM q2 a JOIN k ON true JOIN q2 b ON b.file_id = a.file_id AND b.frame = a.frame AND b.row = a.row - k.i AND b.col = a.col - k.j GROUP BY ALL)"""
 
 
 @query(
     f"""WITH {DETECTED} SELECT a.file_id, a.frame, a.col + 1 AS x, a.row + 1 AS y FROM f a JOIN f b ON a.file_id = b.file_id AND a.frame = b.frame AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col)
-WHERE a.v >= 20000 AND a.row BETWEEN 3 AND 28 AND a.col BETWEEN 3 AND 28 AND a.frame IN (SELECT frame FROM p GROUP BY frame HAVING count(*) = 1024) GROUP BY ALL HAVING count(*) = 8 AND max(b.v) < a.v"""
+WHERE a.v >= 20000 AND a.row BETWEEN 3 AND 28 AND a.col BETWEEN 3 AND 28 GROUP BY ALL HAVING count(*) = 8 AND max(b.v) < a.v"""
 )
 def detect_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole frames only: a frame without its last pixels is no image."""
-    pixels = A.pixels(spark, sf_dir)
-    whole = pixels.groupBy("file_id", "frame").count().filter("count = 1024")
-    frames = I.to_frames(pixels.join(whole, ["file_id", "frame"], "left_semi"), 32, 32)
+    """Peaks of all frames; pixels that a frame lacks are 0."""
+    frames = I.to_frames(A.pixels(spark, sf_dir), 32, 32)
     return I.detect(I.frames_to_photons(frames), 1.3, 20000.0, 7).select("file_id", "frame", "x", "y")
 
 
@@ -329,7 +328,7 @@ def normal_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def two_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expectation-maximisation; tests/test_fits.py holds it against known mixtures."""
+    """Expectation-maximisation; tests/test_fits_and_images.py holds it against known mixtures."""
     return T.two_populations(_valid(spark, sf_dir))
 
 

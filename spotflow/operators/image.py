@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 FRAME_SCHEMA = "file_id long, frame int, height int, width int, pixels array<float>"
@@ -155,11 +156,25 @@ def to_pixels(frames: DataFrame) -> DataFrame:
 
 
 def to_frames(pixels: DataFrame, height: int, width: int, value: str = "adu") -> DataFrame:
-    """Frames of a fixed size from pixels; positions without a pixel are 0."""
-    at = (F.col("row") * width + F.col("col")).cast("int")
-    packed = pixels.groupBy("file_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct(at, F.col(value).cast("double")))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return packed.select("file_id", "frame", F.lit(height).alias("height"), F.lit(width).alias("width"), filled.alias("pixels"))
+    """Frames of a fixed size from pixels; positions without a pixel, or with a null one, are 0. Pixels outside the size are
+    left out, and of pixels that repeat the greatest counts. A frame is put together in one task, each pixel at its
+    place."""
+
+    def fill(group: pa.Table) -> pa.Table:
+        at, v = group.column("at").to_numpy(), group.column("v").to_numpy()
+        order = np.argsort(v, kind="stable")
+        image = np.full(height * width, -np.inf, np.float32)
+        image[at[order]] = v[order]
+        image[image == -np.inf] = 0
+        image = pa.ListArray.from_arrays(pa.array([0, len(image)], pa.int32()), pa.array(image))
+        one = lambda n: pa.array([n], pa.int32())
+        return pa.table({"file_id": group.column("file_id")[:1], "frame": group.column("frame")[:1], "height": one(height), "width": one(width), "pixels": image})
+
+    inside = F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)
+    at = F.when(inside, F.col("row") * width + F.col("col")).otherwise(0).cast("int")  # a frame with no pixel inside is a frame too
+    v = F.when(inside, F.col(value).cast("double"))
+    rows = pixels.select(F.col("file_id").cast("long").alias("file_id"), F.col("frame").cast("int").alias("frame"), at.alias("at"), F.coalesce(v, F.lit(float("-inf"))).alias("v"))
+    return rows.groupBy("file_id", "frame").applyInArrow(fill, FRAME_SCHEMA)
 
 
 def filter_frames(frames: DataFrame, kernel: np.ndarray) -> DataFrame:

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spotflow.operators.blocks import SIZE, blocks_of, box_distance, dealt
 from spotflow.operators.components import connected_components
 from spotflow.operators.ordered import ordinals
 from spotflow.session import materialize
@@ -107,34 +110,67 @@ def split_by_distance(tracks: DataFrame, farthest: float) -> DataFrame:
     return rows.withColumn("part", F.sum(F.coalesce((F.col("step") > farthest).cast("long"), F.lit(0))).over(w) + 1)
 
 
+def _nearest(d: np.ndarray, w: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each row of distances to points of weight w the shortest that add up to k, with their weights."""
+    if (w == 1).all() and d.shape[1] > k:
+        d, order = np.partition(d, k - 1, axis=1)[:, :k], None
+        d = np.sort(d, axis=1)
+        return list(d), [np.ones(k, np.int64)] * len(d)
+    order = np.argsort(d, axis=1, kind="stable")
+    d, w = np.take_along_axis(d, order, axis=1), w[order]
+    upto = np.cumsum(w, axis=1)
+    ends = (upto < k).sum(axis=1) + 1
+    return [x[:e] for x, e in zip(d, ends)], [x[:e] for x, e in zip(w, ends)]
+
+
 def knn_distance(points: DataFrame, k: int) -> DataFrame:
     """file_id, point_id and distance to the k-th nearest point of the file, itself and equal points counted;
     null where the file has fewer than k points. Points without coordinates are left out.
 
-    Equal positions are one with a weight. A position meets those of the cells around it and is done when its
-    k-th distance is no longer than a cell; the others go on with cells twice as wide, so each round is an
-    equi-join and dense regions are settled in small cells.
+    Equal positions are one with a weight. The k-th distance within a position's own block bounds the true one; the
+    blocks whose boxes lie nearer than that are searched as well. Blocks have the same number of positions
+    wherever they lie, and the searches of a block that many positions ask are dealt over tasks.
     """
-    p = materialize(finite_points(points).select(*POINT, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points")
+    p = materialize(finite_points(points).select(F.col("file_id").cast("long").alias("file_id"), "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points")
     places = materialize(p.groupBy("file_id", "x", "y").agg(F.count("*").alias("w")), "places")
-    bounds = places.groupBy("file_id").agg(F.sum("w").alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
-    bounds = materialize(bounds.withColumn("side", F.greatest(F.lit(1e-9), F.col("extent") * F.sqrt(F.least(F.lit(1.0), k / F.col("n"))))), "bounds")
-    left, done, wider = places.join(bounds.filter(F.col("n") >= k), "file_id"), None, 1.0
-    while True:
-        side = F.col("side") * wider
-        cells = places.join(bounds, "file_id").select("file_id", F.col("x").alias("bx"), F.col("y").alias("by"), "w", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-        asks = left.select("file_id", "x", "y", side.alias("reach"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"), "extent", F.explode(_ring()).alias("to"))
-        asks = asks.withColumn("cx", F.col("cx") + F.col("to.i")).withColumn("cy", F.col("cy") + F.col("to.j"))
-        d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
-        near = asks.join(cells, ["file_id", "cx", "cy"]).select("file_id", "x", "y", "reach", "extent", d.alias("d"), "w")
-        upto = F.sum("w").over(Window.partitionBy("file_id", "x", "y").orderBy("d"))
-        found = near.withColumn("upto", upto).filter(F.col("upto") >= k).groupBy("file_id", "x", "y").agg(F.min("d").alias("distance"), F.first("reach").alias("reach"), F.first("extent").alias("extent"))
-        found = materialize(found.filter("distance <= reach OR reach >= extent").select("file_id", "x", "y", "distance"), "knn")
-        done = found if done is None else done.unionByName(found)
-        left = materialize(left.join(found, ["file_id", "x", "y"], "left_anti"), "left")
-        if left.isEmpty():
-            return p.join(done, ["file_id", "x", "y"], "left").select(*POINT, "distance")
-        wider *= 2
+    enough = places.groupBy("file_id").agg(F.sum("w").alias("_n")).filter(F.col("_n") >= k).select("file_id")
+    blocks = blocks_of(places.join(enough, "file_id", "left_semi"), max(SIZE, 2 * k))
+    kinds = "file_id long, x double, y double, d array<double>, w array<long>"
+
+    def found(file_id: pa.Array, x: np.ndarray, y: np.ndarray, d: list, w: list) -> pa.Table:
+        return pa.table({"file_id": file_id, "x": x, "y": y, "d": pa.array(d, pa.list_(pa.float64())), "w": pa.array(w, pa.list_(pa.int64()))})
+
+    def search(qx: np.ndarray, qy: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list, list]:
+        d, n = [], []
+        for i in range(0, len(qx), 512):
+            some = _nearest(np.sqrt((qx[i : i + 512, None] - x) ** 2 + (qy[i : i + 512, None] - y) ** 2), w, k)
+            d, n = d + some[0], n + some[1]
+        return d, n
+
+    def within(own: pa.Table) -> pa.Table:
+        x, y, w = (own.column(c).to_numpy() for c in ("x", "y", "w"))
+        return found(own.column("file_id"), x, y, *search(x, y, x, y, w)).append_column("block", own.column("block"))
+
+    def across(asks: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(asks):
+            return found(pa.array([], pa.int64()), np.zeros(0), np.zeros(0), [], [])
+        qx, qy = asks.column("x").to_numpy(), asks.column("y").to_numpy()
+        return found(asks.column("file_id"), qx, qy, *search(qx, qy, *(own.column(c).to_numpy() for c in ("x", "y", "w"))))
+
+    first = materialize(blocks.places.groupBy("file_id", "block").applyInArrow(within, kinds + ", block long"), "within")
+    bound = F.when(F.aggregate("w", F.lit(0).cast("long"), lambda s, v: s + v) >= k, F.element_at("d", -1)).otherwise(float("inf"))
+    asks = first.select("file_id", "x", "y", bound.alias("bound"), F.col("block").alias("_own"))
+    asks = blocks.meet(asks, lambda: box_distance(F.col("x"), F.col("y")) < F.col("bound")).filter("block <> _own")
+    asked = materialize(asks.select("file_id", "x", "y", "block"), "asks")
+    left, right = dealt(asked, blocks.places)
+    keys = ("file_id", "block", "part")
+    more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(across, kinds)
+    every = first.drop("block").unionByName(more).select("file_id", "x", "y", F.arrays_zip("d", "w").alias("l"))
+    merged = F.array_sort(F.flatten(F.collect_list("l")))
+    step = lambda s, v: F.struct((s["n"] + v["w"]).alias("n"), F.when((s["n"] < k) & (s["n"] + v["w"] >= k), v["d"]).otherwise(s["d"]).alias("d"))
+    reached = F.aggregate("l", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d")), step)
+    done = every.groupBy("file_id", "x", "y").agg(merged.alias("l")).select("file_id", "x", "y", reached["d"].alias("distance"))
+    return p.join(done, ["file_id", "x", "y"], "left").select(*POINT, "distance")
 
 
 def line_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -1,30 +1,34 @@
 """Voronoi cells, who touches whom, and clusters of small or dense cells.
 
 A cell is the file's bounding box cut by the bisectors to other points, nearest first, until no point that is
-left can cut it. Points are dealt into tiles, and a tile with those around it settles most cells in one task.
-A cell that could still be cut from farther away asks, on a grid twice as coarse each time, for the points nearer to
-one of its corners than its own point; a few of them at a time cut it until none is left. So no task ever holds the
-points of a file.
+left can cut it. Points are dealt into blocks of equal size wherever they lie. A cell is cut by the points of its own
+block, and then asks the blocks around for points nearer to one of its corners than its own point: first those
+within twice the distance to a near neighbour, then GROW times as far each time, until nothing beyond can cut it. So
+no task ever holds the points of a file, and dense and empty regions cost the same.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from spotflow.operators.blocks import SIZE, blocks_of, box_distance, dealt
 from spotflow.operators.components import connected_components
 from spotflow.operators.ordered import ordinals
-from spotflow.operators.spatial import _ring, finite_points, first_rank_density
+from spotflow.operators.spatial import finite_points, first_rank_density
 from spotflow.session import materialize
 
-#: Points that a tile is meant to hold, and cutting points that a cell takes at a time on a coarse grid.
-IN_TILE, AT_ONCE = 200, 32
+#: The neighbour in a point's own block whose distance sets how far its cell looks first, and how much farther the next time.
+NEAR, GROW = 16, 6.0
+#: Points of a block, to twice as many.
+IN_BLOCK = SIZE
 #: A corner on the box has no neighbour behind the edge that begins in it.
 BOX = -1
-CELL = "file_id long, node long, x double, y double, cx array<double>, cy array<double>, owner array<long>, reach double"
+CELL = "file_id long, node long, x double, y double, cx array<double>, cy array<double>, owner array<long>, block long, near double, across double, reach double"
 
 Corner = tuple[float, float, int]  # and the node behind the edge that begins in it
 
@@ -68,80 +72,90 @@ def cut_by(cell: list[Corner], p: tuple[float, float], others: np.ndarray, nodes
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     names = [c.split()[0] for c in CELL.split(", ")]
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds))})
 
 
-def _row(file_id: int, node: int, p: tuple[float, float], cell: list[Corner], reach: float) -> tuple:
-    return file_id, node, *p, [c[0] for c in cell], [c[1] for c in cell], [c[2] for c in cell], reach
+def _columns(cell: list[Corner]) -> tuple[list, list, list]:
+    return [c[0] for c in cell], [c[1] for c in cell], [c[2] for c in cell]
 
 
-def _of_tile(own: pa.Table, around: pa.Table) -> pa.Table:
-    """Cells of the points of a tile, cut by the points around it; reach is how far around those lie."""
-    rows = []
-    if len(own):
-        others = np.column_stack([around.column("x").to_numpy(), around.column("y").to_numpy()])
-        nodes = around.column("node").to_numpy()
-        for r in own.to_pylist():
-            p, side = (r["x"], r["y"]), r["side"]
-            box = [(r["x0"], r["y0"], BOX), (r["x1"], r["y0"], BOX), (r["x1"], r["y1"], BOX), (r["x0"], r["y1"], BOX)]
-            reach = min(p[0] - (r["tx"] - 1) * side, (r["tx"] + 2) * side - p[0], p[1] - (r["ty"] - 1) * side, (r["ty"] + 2) * side - p[1])
-            cell = cut_by(box, p, others, nodes)
-            rows.append(_row(r["file_id"], r["node"], p, cell, reach))
+def _of_block(own: pa.Table) -> pa.Table:
+    """Cells of the points of a block, cut by each other; near is the distance to the NEAR-th of them."""
+    x, y, nodes = (own.column(c).to_numpy() for c in ("x", "y", "node"))
+    at, rows = np.column_stack([x, y]), []
+    edges = own.slice(0, 1).select(["x0", "x1", "y0", "y1", "across"]).to_pylist()[0]
+    box = [(edges["x0"], edges["y0"], BOX), (edges["x1"], edges["y0"], BOX), (edges["x1"], edges["y1"], BOX), (edges["x0"], edges["y1"], BOX)]
+    k = min(NEAR, len(x) - 1)
+    for file_id, block, node, p in zip(own.column("file_id").to_pylist(), own.column("block").to_pylist(), nodes.tolist(), zip(x.tolist(), y.tolist())):
+        near = float(np.partition(np.hypot(x - p[0], y - p[1]), k)[k])
+        rows.append((file_id, node, *p, *_columns(cut_by(box, p, at, nodes)), block, near, edges["across"], 0.0))
     return _table(rows)
 
 
-def _more_cuts(table: pa.Table) -> pa.Table:
-    r = table.slice(0, 1).to_pylist()[0]
-    p = (r["x"], r["y"])
-    cell = list(zip(r["cx"], r["cy"], r["owner"]))
-    others = np.column_stack([table.column("qx").to_numpy(), table.column("qy").to_numpy()])
-    return _table([_row(r["file_id"], r["node"], p, cut_by(cell, p, others, table.column("q").to_numpy()), r["reach"])])
+def _cutters(asks: pa.Table, own: pa.Table) -> pa.Table:
+    """node, q, qx and qy of the points of a block that are behind an edge of a cell after it is cut by the block."""
+    nodes, at = own.column("node").to_numpy(), np.column_stack([own.column("x").to_numpy(), own.column("y").to_numpy()])
+    place = {n: i for i, n in enumerate(nodes.tolist())}
+    found: list[tuple[int, int, int]] = []
+    for r in asks.to_pylist():
+        p = (r["x"], r["y"])
+        cell = cut_by(list(zip(r["cx"], r["cy"], [BOX] * len(r["cx"]))), p, at, nodes)
+        found += [(r["node"], q, place[q]) for q in {c[2] for c in cell} - {BOX}]
+    k = np.array([f[2] for f in found], dtype=np.int64)
+    return pa.table({"node": pa.array([f[0] for f in found], pa.int64()), "q": pa.array([f[1] for f in found], pa.int64()), "qx": at[k, 0] if found else np.zeros(0), "qy": at[k, 1] if found else np.zeros(0)})
 
 
-def voronoi_cells(points: DataFrame) -> DataFrame:
+def _more_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            p, cell = (r["x"], r["y"]), list(zip(r["cx"], r["cy"], r["owner"]))
+            others = np.array([(q["qx"], q["qy"]) for q in r["by"]])
+            cell = cut_by(cell, p, others, np.array([q["q"] for q in r["by"]]))
+            rows.append((r["file_id"], r["node"], *p, *_columns(cell), r["block"], r["near"], r["across"], r["reach"]))
+        yield from _table(rows).to_batches()
+
+
+def voronoi_cells(points: DataFrame, margin: float = 0.0) -> DataFrame:
     """file_id, point_id, x, y, area, corners (array of x and y), behind (the point_id behind the edge that begins in each
     corner, null for the box), neighbours (the distinct ones) and is_open (the cell ends at the file's bounding box) of every distinct position; equal positions are one, named by
     the smallest point_id. Points without coordinates have no cell, nor has a file whose points lie on a line along
-    an axis or in one place (its box has no area)."""
-    p = finite_points(points).groupBy("file_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("point_id").alias("point_id"))
-    p = p.withColumn("file_id", F.col("file_id").cast("long"))
+    an axis or in one place (its box has no area). The box is wider than the points by `margin` of its longer side."""
+    p = finite_points(points).groupBy(F.col("file_id").cast("long").alias("file_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("point_id").alias("point_id"))
     p = materialize(p.withColumn("node", F.monotonically_increasing_id()), "places")
-    box = p.groupBy("file_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")).filter("x1 > x0 AND y1 > y0")
-    box = materialize(box.withColumn("side", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * F.least(F.lit(1.0), IN_TILE / F.col("n")))), "boxes")
-    tile = [F.floor(F.col(c) / F.col("side")).alias(t) for c, t in (("x", "tx"), ("y", "ty"))]
-    own = p.join(box, "file_id").select("*", *tile)
-    around = p.join(box.select("file_id", "side"), "file_id").select("file_id", "node", "x", "y", *tile, F.explode(_ring()).alias("to"))
-    around = around.select("file_id", "node", "x", "y", (F.col("tx") + F.col("to.i")).alias("tx"), (F.col("ty") + F.col("to.j")).alias("ty"))
-    own, around = own.toDF(*own.columns), around.toDF(*around.columns)
-    cells = materialize(own.groupBy("file_id", "tx", "ty").cogroup(around.groupBy("file_id", "tx", "ty")).applyInArrow(_of_tile, CELL), "cells")
-    far = F.array_max(F.transform(F.arrays_zip("cx", "cy"), lambda v: F.hypot(v["cx"] - F.col("x"), v["cy"] - F.col("y"))))
-    open_ = lambda df: df.filter(2 * far > F.col("reach"))
-    done, left, level = cells.filter(2 * far <= F.col("reach")), open_(cells), 0
+    box = p.groupBy("file_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).filter("x1 > x0 AND y1 > y0")
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * float(margin)
+    far_ends = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))  # nothing lies farther apart
+    box = box.select("file_id", (F.col("x0") - wide).alias("x0"), (F.col("x1") + wide).alias("x1"), (F.col("y0") - wide).alias("y0"), (F.col("y1") + wide).alias("y1"), far_ends.alias("across"))
+    blocks = blocks_of(p.select("file_id", "node", "x", "y").join(box, "file_id"), IN_BLOCK)
+    left = materialize(blocks.places.groupBy("file_id", "block").applyInArrow(_of_block, CELL), "cells")
+    places = blocks.places.select("file_id", "block", "node", "x", "y")
+    columns, done = left.columns, None
+    hypot = lambda v: F.hypot(v["cx"] - F.col("x"), v["cy"] - F.col("y"))
+    far = F.array_max(F.transform(F.arrays_zip("cx", "cy"), hypot))
     while not left.isEmpty():
-        level += 1
-        side = F.col("side") * float(2**level)
-        grid = p.join(box, "file_id").select("file_id", F.col("node").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty"))
-        rounds = left
-        while True:
-            asks = rounds.join(box, "file_id").select(*rounds.columns, far.alias("far"), F.floor(F.col("x") / side).alias("px"), F.floor(F.col("y") / side).alias("py"), F.explode(_ring()).alias("to"))
-            asks = asks.withColumn("tx", F.col("px") + F.col("to.i")).withColumn("ty", F.col("py") + F.col("to.j")).drop("px", "py", "to")
-            nearer = F.exists(F.arrays_zip("cx", "cy"), lambda v: F.hypot(v["cx"] - F.col("qx"), v["cy"] - F.col("qy")) < F.hypot(v["cx"] - F.col("x"), v["cy"] - F.col("y")) * (1 - 1e-12))
-            d = F.hypot(F.col("qx") - F.col("x"), F.col("qy") - F.col("y"))
-            met = asks.join(grid, ["file_id", "tx", "ty"]).withColumn("d", d).filter((F.col("d") > 0) & (F.col("d") < 2 * F.col("far")) & ~F.array_contains("owner", F.col("q")) & nearer)
-            some = met.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("d", "q"))).filter(F.col("k") <= AT_ONCE).drop("k", "d", "far", "tx", "ty")
-            new = materialize(some.groupBy("node").applyInArrow(_more_cuts, CELL), "cuts")
-            if new.isEmpty():
-                break
-            rounds = materialize(rounds.join(new.select("node"), "node", "left_anti").select(*rounds.columns).unionByName(new), "left")
-        # the grid holds all points within its three tiles around a point's own
-        ends = rounds.join(box, "file_id").select(*rounds.columns, side.alias("_s"), "x0", "x1", "y0", "y1")
-        tx, ty = F.floor(F.col("x") / F.col("_s")), F.floor(F.col("y") / F.col("_s"))
-        inside = F.least(F.col("x") - (tx - 1) * F.col("_s"), (tx + 2) * F.col("_s") - F.col("x"), F.col("y") - (ty - 1) * F.col("_s"), (ty + 2) * F.col("_s") - F.col("y"))
-        whole = ((tx - 1) * F.col("_s") <= F.col("x0")) & ((tx + 2) * F.col("_s") >= F.col("x1")) & ((ty - 1) * F.col("_s") <= F.col("y0")) & ((ty + 2) * F.col("_s") >= F.col("y1"))
-        rounds = materialize(ends.withColumn("reach", F.when(whole, float("inf")).otherwise(inside)).select(*rounds.columns), "level")
-        done, left = done.unionByName(rounds.filter(2 * far <= F.col("reach"))), open_(rounds)
+        reach = F.when(F.col("reach") == 0, 2 * F.col("near")).otherwise(GROW * F.col("reach"))
+        reach = F.when(reach > F.col("across"), 2 * far).otherwise(F.least(2 * far, reach))
+        asks = left.select("file_id", "node", "x", "y", "cx", "cy", F.col("block").alias("own"), F.col("reach").alias("seen"), reach.alias("reach"))
+        distance = box_distance(F.col("x"), F.col("y"))
+        nearer = F.exists(F.arrays_zip("cx", "cy"), lambda v: box_distance(v["cx"], v["cy"]) < hypot(v) * (1 + 1e-9))
+        # the distance of a block is asked for again as whether it was within reach before
+        found = blocks.meet(asks, lambda: (distance < F.col("reach")) & nearer).filter("block <> own")
+        boxes = blocks.levels[0].select("file_id", F.col("node").alias("block"), "x0", "x1", "y0", "y1")
+        found = found.join(boxes, ["file_id", "block"]).filter((F.col("seen") == 0) | (distance >= F.col("seen")))
+        found = materialize(found.select("file_id", "block", "node", "x", "y", "cx", "cy"), "asks")
+        one, other = dealt(found, places)
+        keys = ("file_id", "block", "part")
+        by = one.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(_cutters, "node long, q long, qx double, qy double")
+        by = by.groupBy("node").agg(F.collect_list(F.struct("q", "qx", "qy")).alias("by"))
+        rows = materialize(left.withColumn("reach", reach).join(by, "node", "left"), "cutters")
+        new = rows.filter("by IS NULL").select(*columns).unionByName(rows.filter("by IS NOT NULL").mapInArrow(_more_cuts, CELL))
+        new = materialize(new, "cells")
+        whole = new.filter(2 * far <= F.col("reach"))
+        done, left = whole if done is None else done.unionByName(whole), new.filter(2 * far > F.col("reach"))
+    done = left if done is None else done
     done = materialize(done, "done")
     names = p.select(F.col("node").alias("other"), F.col("point_id").alias("name"))
     sides = done.select("node", F.posexplode("owner").alias("k", "other")).join(names, "other", "left")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from spotflow.operators import spatial, voronoi
+from spotflow.operators import blocks, spatial, voronoi
 
 POINTS = "file_id long, point_id long, x double, y double"
 
@@ -31,8 +31,9 @@ def brute(rows):
 
 @pytest.mark.parametrize("tile", [5, 200])
 def test_cells_equal_cutting_by_all(spark, monkeypatch, tile):
-    monkeypatch.setattr(voronoi, "IN_TILE", tile)
-    monkeypatch.setattr(voronoi, "AT_ONCE", 2)
+    monkeypatch.setattr(voronoi, "IN_BLOCK", tile)
+    monkeypatch.setattr(blocks, "FAN", 2)
+    monkeypatch.setattr(blocks, "ASKS", 10)
     rng = np.random.default_rng(3)
     cloud = [(0, i, *map(float, p)) for i, p in enumerate(np.concatenate([rng.normal(size=(60, 2)), rng.normal(size=(25, 2)) * 0.02 + 3]))]
     other = [(1, i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 9, (20, 2)))]
