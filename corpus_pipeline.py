@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotflow.llm import bpe, langid, minhash, mixing, toxicity
 from spotflow.llm.queries import bpe_vocabulary
+from spotflow.llm.text import carried
 from spotflow.session import materialize
 
 #: None of the stages can be said in SQL; tests/llm/test_pipeline.py holds them against brute force.
@@ -16,13 +17,15 @@ ORACLE_SQL = None
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: those without a letter (or text) and those that fit no language go."""
-    return langid.predict(docs, langid.fit(docs)).filter(~F.col("rejected")).select(*docs.columns)
+    inner, own = carried(docs, "text")
+    return langid.predict(inner, langid.fit(docs)).filter(~F.col("rejected")).select(*own)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are less than even odds to be toxic, learned from the labels of those at hand."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    inner, own = carried(docs, "text")
+    return toxicity.score(inner, model).filter("predicted = 0").select(*own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
