@@ -187,7 +187,7 @@ def leaked():
     words = ["uno", "Zwei", "three", "été", "4", "½", "x"]
     say = lambda n: "".join(rng.choice(words) + rng.choice([" ", "-", ", ", "\n", "\x00", "_"]) for _ in range(n))
     items = [(i, say(rng.randint(1, 9))) for i in range(40)] + [(40, None), (41, ""), (42, "?!"), (None, "only here named"), (7, "a second text of seven"), (8, "a second text of seven")]
-    rows = [(i, say(rng.randint(0, 60)), "en") for i in range(80)] + [(i, f"Quote: {items[i][1].upper()}!", "en") for i in range(20)]
+    rows = [(i, say(rng.randint(0, 60)), "en") for i in range(80)] + [(400 + i, f"Quote: {items[i][1].upper()}!", "en") for i in range(20)]
     rows += [(300, None, "en"), (301, "", None), (302, "..", "en"), (303, "So: ONLY here-named.", "en"), (304, "of seven a second text of  seven", "en"), (304, say(3000), "en"), (None, say(10), "en")]
     return rows, items
 
