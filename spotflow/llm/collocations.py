@@ -28,7 +28,7 @@ from spotflow.session import materialize
 #: Words that a task adds up before it sends; bits of the largest and the smallest table of frequent phrases; bits for each.
 CHUNK, MOST_BITS, LEAST_BITS, SPARE = 1_000_000, 30, 16, 16
 #: Bits in a page of such a table, and rows of a group that a round of the ranking sorts.
-PAGE, GROUP = 16, 50_000
+PAGE, GROUP = 16, 10_000
 #: Lower-cases A-Z, makes a line break of what ends a piece and a space of a tab.
 PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if chr(b) in ".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 
