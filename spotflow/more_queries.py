@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotflow.operators import display as D, fits as T, image as I, localize as L, mobility as M, overlap as O, parameters as P, reports as R, sets as U, spatial as S, tracking as K, voronoi as V
+from spotflow.operators import display as D, fits as T, image as I, localize as L, mobility as M, overlap as O, parameters as P, reports as R, sets as U, shapes as H, spatial as S, tracking as K, voronoi as V
 from spotflow.queries import CLUSTERED, EPSILON, FEATURES, FLAGS, KERNEL, LIMIT_SQL, LIMITS, LINES, MEANS, MIN_PTS, _curves, _valid
 from spotflow.registry import query, r, rounded
 from spotflow.sources import adapters as A
@@ -620,3 +620,65 @@ def voronoi_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rings = V.outlines(cells, V.voronoi_members(cells, 2.0, "density", 3))
     inside = S.points_in_polygons(A.file_points(spark, sf_dir), rings).groupBy("file_id", "poly_id").agg(F.count("*").alias("n_inside"))
     return S.polygon_summary(rings).join(inside, ["file_id", "poly_id"], "left").na.fill({"n_inside": 0})
+
+
+# -- triangles and alpha shapes ------------------------------------------------------------------
+
+#: Points of a class as one group: classes take the place of files.
+CLASS_POINTS = f"SELECT CAST(class AS BIGINT) AS file_id, point_id, x, y FROM ({A.POINTS}) WHERE class IS NOT NULL"
+#: Triples of points that are neighbours of each other with no point inside their circle.
+TRIANGLES = TESSELLATION.replace(A.FILE_POINTS, CLASS_POINTS).split("inbox AS")[0] + """pair AS (SELECT file_id, i, j FROM span WHERE i < j AND coalesce(lo, -1e99) < coalesce(hi, 1e99)),
+three AS (SELECT e.file_id, e.i AS a, e.j AS b, f.j AS c FROM pair e JOIN pair f ON f.file_id = e.file_id AND f.i = e.i AND f.j > e.j JOIN pair g ON g.file_id = e.file_id AND g.i = e.j AND g.j = f.j),
+sized AS (SELECT t.*, p.x AS u1, p.y AS u2, q.x AS v1, q.y AS v2, s.x AS w1, s.y AS w2, (q.x - p.x) * (s.y - p.y) - (s.x - p.x) * (q.y - p.y) AS k FROM three t
+  JOIN p ON p.file_id = t.file_id AND p.i = a JOIN p q ON q.file_id = t.file_id AND q.i = b JOIN p s ON s.file_id = t.file_id AND s.i = c),
+circle AS (SELECT *, abs(k) / 2 AS area, sqrt(pow(u1 - v1, 2) + pow(u2 - v2, 2)) * sqrt(pow(v1 - w1, 2) + pow(v2 - w2, 2)) * sqrt(pow(w1 - u1, 2) + pow(w2 - u2, 2)) / (2 * abs(k)) AS radius,
+  u1 + ((w2 - u2) * (pow(v1 - u1, 2) + pow(v2 - u2, 2)) - (v2 - u2) * (pow(w1 - u1, 2) + pow(w2 - u2, 2))) / (2 * k) AS mx, u2 + ((v1 - u1) * (pow(w1 - u1, 2) + pow(w2 - u2, 2)) - (w1 - u1) * (pow(v1 - u1, 2) + pow(v2 - u2, 2))) / (2 * k) AS my FROM sized WHERE k <> 0),
+tri AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY a, b, c) AS t FROM circle t JOIN (SELECT file_id, greatest(x1 - x0, y1 - y0) AS extent FROM box) USING (file_id)
+  WHERE radius <= 300 * extent AND NOT EXISTS (SELECT 1 FROM p WHERE p.file_id = t.file_id AND p.i NOT IN (a, b, c) AND sqrt(pow(p.x - mx, 2) + pow(p.y - my, 2)) < radius * (1 - 1e-9)))"""
+
+
+def _class_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.points(spark, sf_dir).filter("class IS NOT NULL").select(F.col("class").cast("long").alias("file_id"), "point_id", "x", "y")
+
+
+@query(f"WITH {TRIANGLES} SELECT file_id, a, b, c, {r('radius', 'radius', 3)}, {r('area', 'area', 3)} FROM tri")
+def delaunay_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.delaunay(_class_points(spark, sf_dir)).select("file_id", "a", "b", "c", "radius", "area"), 3)
+
+
+@query(
+    f"""WITH RECURSIVE {TRIANGLES}, corner AS (SELECT file_id, t, radius, unnest([a, b, c]) AS i FROM tri), least AS (SELECT file_id, i, min(radius) AS radius FROM corner GROUP BY ALL), alpha AS (SELECT file_id, max(radius) AS alpha FROM least GROUP BY file_id),
+own AS (SELECT tri.*, alpha FROM tri JOIN alpha USING (file_id) WHERE radius <= alpha), side AS (SELECT file_id, t, unnest([(a, b), (a, c), (b, c)]) AS e FROM own),
+near AS (SELECT s.file_id, s.t AS s, o.t FROM side s JOIN side o ON s.file_id = o.file_id AND s.e = o.e AND s.t <> o.t),
+reach AS (SELECT file_id, t, t AS low FROM own UNION SELECT n.file_id, n.t, r.low FROM reach r JOIN near n ON n.file_id = r.file_id AND n.s = r.t WHERE r.low < n.t),
+comp AS (SELECT file_id, t, min(low) AS low FROM reach GROUP BY ALL), points AS (SELECT DISTINCT file_id, low, unnest([a, b, c]) AS i FROM own JOIN comp USING (file_id, t)),
+n AS (SELECT file_id, low, count(*) AS n_points FROM points GROUP BY ALL)
+SELECT file_id, dense_rank() OVER (PARTITION BY file_id ORDER BY low) AS region, count(*) AS n_triangles, any_value(n_points) AS n_points, {r('sum(area)', 'area', 2)}, {r('any_value(alpha)', 'alpha', 3)} FROM own JOIN comp USING (file_id, t) JOIN n USING (file_id, low) GROUP BY file_id, low"""
+)
+def alpha_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of the points of each class at the smallest alpha that leaves no point alone."""
+    triangles = H.delaunay(_class_points(spark, sf_dir))
+    alpha = H.all_points_alpha(triangles)
+    shape = H.alpha_shape(triangles, alpha)
+    n = H.region_members(shape).groupBy("file_id", "region").agg(F.count("*").alias("n_points"))
+    sums = shape.groupBy("file_id", "region").agg(F.count("*").alias("n_triangles"), F.round(F.sum("area"), 2).alias("area"))
+    return sums.join(n, ["file_id", "region"]).join(alpha.withColumn("alpha", F.round("alpha", 3)), "file_id").select("file_id", "region", "n_triangles", "n_points", "area", "alpha")
+
+
+@query()
+def dbscan_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area, corners and diameter of density-based clusters by a concave outline; tests/test_shapes.py holds outlines against plain Python."""
+    clustered = S.dbscan(A.file_points(spark, sf_dir), EPSILON, MIN_PTS).filter("cluster > 0")
+    rings = H.concave_outlines(clustered, ["file_id", "cluster"]).withColumnRenamed("cluster", "poly_id")
+    areas = S.polygon_summary(rings).select("file_id", F.col("poly_id").alias("cluster"), "area", "corners")
+    return S.cluster_summary(clustered).join(areas, ["file_id", "cluster"], "left").na.fill({"area": 0.0, "corners": 0})
+
+
+@query()
+def untangled_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of dense cells, taken apart where their alpha shape has several regions; tests/test_shapes.py holds the
+    parts against plain Python."""
+    points = A.file_points(spark, sf_dir)
+    cells = V.voronoi_cells(points)
+    parts = H.untangled(points, V.voronoi_members(cells, 2.0, "density", 3))
+    return V.voronoi_clusters(cells, parts)

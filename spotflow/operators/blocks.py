@@ -40,7 +40,7 @@ def box_distance(x: Column, y: Column, box: str = "") -> Column:
 
 @dataclass
 class Blocks:
-    """places: the rows with `block`; levels: file_id, node, parent, x0, x1, y0, y1 and n of the blocks, then of the
+    """places: the rows with `block` and `blocks`, how many their file has; levels: file_id, node, parent, x0, x1, y0, y1 and n of the blocks, then of the
     nodes above them, up to at most FAN nodes a file."""
 
     places: DataFrame
@@ -67,7 +67,7 @@ def blocks_of(places: DataFrame, size: int = SIZE) -> Blocks:
     coded = places.join(ends, "file_id").withColumn("_curve", curve)
     last = F.greatest(F.floor(F.col("_n") / size) - 1, F.lit(0))
     numbered = ordinals(coded, ["file_id"], ["_curve", "x", "y"], "_i").withColumn("block", F.least(F.floor((F.col("_i") - 1) / size), last))
-    rows = materialize(numbered.select(*places.columns, "block"), "blocks")
+    rows = materialize(numbered.select(*places.columns, "block", (last + 1).alias("blocks")), "blocks")
     box = (F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
     level = rows.select("file_id", F.col("block").alias("node"), F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"), F.lit(1).alias("n"))
     levels = []

@@ -82,15 +82,17 @@ def _columns(cell: list[Corner]) -> tuple[list, list, list]:
 
 
 def _of_block(own: pa.Table) -> pa.Table:
-    """Cells of the points of a block, cut by each other; near is the distance to the NEAR-th of them."""
+    """Cells of the points of a block, cut by each other; near is the distance to the NEAR-th of them. With
+    no other block in the file they are done."""
     x, y, nodes = (own.column(c).to_numpy() for c in ("x", "y", "node"))
     at, rows = np.column_stack([x, y]), []
     edges = own.slice(0, 1).select(["x0", "x1", "y0", "y1", "across"]).to_pylist()[0]
     box = [(edges["x0"], edges["y0"], BOX), (edges["x1"], edges["y0"], BOX), (edges["x1"], edges["y1"], BOX), (edges["x0"], edges["y1"], BOX)]
     k = min(NEAR, len(x) - 1)
+    reach = math.inf if own.column("blocks")[0].as_py() == 1 else 0.0
     for file_id, block, node, p in zip(own.column("file_id").to_pylist(), own.column("block").to_pylist(), nodes.tolist(), zip(x.tolist(), y.tolist())):
         near = float(np.partition(np.hypot(x - p[0], y - p[1]), k)[k])
-        rows.append((file_id, node, *p, *_columns(cut_by(box, p, at, nodes)), block, near, edges["across"], 0.0))
+        rows.append((file_id, node, *p, *_columns(cut_by(box, p, at, nodes)), block, near, edges["across"], reach))
     return _table(rows)
 
 
@@ -132,9 +134,10 @@ def voronoi_cells(points: DataFrame, margin: float = 0.0) -> DataFrame:
     blocks = blocks_of(p.select("file_id", "node", "x", "y").join(box, "file_id"), IN_BLOCK)
     left = materialize(blocks.places.groupBy("file_id", "block").applyInArrow(_of_block, CELL), "cells")
     places = blocks.places.select("file_id", "block", "node", "x", "y")
-    columns, done = left.columns, None
+    columns = left.columns
     hypot = lambda v: F.hypot(v["cx"] - F.col("x"), v["cy"] - F.col("y"))
     far = F.array_max(F.transform(F.arrays_zip("cx", "cy"), hypot))
+    done, left = left.filter(F.col("reach") == float("inf")), left.filter(F.col("reach") < float("inf"))
     while not left.isEmpty():
         reach = F.when(F.col("reach") == 0, 2 * F.col("near")).otherwise(GROW * F.col("reach"))
         reach = F.when(reach > F.col("across"), 2 * far).otherwise(F.least(2 * far, reach))
@@ -154,8 +157,7 @@ def voronoi_cells(points: DataFrame, margin: float = 0.0) -> DataFrame:
         new = rows.filter("by IS NULL").select(*columns).unionByName(rows.filter("by IS NOT NULL").mapInArrow(_more_cuts, CELL))
         new = materialize(new, "cells")
         whole = new.filter(2 * far <= F.col("reach"))
-        done, left = whole if done is None else done.unionByName(whole), new.filter(2 * far > F.col("reach"))
-    done = left if done is None else done
+        done, left = done.unionByName(whole), new.filter(2 * far > F.col("reach"))
     done = materialize(done, "done")
     names = p.select(F.col("node").alias("other"), F.col("point_id").alias("name"))
     sides = done.select("node", F.posexplode("owner").alias("k", "other")).join(names, "other", "left")
