@@ -130,6 +130,52 @@ def test_movies_of_all_kinds_masks_and_broken_files(spark, tmp_path):
     assert masks == {"a.tif": "a_mask.tif", "b.tif": None, "c.tif": None}
 
 
+def wide_tiff(path, frames, order, strip_at):
+    """A file with 64-bit offsets whose strips lie at given places, most of it a hole."""
+    with open(path, "wb") as f:
+        f.write((b"II" if order == "<" else b"MM") + struct.pack(order + "HHHQ", 43, 8, 0, 16))
+        at = 16
+        for k, (image, place) in enumerate(zip(frames, strip_at)):
+            tags = [(256, 4, image.shape[1]), (257, 4, image.shape[0]), (258, 3, image.itemsize * 8), (259, 3, 1), (273, 16, place), (279, 16, image.nbytes), (339, 3, 3 if image.dtype.kind == "f" else 1)]
+            f.seek(at)
+            f.write(struct.pack(order + "Q", len(tags)))
+            for tag, kind, value in tags:
+                f.write(struct.pack(order + "HHQ", tag, kind, 1) + struct.pack(order + {3: "H6x", 4: "I4x", 16: "Q"}[kind], value))
+            after = at + 8 + 20 * len(tags) + 8
+            f.write(struct.pack(order + "Q", after if k + 1 < len(frames) else 0))
+            at = after
+            f.seek(place)
+            f.write(image.astype(image.dtype.newbyteorder(order)).tobytes())
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_movies_beyond_what_a_row_can_hold(spark, tmp_path, order, monkeypatch):
+    """The frames of a movie of 5 GB are read by their offsets, also where the file ends within one."""
+    rng = np.random.default_rng(6)
+    frames = [(rng.random((4, 6)) * 60_000).astype("u2") for _ in range(4)]
+    wide_tiff(tmp_path / "long.tif", frames, order, [4_000, 2_500_000_000, 3_000_000_000, 5_000_000_000])
+    wide_tiff(tmp_path / "cut.tif", frames[:2], order, [4_000, 5_000])
+    with open(tmp_path / "cut.tif", "r+b") as f:
+        f.truncate(5_010)
+    found = tiff.files(spark, str(tmp_path))
+    meta = {r.path.rsplit("/", 1)[1]: r for r in tiff.read_metadata(found).collect()}
+    assert (meta["long.tif"].n_frames, meta["long.tif"].width, meta["long.tif"].bits, meta["long.tif"].status) == (4, 6, 16, "ok")
+    got = {(r.path.rsplit("/", 1)[1], r.frame): r for r in tiff.read_frames(found).collect()}
+    assert sorted(got) == [("cut.tif", 1), *[("long.tif", k) for k in range(1, 5)]]
+    assert all(np.array_equal(np.array(got["long.tif", k].pixels).reshape(4, 6), frames[k - 1]) for k in range(1, 5))
+    assert tiff.frames_at(tiff.read_pages(found)).rdd.getNumPartitions() >= 1
+    assert tiff.read_frames(found.filter("false")).count() == 0
+
+
+def test_files_of_a_store_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.tif").write_bytes(tiff_bytes([np.full((3, 4), k, "u1") for k in (1, 2)]))
+    found = tiff.files(spark, str(tmp_path))
+    want = [tuple(r) for r in tiff.read_frames(found).collect()]
+    monkeypatch.setattr(tiff, "STORES", ("none",))
+    assert [tuple(r) for r in tiff.read_frames(found).collect()] == want and len(want) == 2
+    assert tiff.read_metadata(found).first().n_frames == 2
+
+
 def test_text_files_and_parameters(spark, tmp_path):
     tracks = spark.createDataFrame([(0, 7, 1, 1.0, 2.0), (0, 9, 1, 3.0, 4.0), (1, 4, 2, 5.0, 6.0)], TRACKS)
     reports.write_text(reports.track_text(tracks), f"{tmp_path}/tracks")
