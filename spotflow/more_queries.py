@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotflow.operators import display as D, fits as T, image as I, localize as L, mobility as M, overlap as O, parameters as P, reports as R, sets as U, shapes as H, spatial as S, tracking as K, voronoi as V
+from spotflow.operators import display as D, fits as T, image as I, localize as L, mobility as M, overlap as O, parameters as P, reports as R, rings as G, sets as U, shapes as H, spatial as S, tracking as K, voronoi as V
 from spotflow.queries import CLUSTERED, EPSILON, FEATURES, FLAGS, KERNEL, LIMIT_SQL, LIMITS, LINES, MEANS, MIN_PTS, _curves, _valid
-from spotflow.registry import query, r, rounded
+from spotflow.registry import ORACLES, query, r, rounded
 from spotflow.sources import adapters as A
 
 # -- localizations -------------------------------------------------------------------------------
@@ -170,13 +170,16 @@ def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.track_boxes(A.compact_tracks(spark, sf_dir), 1.0))
 
 
+NASTIC = f"""{TRACK_BOXES}, {grouped('tb')}, m AS (SELECT t.*, group_id FROM t JOIN groups g ON g.file_id = t.file_id AND g.id = t.track_id), {hull_sql('m', 'group_id').replace('d AS', 'd2 AS', 1).replace(' d ', ' d2 ').replace('FROM d)', 'FROM d2)').replace('area AS (SELECT k', 'area2 AS (SELECT k')}"""
+
+
 @query(
-    f"""WITH RECURSIVE {TRACK_BOXES}, {grouped('tb')}, m AS (SELECT t.*, group_id FROM t JOIN groups g ON g.file_id = t.file_id AND g.id = t.track_id), {hull_sql('m', 'group_id').replace('d AS', 'd2 AS', 1).replace(' d ', ' d2 ').replace('FROM d)', 'FROM d2)').replace('area AS (SELECT k', 'area2 AS (SELECT k')}
-SELECT file_id, group_id, {r('any_value(area)', 'area', 4)}, {r('sqrt(4 * any_value(area) / pi())', 'diameter')}, count(DISTINCT track_id) AS n, {r('avg(x)', 'x')}, {r('avg(y)', 'y')} FROM m JOIN area2 USING (file_id, group_id) GROUP BY file_id, group_id"""
+    f"""WITH RECURSIVE {NASTIC}
+SELECT file_id, group_id, {r('any_value(area)', 'area', 4)}, {r('sqrt(4 * any_value(area) / pi())', 'diameter')}, count(DISTINCT track_id) AS n, {r('avg(x)', 'x', 4)}, {r('avg(y)', 'y', 4)} FROM m JOIN area2 USING (file_id, group_id) GROUP BY file_id, group_id"""
 )
 def nastic(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = O.nastic(A.compact_tracks(spark, sf_dir))
-    return rounded(found.withColumn("area", F.round("area", 4)))
+    return rounded(found.withColumns({c: F.round(c, 4) for c in ("area", "x", "y")}))
 
 
 @query()
@@ -350,9 +353,30 @@ def smoothed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.smooth(locs.groupBy("file_id", F.floor(F.col("photons") / 2000).cast("int").alias("i")).agg(F.count("*").cast("double").alias("y"))))
 
 
+@query(
+    f"""WITH l AS ({A.LOCALIZATIONS}), e AS (SELECT file_id, min(photons) AS l, max(photons) AS h FROM l GROUP BY file_id), u AS (SELECT *, pow(10e0, 2 - CAST(floor(log10((h - l) / 50)) AS INTEGER)) AS unit FROM e),
+b AS (SELECT file_id, floor(l * unit) / unit AS low, greatest(ceil((h * unit - floor(l * unit)) / 50), 1) / unit AS width FROM u),
+n AS (SELECT file_id, CAST(least(floor((photons - low) / width), 49) AS INTEGER) AS bin, count(*) AS n FROM l JOIN b USING (file_id) GROUP BY ALL)
+SELECT file_id, bin, {r('((low + bin * width) + (low + (bin + 1) * width)) / 2', 'centre')}, coalesce(n, 0) AS n FROM (SELECT *, CAST(unnest(range(50)) AS INTEGER) AS bin FROM b) LEFT JOIN n USING (file_id, bin)"""
+)
+def auto_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.auto_histogram(A.localizations(spark, sf_dir), "photons", 50))
+
+
 CURVES = "SELECT o_custkey % 50 AS file_id, month(o_orderdate) AS i, CAST(month(o_orderdate) AS DOUBLE) AS x, sum(o_totalprice) AS y1, 9e5 + count(*) * 2e4 AS y2 FROM orders GROUP BY ALL"
 
 
+@query(
+    f"""WITH s AS (SELECT file_id, i, y1 AS y FROM ({CURVES})), top AS (SELECT file_id, max(y) * 0.2e0 AS least FROM s GROUP BY file_id), b AS (SELECT *, lag(y) OVER w AS before FROM s WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+c AS (SELECT * FROM b WHERE before IS NULL OR before <> y), d AS (SELECT *, lead(y) OVER w AS after FROM c WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+k AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY y DESC, i) AS rank, i, {r('y', 'y', 2)} FROM d JOIN top USING (file_id) WHERE y > before AND y > after AND y >= least) SELECT * FROM k WHERE rank <= 2"""
+)
+def series_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two highest peaks of each series, of at least a fifth of its greatest value."""
+    month = A.table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("file_id"), F.month("o_orderdate").alias("i")).agg(F.sum("o_totalprice").alias("y"))
+    return rounded(T.find_peaks(month, "y", 0.2, 2), 2)
+
+
 @query(
     f"""WITH c AS ({CURVES}), d AS (SELECT *, y1 - y2 AS d, lead(y1 - y2) OVER w AS dn, lead(x) OVER w AS xn FROM c WINDOW w AS (PARTITION BY file_id ORDER BY i)), m AS (SELECT file_id, arg_min(x + d / (d - dn) * (xn - x), i) AS x FROM d WHERE d <> dn AND d / (d - dn) >= 0 AND d / (d - dn) < 1 GROUP BY file_id)
 SELECT file_id, {r('x', 'x')} FROM (SELECT DISTINCT file_id FROM c) LEFT JOIN m USING (file_id)"""
@@ -505,17 +529,21 @@ def wide_d_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {TRACK_BOXES}, {grouped('tb')}, c AS (SELECT g.file_id, group_id, count(*) AS n, avg(x) AS x, avg(y) AS y FROM groups g JOIN c ON c.file_id = g.file_id AND c.track_id = g.id GROUP BY ALL HAVING count(*) >= 2)
-SELECT f.file_id, {r('coalesce(n, 0) / 1e6', 'area_um2', 9)}, {r('coalesce(n, 0)', 'diameter')}, coalesce(n, 0) AS n, {r('coalesce(c.x, 0)', 'x')}, {r('coalesce(c.y, 0)', 'y')} FROM (VALUES (CAST(0 AS BIGINT)), (1), (2)) f(file_id) LEFT JOIN c ON c.file_id = f.file_id""".replace("c AS (SELECT g.file_id", "c9 AS (SELECT g.file_id").replace("LEFT JOIN c ON c.file_id = f", "LEFT JOIN c9 AS c ON c.file_id = f")
+    f"""WITH RECURSIVE {NASTIC}, own AS (SELECT file_id, any_value(area) AS area, count(DISTINCT track_id) AS n, avg(x) AS x, avg(y) AS y FROM m JOIN area2 USING (file_id, group_id) GROUP BY file_id, group_id HAVING count(DISTINCT track_id) >= 2)
+SELECT f.file_id, {r('coalesce(area, 0) / 1e6', 'area_um2', 9)}, {r('sqrt(4 * coalesce(area, 0) / pi())', 'diameter')}, coalesce(n, 0) AS n, {r('coalesce(own.x, 0)', 'x', 4)}, {r('coalesce(own.y, 0)', 'y', 4)} FROM (SELECT DISTINCT CAST(user_id % 3 AS BIGINT) AS file_id FROM events) f LEFT JOIN own USING (file_id)"""
 )
 def cluster_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files 0 and 1 have clusters (their number of tracks stands for the area here), file 2 none."""
-    tracks = A.compact_tracks(spark, sf_dir)
-    groups = O.overlap_groups(O.track_boxes(tracks, 1.0)).withColumnRenamed("id", "track_id")
-    rows = M.track_centroids(tracks).drop("n").join(groups, ["file_id", "track_id"]).groupBy("file_id", "group_id").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")).filter("n >= 2")
-    clusters = rows.withColumn("area", F.col("n").cast("double")).withColumn("diameter", F.col("n").cast("double"))
-    sheet = R.cluster_sheet(spark.range(3).select(F.col("id").alias("file_id")), clusters)
-    return sheet.select("file_id", F.round("area_um2", 9).alias("area_um2"), F.round("diameter", 6).alias("diameter"), "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Files 0 and 1 have clusters of tracks, file 2 none."""
+    files = A.table(spark, sf_dir, "events").select((F.col("user_id") % 3).cast("long").alias("file_id")).distinct()
+    sheet = R.cluster_sheet(files, O.nastic(A.compact_tracks(spark, sf_dir), min_tracks=2))
+    return sheet.select("file_id", F.round("area_um2", 9).alias("area_um2"), F.round("diameter", 6).alias("diameter"), "n", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query()
+def population_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One and two populations of the files' diffusion coefficients; tests/test_fits_and_images.py holds the sheet and the fit."""
+    valid = _valid(spark, sf_dir)
+    return R.population_sheet(T.two_populations(valid), valid)
 
 
 @query("SELECT page_id AS file_id, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_replace(url, '/[^/]*$', '') AS folder, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, 32 AS width, 32 AS height, CAST(length(url) AS INTEGER) AS n_frames FROM pages")
@@ -556,6 +584,61 @@ def fit_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.pixels_to_nm(psf.fit_psf(I.detect(frames, 1.3, 20000.0, 7)), 100.0, 7)
 
 
+def _noisy_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks with windows of photons and of the variance of the movie's own pixels, in millions."""
+    pixels = A.pixels(spark, sf_dir)
+    maps = I.variance_map(pixels).select(F.lit(7).alias("noise_id"), "row", "col", (F.coalesce("variance", F.lit(0.0)) / 1e6).alias("variance"))
+    routes = pixels.select("file_id").distinct().withColumn("noise_id", F.lit(7).cast("long"))
+    frames = I.with_variance_frames(I.to_frames(pixels, 32, 32), routes, I.variance_frames(maps, 32, 32))
+    return I.detect(I.frames_to_photons(frames), 1.3, 20000.0, 7)
+
+
+@query(
+    f"""WITH {DETECTED}, k2 AS ({ORACLES['detect_peaks'].split(DETECTED)[1].strip()}), v AS (SELECT file_id, row, col, CAST(coalesce(var_samp(adu), 0) / 1e6 AS FLOAT)::DOUBLE AS v FROM px GROUP BY ALL)
+SELECT k2.file_id, k2.frame, k2.x, k2.y, {r('sum(v.v)', 'total', 1)} FROM k2 JOIN v ON v.file_id = k2.file_id AND abs(v.row + 1 - k2.y) <= 3 AND abs(v.col + 1 - k2.x) <= 3 GROUP BY ALL"""
+)
+def roi_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = F.aggregate("roi_variance", F.lit(0.0), lambda s, v: s + v)
+    return rounded(_noisy_peaks(spark, sf_dir).select("file_id", "frame", "x", "y", total.alias("total")), 1)
+
+
+@query()
+def fit_noisy_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits that know each pixel's read-out variance; tests/test_psf.py holds them against known spots."""
+    from spotflow.operators import psf
+
+    return L.pixels_to_nm(psf.fit_psf(_noisy_peaks(spark, sf_dir), variance="roi_variance"), 100.0, 7)
+
+
+OTSU = f"""px AS (SELECT CAST(frame AS BIGINT) AS file_id, row, col, adu FROM ({A.PIXELS})), lv AS (SELECT px.file_id, row, col, floor((adu - low) / nullif(high - low, 0) * 255 + 0.5) AS level FROM px JOIN (SELECT file_id, min(adu) AS low, max(adu) AS high FROM px GROUP BY file_id) e ON e.file_id = px.file_id),
+h AS (SELECT file_id, CAST(level AS BIGINT) AS i, count(*) AS n FROM lv WHERE level IS NOT NULL GROUP BY ALL),
+h2 AS (SELECT f.file_id, f.i, coalesce(n, 0) AS n FROM (SELECT DISTINCT file_id, unnest(range(256)) AS i FROM h) f LEFT JOIN h ON h.file_id = f.file_id AND h.i = f.i),
+c AS (SELECT file_id, i, CAST(sum(n) OVER w AS DOUBLE) AS w, CAST(sum(i * n) OVER w AS DOUBLE) AS m, CAST(sum(n) OVER a AS DOUBLE) AS whole, CAST(sum(i * n) OVER a AS DOUBLE) AS total FROM h2 WINDOW w AS (PARTITION BY file_id ORDER BY i ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY file_id)),
+q AS (SELECT file_id, i, pow(total * w - m * whole, 2) / nullif(w * (whole - w), 0) AS s FROM c), otsu AS (SELECT file_id, avg(i) AS threshold FROM (SELECT *, max(s) OVER (PARTITION BY file_id) AS best FROM q) WHERE s = best GROUP BY file_id),
+inside AS (SELECT lv.file_id, row, col FROM lv JOIN otsu USING (file_id) WHERE level > threshold)"""
+
+
+@query(f"WITH {OTSU} SELECT file_id, {r('threshold', 'threshold')} FROM otsu")
+def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame taken as an image of its own."""
+    return rounded(G.otsu(A.pixels(spark, sf_dir).withColumn("file_id", F.col("frame").cast("long"))))
+
+
+@query(
+    f"""WITH RECURSIVE {OTSU}, out AS (SELECT file_id, CAST(i // 34 AS INTEGER) - 1 AS row, CAST(i % 34 AS INTEGER) - 1 AS col FROM (SELECT DISTINCT file_id FROM px) f CROSS JOIN range(34 * 34) t(i) EXCEPT SELECT file_id, row, col FROM inside),
+ri AS (SELECT file_id, row, col, row * 34 + col AS low FROM inside UNION SELECT n.file_id, n.row, n.col, r.low FROM ri r JOIN inside n ON n.file_id = r.file_id AND abs(n.row - r.row) <= 1 AND abs(n.col - r.col) <= 1 WHERE r.low < n.row * 34 + n.col),
+ro AS (SELECT file_id, row, col, row * 34 + col AS low FROM out UNION SELECT n.file_id, n.row, n.col, r.low FROM ro r JOIN out n ON n.file_id = r.file_id AND abs(n.row - r.row) + abs(n.col - r.col) = 1 WHERE r.low < n.row * 34 + n.col),
+a AS (SELECT file_id, count(DISTINCT low) AS n FROM (SELECT file_id, row, col, min(low) AS low FROM ri GROUP BY ALL) GROUP BY file_id), b AS (SELECT file_id, count(DISTINCT low) - 1 AS n FROM (SELECT file_id, row, col, min(low) AS low FROM ro GROUP BY ALL) GROUP BY file_id),
+s AS (SELECT file_id, CAST(count(*) AS DOUBLE) AS area FROM inside GROUP BY file_id) SELECT s.file_id, a.n AS n_rings, b.n AS n_holes, area FROM s JOIN a USING (file_id) JOIN b USING (file_id)"""
+)
+def mask_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings and holes of the mask of every frame, taken as an image of its own, and the area between them."""
+    mask = G.otsu_mask(A.pixels(spark, sf_dir).withColumn("file_id", F.col("frame").cast("long")))
+    areas = S.polygon_summary(G.mask_rings(mask).withColumn("poly_id", F.when(F.col("is_hole"), -F.col("poly_id")).otherwise(F.col("poly_id"))))
+    hole = F.col("poly_id") < 0
+    return areas.groupBy("file_id").agg(F.count_if(~hole).alias("n_rings"), F.count_if(hole).alias("n_holes"), F.sum(F.when(hole, -F.col("area")).otherwise(F.col("area"))).alias("area"))
+
+
 SCHEMES = ("binary", "n", "duration", "displacement", "range", "mean x", "mobility (D)", "immobile/mobile")
 
 
@@ -682,3 +765,11 @@ def untangled_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = V.voronoi_cells(points)
     parts = H.untangled(points, V.voronoi_members(cells, 2.0, "density", 3))
     return V.voronoi_clusters(cells, parts)
+
+
+@query()
+def voronoi_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells within the convex hull of their file, those across it cut by it; tests/test_rings.py holds cut cells against plain Python."""
+    points = A.file_points(spark, sf_dir)
+    cells = V.voronoi_cells(points, 1000.0)
+    return G.trimmed(cells, O.hull_corners(points, ["file_id"])).select("file_id", "point_id", "area", "is_cut")

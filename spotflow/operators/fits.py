@@ -40,6 +40,32 @@ def mixture(x: np.ndarray, n: np.ndarray, mu: np.ndarray, var: np.ndarray, share
     return last, mu, var, share, False
 
 
+def smoothed(y: np.ndarray) -> np.ndarray:
+    """The moving cubic over five values of `smooth`, for an array of at least five."""
+    out = np.convolve(y, np.array(MIDDLE[::-1]) / 35, "same")
+    out[0], out[1] = y[:5] @ np.array(FIRST) / 70, y[:5] @ np.array(SECOND) / 35
+    out[-1], out[-2] = y[-5:] @ np.array(FIRST[::-1]) / 70, y[-5:] @ np.array(SECOND[::-1]) / 35
+    return out
+
+
+def steepest_start(x: np.ndarray, n: np.ndarray, width: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Where to start a fit of two populations whose other starts failed: the two highest peaks of the slope of the smoothed
+    histogram, of at least a fifth of the highest; None without two."""
+    bins = np.floor(x / width).astype(int)
+    y = np.bincount(bins - bins.min(), weights=n)
+    if len(y) < 5:
+        return None
+    y = smoothed(y)
+    slope = np.abs(np.gradient(y))
+    change = np.flatnonzero(np.diff(slope, prepend=np.nan) != 0)  # a plateau counts by its first value
+    inner = slope[change]
+    tops = [int(change[k]) for k in range(1, len(change) - 1) if inner[k] > inner[k - 1] and inner[k] > inner[k + 1] and inner[k] >= slope.max() / 5]
+    tops = sorted(tops, key=lambda k: (-slope[k], k))[:2]
+    if len(tops) < 2 or (y[tops] <= 0).any():
+        return None
+    return (np.array(tops) + bins.min()) * width, np.full(2, 0.1), y[tops] / y[tops].sum()
+
+
 def fit_two(x: np.ndarray, n: np.ndarray, starts: int = 5) -> tuple[float, float, float, float, float, int]:
     """mu and sigma of the slower and the faster population, share of the slower, and 0 (converged), 1 (not
     converged) or 2 (no fit, the rest NaN)."""
@@ -52,6 +78,8 @@ def fit_two(x: np.ndarray, n: np.ndarray, starts: int = 5) -> tuple[float, float
             found = mixture(x, n, mu, var, share)
             if found and (best is None or found[0] > best[0] + 1e-9 * abs(best[0])):
                 best = found
+        if best is None and (start := steepest_start(x, n)):
+            best = mixture(x, n, *start)
     if best is None:
         return *[math.nan] * 5, 2
     _, mu, var, share, settled = best
@@ -103,6 +131,45 @@ def smooth(series: DataFrame, value: str = "y") -> DataFrame:
     return rows.withColumn("slope", F.abs(F.when(before.isNull(), after - s).when(after.isNull(), s - before).otherwise((after - before) / 2)))
 
 
+def find_peaks(series: DataFrame, value: str = "y", share: float = 0.0, most: int = 2) -> DataFrame:
+    """file_id, rank (from 1), i and value of the highest peaks of each series (file_id, i, value): values above the ones
+    before and behind, of at least `share` of the greatest value of the series. Equal values that follow each other are one,
+    at the first i; the ends are no peaks, nulls are left out. Of equal peaks the earlier counts first."""
+    w = Window.partitionBy("file_id").orderBy("i")
+    rows = series.filter(F.col(value).isNotNull()).select("file_id", "i", F.col(value).alias("_v"))
+    top = rows.groupBy("file_id").agg((F.max("_v") * share).alias("_least"))
+    steps = rows.withColumn("_b", F.lag("_v").over(w)).filter("_b IS NULL OR _b <> _v")
+    ends = steps.withColumn("_n", F.lead("_v").over(w)).filter("_v > _b AND _v > _n").join(top, "file_id").filter("_v >= _least")
+    rank = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("_v"), "i"))
+    return ends.withColumn("rank", rank).filter(F.col("rank") <= most).select("file_id", "rank", "i", F.col("_v").alias(value))
+
+
+def auto_edges(values: DataFrame, column: str, bins: int) -> DataFrame:
+    """file_id, low and width of `bins` equal bins that cover a column's values: both are whole multiples of a unit, the
+    power of ten two digits below the plain width (range / bins). One distinct value gives bins of width 1 around it;
+    null and non-finite values are left out."""
+    v = F.col(column).cast("double")
+    fine = values.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select("file_id", v.alias("_v"))
+    ends = fine.groupBy("file_id").agg(F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+    places = 2 - F.floor(F.log10((F.col("_h") - F.col("_l")) / bins)).cast("int")
+    unit = F.pow(F.lit(10.0), places)  # by whole numbers of units, so that edges are the nearest doubles
+    low = F.floor(F.col("_l") * unit)
+    width = F.ceil((F.col("_h") * unit - low) / bins)
+    flat = F.col("_h") <= F.col("_l")
+    return ends.select("file_id", F.when(flat, F.floor(F.col("_l")) - bins // 2).otherwise(low / unit).cast("double").alias("low"), F.when(flat, 1.0).otherwise(F.greatest(width, F.lit(1)) / unit).alias("width"))
+
+
+def auto_histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
+    """file_id, bin (from 0), centre and n of the bins of auto_edges; the last one holds its upper edge as well."""
+    v = F.col(column).cast("double")
+    edges = auto_edges(values, column, bins)
+    rows = values.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).join(edges, "file_id")
+    n = rows.groupBy("file_id", F.least(F.floor((v - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = edges.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    centre = ((F.col("low") + F.col("bin") * F.col("width")) + (F.col("low") + (F.col("bin") + 1) * F.col("width"))) / 2
+    return every.join(n, ["file_id", "bin"], "left").select("file_id", "bin", centre.alias("centre"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def curve_crossings(curves: DataFrame) -> DataFrame:
     """file_id and x of the first crossing of y1 and y2 over the common x (rows in the order of i); null if they never
     cross. A crossing at the end of a segment belongs to the next; parallel segments have none."""

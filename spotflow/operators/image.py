@@ -126,13 +126,28 @@ def convolve_image(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return out
 
 
+def variance_frames(maps: DataFrame, height: int, width: int) -> DataFrame:
+    """noise_id and variance: the maps (noise_id, row, col, variance) as one array each, row by row, 0 where a map has no pixel."""
+    packed = to_frames(maps.select(F.col("noise_id").alias("file_id"), F.lit(0).alias("frame"), "row", "col", "variance"), height, width, "variance")
+    return packed.select(F.col("file_id").alias("noise_id"), F.col("pixels").alias("variance"))
+
+
+def with_variance_frames(frames: DataFrame, routes: DataFrame, maps: DataFrame) -> DataFrame:
+    """frames with `variance`, the array of variance_frames of their file's map by routes (file_id, noise_id); null for a file
+    without one. Frames are joined by file, not by pixel; the maps are one row a camera."""
+    of = routes.join(maps, "noise_id").select(F.col("file_id").cast("long").alias("file_id"), "variance")
+    return frames.join(of, "file_id", "left")
+
+
 def detect(frames: DataFrame, sigma: float = 1.3, cutoff: float = 3.0, roi: int = 7) -> DataFrame:
-    """Peaks of photon frames with their windows: file_id, frame, x, y (from 1) and roi (row by row).
+    """Peaks of photon frames with their windows: file_id, frame, x, y (from 1) and roi (row by row). Frames with a column
+    `variance` give roi_variance as well, the same window of it (zeros where it is null or of another size).
 
     A frame's minimum is taken off, the difference of Gaussians is applied and strict maxima of at least
     `cutoff` are kept where a whole window fits. A frame is a row, so this never shuffles.
     """
-    kernel, half = dog_kernel(sigma), roi // 2
+    kernel, half, noisy = dog_kernel(sigma), roi // 2, "variance" in frames.columns
+    columns = ["file_id", "frame", "x", "y", "roi", *(["roi_variance"] if noisy else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -141,12 +156,16 @@ def detect(frames: DataFrame, sigma: float = 1.3, cutoff: float = 3.0, roi: int
                 image = np.asarray(f.pixels, dtype=np.float64).reshape(f.height, f.width)
                 if min(image.shape) < max(3, roi):
                     continue
+                noise = np.zeros(image.shape)
+                if noisy and f.variance is not None and len(f.variance) == image.size:
+                    noise = np.asarray(f.variance, dtype=np.float64).reshape(image.shape)
                 for i, j in find_peaks(convolve_image(image - image.min(), kernel), cutoff, half):
-                    window = image[i - half : i + half + 1, j - half : j + half + 1]
-                    out.append((f.file_id, f.frame, j + 1, i + 1, window.ravel().astype(np.float32)))
-            yield pd.DataFrame(out, columns=["file_id", "frame", "x", "y", "roi"])
+                    at = slice(i - half, i + half + 1), slice(j - half, j + half + 1)
+                    windows = [m[at].ravel().astype(np.float32) for m in (image, noise)]
+                    out.append((f.file_id, f.frame, j + 1, i + 1, *windows[: 1 + noisy]))
+            yield pd.DataFrame(out, columns=columns)
 
-    return frames.mapInPandas(run, "file_id long, frame int, x int, y int, roi array<float>")
+    return frames.mapInPandas(run, "file_id long, frame int, x int, y int, roi array<float>" + ", roi_variance array<float>" * noisy)
 
 
 def to_pixels(frames: DataFrame) -> DataFrame:

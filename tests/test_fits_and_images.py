@@ -185,3 +185,91 @@ def test_text_files_and_parameters(spark, tmp_path):
     assert parameters.changed(table, table).count() == 0 and ("tracking limits N lower", "3.0") in {tuple(r) for r in table.collect()}
     sheet = reports.population_sheet(spark.createDataFrame([(0, -3.0, 0.1, -1.0, 0.1, 0.4, 0)], "file_id long, mu1 double, sigma1 double, mu2 double, sigma2 double, fraction1 double, error_code int"), spark.createDataFrame([(0, -3.0), (0, -2.0), (0, -1.0)], "file_id long, log_d double")).first()
     assert round(sheet.slow_by_split, 9) == round(2 / 3, 9) and round(sheet.d_slow, 9) == 0.001 and sheet.slow_by_fit == 0.4
+
+
+def test_peaks_with_plateaus_ties_and_nulls(spark):
+    series = {0: [1, 3, 3, 2, 5, 5, 4, 9], 1: [0, 2, 0, 2, 0, None, 1, 0], 2: [1, 1, 1], 3: [4, 1, 4], 4: [0, 10, 0, 1, 0]}
+    rows = [(f, i, None if v is None else float(v), 1) for f, y in series.items() for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "file_id long, i int, y double, rank int")
+    got = sorted((r.file_id, r.rank, r.i, r.y) for r in fits.find_peaks(df).collect())
+    assert got == [(0, 1, 4, 5.0), (0, 2, 1, 3.0), (1, 1, 1, 2.0), (1, 2, 3, 2.0), (4, 1, 1, 10.0), (4, 2, 3, 1.0)]
+    assert [r.i for r in fits.find_peaks(df.filter("file_id = 4"), share=0.2).collect()] == [1]
+    assert fits.find_peaks(df.filter("false")).count() == 0
+
+
+def test_smoothing_of_arrays_and_the_start_at_the_steepest_places(spark):
+    rng = np.random.default_rng(3)
+    y = rng.random(12)
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(y)], "file_id long, i int, y double")
+    want = [r.smooth for r in fits.smooth(df).orderBy("i").collect()]
+    assert np.allclose(fits.smoothed(y), want)
+    x = np.concatenate([rng.normal(-3, 0.2, 5000), rng.normal(-1, 0.2, 3000)])
+    at, n = np.unique(np.round(x / fits.FINE) * fits.FINE, return_counts=True)
+    mu, var, share = fits.steepest_start(at, n.astype(float))
+    assert len(mu) == 2 and share.sum() == pytest.approx(1) and (var == 0.1).all() and ((mu > -3.6) & (mu < -0.4)).all()
+    assert fits.steepest_start(np.array([1.0, 1.001]), np.ones(2)) is None
+    assert fits.mixture(at, n.astype(float), mu, var, share) is not None
+
+
+def test_the_last_start_is_used_where_the_others_fail(monkeypatch):
+    x = np.arange(40) / 10
+    tried, real = [], fits.mixture
+
+    def failing(x, n, mu, var, share, *more):
+        tried.append(mu)
+        return None if len(tried) <= 6 else real(x, n, mu, var, share, *more)
+
+    monkeypatch.setattr(fits, "mixture", failing)
+    monkeypatch.setattr(fits, "steepest_start", lambda x, n: (np.array([1.0, 3.0]), np.full(2, 0.1), np.full(2, 0.5)))
+    found = fits.fit_two(x, np.ones(40))
+    assert len(tried) == 7 and tried[-1].tolist() == [1.0, 3.0] and found[5] in (0, 1) and found[0] < found[2]
+
+
+def test_automatic_bins_cover_their_values(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f, float(v), 3) for f, values in ((0, rng.normal(0, 1, 300)), (1, rng.uniform(1e5, 9e5, 200)), (2, [4.25, 4.25]), (3, [-1e-5, 1e-5]), (4, [0.0, 50.0])) for v in values]
+    df = spark.createDataFrame([*rows, (0, None, 3), (0, float("nan"), 3), (1, float("inf"), 3)], "file_id long, v double, low int")
+    df = df.drop("low")
+    edges = {r.file_id: (r.low, r.width) for r in fits.auto_edges(df, "v", 50).collect()}
+    for f, (low, width) in edges.items():
+        own = np.array([r[1] for r in rows if r[0] == f])
+        assert low <= own.min() and own.max() <= low + 50 * width * (1 + 1e-12)
+        assert width <= max(1.0, 1.2 * np.ptp(own) / 50) if f == 2 else width <= 1.2 * np.ptp(own) / 50
+    assert edges[2][1] == 1.0
+    got = fits.auto_histogram(df, "v", 50).collect()
+    for f in range(5):
+        own = [r for r in sorted(got, key=lambda r: r.bin) if r.file_id == f]
+        assert len(own) == 50 and sum(r.n for r in own) == len([r for r in rows if r[0] == f])
+        assert np.allclose([r.centre for r in own], edges[f][0] + edges[f][1] * (np.arange(50) + 0.5))
+    assert fits.auto_histogram(df.filter("false"), "v", 50).count() == 0
+
+
+def test_frames_from_pixels_that_are_missing_repeated_or_outside(spark):
+    rows = [(0, 1, 0, 0, 5.0), (0, 1, 0, 0, 7.0), (0, 1, 1, 2, None), (0, 1, 1, 1, -3.0), (0, 1, 9, 9, 4.0), (0, 2, 7, 7, 1.0), (1, 1, 1, 0, 2.0)]
+    df = spark.createDataFrame(rows, "file_id long, frame int, row int, col int, adu double")
+    got = {(r.file_id, r.frame): list(r.pixels) for r in image.to_frames(df, 2, 3).collect()}
+    assert got == {(0, 1): [7, 0, 0, 0, -3, 0], (0, 2): [0] * 6, (1, 1): [0, 0, 0, 2, 0, 0]}
+    assert image.to_frames(df.filter("false"), 2, 3).count() == 0
+    large = spark.range(512 * 512).selectExpr("0L AS file_id", "1 AS frame", "CAST(id / 512 AS int) AS row", "CAST(id % 512 AS int) AS col", "CAST(id AS double) AS adu")
+    r = image.to_frames(large, 512, 512).first()
+    assert r.pixels[1000] == 1000.0 and len(r.pixels) == 512 * 512
+
+
+def test_windows_of_variance_follow_the_camera(spark):
+    rng = np.random.default_rng(1)
+    frame = rng.random((16, 16)) * 2
+    frame[6:9, 7:10] += [[20, 40, 20], [40, 90, 40], [20, 40, 20]]
+    pixels = [float(v) for v in frame.ravel()]
+    frames = spark.createDataFrame([(f, 1, 16, 16, pixels) for f in (0, 1, 2)], image.FRAME_SCHEMA)
+    maps = spark.createDataFrame([(7, i, j, float(100 * i + j)) for i in range(16) for j in range(16)] + [(8, 0, 0, 1.0)], "noise_id long, row int, col int, variance double")
+    routes = spark.createDataFrame([(0, 7), (1, 8), (2, 99)], "file_id long, noise_id long")
+    noisy = image.with_variance_frames(frames, routes, image.variance_frames(maps, 16, 16))
+    got = {r.file_id: r for r in image.detect(noisy, 1.3, 6.0, 5).collect()}
+    assert sorted(got) == [0, 1, 2]
+    r = got[0]
+    want = [100 * i + j for i in range(r.y - 3, r.y + 2) for j in range(r.x - 3, r.x + 2)]
+    assert list(r.roi_variance) == want and set(got[1].roi_variance) == {0.0} and set(got[2].roi_variance) == {0.0}
+    assert "roi_variance" not in image.detect(frames, 1.3, 6.0, 5).columns
+    from spotflow.operators import psf
+
+    assert psf.fit_psf(image.detect(noisy, 1.3, 6.0, 5), variance="roi_variance").filter("is_fit").count() == 3
