@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from spotflow.llm.text import slices
 from spotflow.session import materialize
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word is a run of letters, apostrophes inside it included.
+LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 #: A clause ends at one of these marks (several in a row are emphasis or noise) or at the end of a line.
 CLAUSE = re.compile(r"(?<![.!?;])[.!?;](?![.!?;])|\n")
 #: Stems that can be learned as cues have so many letters and begin so many different words, else whole words
@@ -41,10 +42,10 @@ CLASSES = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, WEAK = range(
 
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile bastard jerk dumb fool vermin filth dummkopf abschaum imbécile ordure idiota imbécil escoria basura"
 THREATS = "kill hurt destroy beat shoot stab burn murder attack punch strangle töten umbringen verletzen tuer frapper brûler matar golpear quemar"
-TARGETS = "you your youre ya he she they them him her his their du dich dir ihr euch sie tu te toi vous ils elles tú usted ustedes ellos ellas"
-NEGATIONS = "not never no isn't isnt aren't arent nobody hardly nicht kein keine niemals pas jamais aucun nunca tampoco"
+TARGETS = "you your youre ya he she they them him her his their man men woman women guy guys people person boy girl kid kids everyone mann frau leute homme femme gens hombre mujer gente du dich dir ihr euch sie tu te toi vous ils elles tú usted ustedes ellos ellas"
+NEGATIONS = "not never no isnt arent wasnt dont doesnt didnt wont cant nobody hardly nicht kein keine niemals pas jamais aucun nunca tampoco"
 REPORTS = "said says wrote writes called calls claimed quoted quote reported sagte schrieb nannte écrit appelé dijo escribió llamó"
-INTENTS = "will gonna shall must should going i'll we'll ill werde werden vais allons voy vamos"
+INTENTS = "will gonna shall must should going ill werde werden vais allons voy vamos"
 
 #: Patterns that arcs emit, in the order of the weights, and the weights before any label is seen.
 PATTERNS = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "threat negated", "threat reported", "weak")
@@ -54,6 +55,11 @@ PRIOR_BIAS = -3.0
 PRIOR_RATES, LEAST_RATE = (0.01, 0.001), 1e-4
 
 
+def lowered(text: str | None) -> str:
+    """A text in lower case with one kind of apostrophe."""
+    return (text or "").lower().replace("’", "'")
+
+
 def beginnings(word: str) -> list[str]:
     return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [word + END]
 
@@ -101,9 +107,16 @@ class _Classes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
             self.forget()
-        self[word] = c = self.known.get(word) or self._learned(beginnings(word))
+        self[word] = c = self.known.get(word) or (self._joined(word) if "'" in word else OTHER) or self._learned(beginnings(word))
         return c
 
+    def _joined(self, word: str) -> int:
+        """Class of a word with an apostrophe: n't and n' deny, 'll intends, else that of its first part or its last."""
+        first, last = word.split("'", 1)
+        if word.endswith("n't") or first == "n":
+            return NEGATION
+        return INTENT if last == "ll" else self.known.get(first) or self.known.get(last) or OTHER
+
     def forget(self) -> None:
         self.clear()
         self.update(self.known)
@@ -155,16 +168,17 @@ class ToxicityModel:
         return found if hosts[state] else [m for m in found if m[1] in (1, 5)]
 
     def matches(self, text: str | None) -> np.ndarray:
-        """How many clauses match each pattern, how many different weak cues (with the word before) match
-        plainly or aimed, and how many different pairs of words a text with such matches has."""
+        """How many clauses match each pattern (of insults plain or aimed, how many different ones after the first), how many
+        different weak cues (with the word before) match plainly or aimed, and how many different pairs of words a text with
+        such matches has."""
         counts = np.zeros(len(PATTERNS) + 1)
-        low = (text or "").lower()
+        low = lowered(text)
         classes = self.classes
         words = LETTERS.findall(low)
         met = [classes[w] for w in words]
         if INSULT not in met and THREAT not in met and WEAK not in met:
             return counts
-        at, weak = 0, set()
+        at, weak, named = 0, set(), set()
         for clause in CLAUSE.split(low):
             n = len(LETTERS.findall(clause))
             kinds, first = met[at : at + n], at
@@ -172,8 +186,10 @@ class ToxicityModel:
             if INSULT not in kinds and THREAT not in kinds and WEAK not in kinds:
                 continue
             found = self.clause(kinds)
-            counts[list({pattern for i, pattern in found if kinds[i] != WEAK})] += 1
+            counts[list({pattern for i, pattern in found if kinds[i] != WEAK and pattern})] += 1
+            named.update(words[first + i] for i, pattern in found if kinds[i] == INSULT and pattern < 2)
             weak.update((words[first + i], words[first + i - 1] if first + i else "") for i, pattern in found if kinds[i] == WEAK and pattern < 2)
+        counts[0] = max(0, len(named) - 1)
         if weak:
             counts[-2:] = len(weak), len(set(zip(words, ["", *words])))
         return counts
@@ -213,7 +229,7 @@ def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                words = LETTERS.findall((text or "").lower())
+                words = LETTERS.findall(lowered(text))
                 found = list(set(zip(words, ["", *words])))
                 own = xxhash.xxh3_64_intdigest((text or "").encode()) >> 1
                 yield pa.RecordBatch.from_arrays(
@@ -233,7 +249,7 @@ def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity
         for batch in slices(batches, "text"):
             pairs: set = set()
             for text in batch.column("text").to_pylist():
-                words = LETTERS.findall((text or "").lower())
+                words = LETTERS.findall(lowered(text))
                 pairs.update(zip(words, ["", *words]))
             found: Counter = Counter()
             for word, n in Counter(w for w, _ in pairs).items():
