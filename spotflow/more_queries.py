@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spotflow.operators import display as D, fits as T, image as I, localize as L, mobility as M, overlap as O, parameters as P, reports as R, rings as G, sets as U, shapes as H, spatial as S, tracking as K, voronoi as V
 from spotflow.queries import CLUSTERED, EPSILON, FEATURES, FLAGS, KERNEL, LIMIT_SQL, LIMITS, LINES, MEANS, MIN_PTS, _curves, _valid
@@ -103,6 +103,24 @@ def link_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.link_tracks(A.positions(spark, sf_dir), RADIUS, 3)
 
 
+NEAREST_LINKS = f"""p AS ({A.POSITIONS}), c AS (SELECT a.file_id, a.loc_id AS a, b.loc_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.file_id = b.file_id AND b.frame = a.frame + 1 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {RADIUS}),
+k AS (SELECT *, row_number() OVER (PARTITION BY file_id, a ORDER BY d, b) AS i, row_number() OVER (PARTITION BY file_id, b ORDER BY d, a) AS j FROM c), l AS (SELECT file_id, a, b FROM k WHERE i = 1 AND j = 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {NEAREST_LINKS}, walk AS (SELECT file_id, a AS first, a AS at FROM l WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.file_id = l.file_id AND o.b = l.a) UNION ALL SELECT w.file_id, w.first, l.b FROM walk w JOIN l ON l.file_id = w.file_id AND l.a = w.at),
+n AS (SELECT w.file_id, w.first, row_number() OVER (PARTITION BY w.file_id ORDER BY p.frame, w.first) AS track_id FROM (SELECT DISTINCT file_id, first FROM walk) w JOIN p ON p.file_id = w.file_id AND p.loc_id = w.first)
+SELECT p.file_id, n.track_id, p.loc_id, p.frame, {r('p.x', 'x')}, {r('p.y', 'y')} FROM walk w JOIN n USING (file_id, first) JOIN p ON p.file_id = w.file_id AND p.loc_id = w.at"""
+)
+def chained_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of links between localizations of successive frames that are the nearest of each other."""
+    locs = A.positions(spark, sf_dir)
+    pairs = K.link_candidates(locs, RADIUS, 0)
+    place = [F.row_number().over(Window.partitionBy("file_id", c).orderBy("distance", o)) for c, o in (("a", "b"), ("b", "a"))]
+    links = pairs.withColumn("i", place[0]).withColumn("j", place[1]).filter("i = 1 AND j = 1").select("file_id", "a", "b")
+    return rounded(K.tracks_of_links(locs, links))
+
+
 # -- overlaps ------------------------------------------------------------------------------------
 
 TOUCH = "a.file_id = b.file_id AND a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
@@ -689,11 +707,32 @@ def voronoi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cells.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("area").alias("area")), 3)
 
 
-@query()
+#: Closed cells, their normalised density in the first ring, and the components of touching cells that are chosen.
+CELL_GROUPS = f"""{TESSELLATION}, cell AS (SELECT file_id, i, any_value(x) AS x, any_value(y) AS y, sum(abs((mx + t0 * dx - x) * (my + t1 * dy - y) - (mx + t1 * dx - x) * (my + t0 * dy - y))) / 2 AS area FROM edge GROUP BY file_id, i HAVING NOT bool_or(cut)),
+ring AS (SELECT e.file_id, e.i, e.j AS o FROM edge e UNION SELECT file_id, i, i FROM cell),
+dense AS (SELECT r.file_id, r.i, count(*) / sum(o.area) * any_value(m.mean) AS density FROM ring r JOIN cell c ON c.file_id = r.file_id AND c.i = r.i JOIN cell o ON o.file_id = r.file_id AND o.i = r.o JOIN (SELECT file_id, avg(area) AS mean FROM cell GROUP BY file_id) m ON m.file_id = r.file_id GROUP BY r.file_id, r.i),
+chosen AS ({{chosen}}), touch AS (SELECT e.file_id, e.i, e.j FROM edge e JOIN chosen a ON a.file_id = e.file_id AND a.i = e.i JOIN chosen b ON b.file_id = e.file_id AND b.i = e.j),
+reach AS (SELECT file_id, i, i AS low FROM chosen UNION SELECT t.file_id, t.j, r.low FROM reach r JOIN touch t ON t.file_id = r.file_id AND t.i = r.i WHERE r.low < t.j),
+comp AS (SELECT file_id, i, min(low) AS low FROM reach GROUP BY ALL), big AS (SELECT file_id, low, row_number() OVER (PARTITION BY file_id ORDER BY low) AS cluster FROM comp GROUP BY file_id, low HAVING count(*) >= {{least}}),
+found AS (SELECT file_id, cluster, count(*) AS n, {r('sum(area)', 'area', 3)}, {r('sqrt(4 * sum(area) / pi())', 'diameter', 4)}, {r('avg(x)', 'x', 4)}, {r('avg(y)', 'y', 4)} FROM comp JOIN big USING (file_id, low) JOIN cell USING (file_id, i) GROUP BY file_id, cluster)"""
+
+
+def _rounded_clusters(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumn("area", F.round("area", 3)), 4)
+
+
+@query(f"WITH RECURSIVE {CELL_GROUPS.format(chosen='SELECT file_id, i FROM dense WHERE density > 2', least=3)} SELECT * FROM found")
 def voronoi_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Touching cells of high density; tests/test_voronoi.py holds clusters against plain Python."""
+    """Touching cells of high density."""
+    cells = V.voronoi_cells(A.file_points(spark, sf_dir))
+    return _rounded_clusters(V.voronoi_clusters(cells, V.voronoi_members(cells, 2.0, "density", 3)))
+
+
+@query(f"WITH RECURSIVE {CELL_GROUPS.format(chosen='SELECT file_id, i FROM cell WHERE area < 1500', least=2)} SELECT * FROM found")
+def voronoi_area_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Touching cells of small area."""
     cells = V.voronoi_cells(A.file_points(spark, sf_dir))
-    return V.voronoi_clusters(cells, V.voronoi_members(cells, 2.0, "density", 3))
+    return _rounded_clusters(V.voronoi_clusters(cells, V.voronoi_members(cells, 1500.0, "area", 2)))
 
 
 @query()

@@ -1,8 +1,8 @@
 """Boxes, their overlaps and the clusters of tracks that overlapping boxes make.
 
-Boxes are rows of file_id, id, x0, x1, y0, y1 and for times z0 and z1. They meet through a grid whose
-cells have the file's mean width of a box, so that the join is an equi-join; a pair is reported by the one
-cell that holds the lower corner of the overlap.
+Boxes are rows of file_id, id, x0, x1, y0, y1 and for times z0 and z1. They meet through grids, one for each power of
+two that a box of the file is as wide as, so that the join is an equi-join and a box of any width lies in at most four cells of
+its own grid; smaller boxes look it up there. A pair is reported by the one cell that holds the lower corner of the overlap.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spotflow.operators.components import connected_components
 from spotflow.operators.spatial import points_in_polygons, polygon_summary
@@ -20,28 +20,52 @@ from spotflow.session import materialize
 SIDES = ("x0", "x1", "y0", "y1")
 
 
+#: The smallest grid of a file, as a power of two of its extent.
+FINEST = -20
+
+
+def size_class(width: Column, extent: Column) -> Column:
+    """The power of two that a width does not exceed, no less than FINEST powers below the extent."""
+    return F.ceil(F.log2(F.greatest(width, extent * 2.0**FINEST, F.lit(1e-300)))).cast("int")
+
+
+def in_cells(rows: DataFrame, grid: Column) -> DataFrame:
+    """rows (x0, x1, y0, y1) once for each cell (grid, cx, cy) of width 2**grid that they lie in."""
+    side = F.pow(F.lit(2.0), F.col("grid"))
+    cell = lambda c: F.floor(F.col(c) / side)
+    return rows.withColumn("grid", grid).withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+
+
 def overlap_pairs(boxes: DataFrame, time_window: float = math.inf, strict: bool = False, apart: str | None = None) -> DataFrame:
     """file_id, a and b (a < b) of all boxes of a file that overlap in x and y: touching counts unless `strict`.
     With a finite time_window they must overlap in z too, each widened by half the (rounded) window. Boxes that
-    share a value of the column `apart` are no pairs. Boxes with a null side overlap nothing."""
+    share a value of the column `apart` are no pairs. Boxes with a null or non-finite side, or whose sides are in the wrong
+    order, overlap nothing."""
     more = ["z0", "z1"] if math.isfinite(time_window) else []
     rows = boxes.select("file_id", "id", *SIDES, *more, *([apart] if apart else [])).dropna(subset=["id", *SIDES, *more])
-    side = rows.groupBy("file_id").agg(F.greatest(F.lit(1e-9), F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).alias("side"))
-    rows = materialize(rows.join(side, "file_id"), "boxes")
-    cell = lambda c: F.floor(F.col(c) / F.col("side"))
-    inside = rows.withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
-    names = [c for c in rows.columns if c not in ("file_id", "side")]
-    a = inside.select("file_id", "side", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = inside.select("file_id", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in names])
+    for c in SIDES:
+        rows = rows.filter(F.abs(F.col(c).cast("double")) < float("inf"))
+    rows = rows.filter("x0 <= x1 AND y0 <= y1")
+    extent = rows.groupBy("file_id").agg(F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).alias("_extent"))
+    rows = rows.join(extent, "file_id").withColumn("_size", size_class(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), F.col("_extent"))).drop("_extent")
+    rows = materialize(rows, "boxes")
+    sizes = rows.groupBy("file_id").agg(F.collect_set("_size").alias("_sizes"))  # a few numbers a file
+    names = [c for c in rows.columns if c != "file_id"]
+    wider = in_cells(rows.join(sizes, "file_id"), F.explode(F.filter("_sizes", lambda v: v >= F.col("_size"))))
+    a = wider.select("file_id", "grid", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = in_cells(rows, F.col("_size")).select("file_id", "grid", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in names])
     below = (lambda p, q: F.col(p) < F.col(q)) if strict else (lambda p, q: F.col(p) <= F.col(q))
-    keep = (F.col("a_id") < F.col("b_id")) & below("a_x0", "b_x1") & below("b_x0", "a_x1") & below("a_y0", "b_y1") & below("b_y0", "a_y1")
-    keep = keep & (F.floor(F.greatest("a_x0", "b_x0") / F.col("side")) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / F.col("side")) == F.col("cy"))
+    once = F.when(F.col("a__size") == F.col("b__size"), F.col("a_id") < F.col("b_id")).otherwise(F.col("a_id") != F.col("b_id"))
+    keep = once & below("a_x0", "b_x1") & below("b_x0", "a_x1") & below("a_y0", "b_y1") & below("b_y0", "a_y1")
+    side = F.pow(F.lit(2.0), F.col("grid"))
+    keep = keep & (F.floor(F.greatest("a_x0", "b_x0") / side) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / side) == F.col("cy"))
     if more:
         half = math.floor(time_window / 2 + 0.5)
         keep = keep & (F.col("a_z0") - half <= F.col("b_z1") + half) & (F.col("b_z0") - half <= F.col("a_z1") + half)
     if apart:
         keep = keep & (F.col(f"a_{apart}") != F.col(f"b_{apart}"))
-    return a.join(b, ["file_id", "cx", "cy"]).filter(keep).select("file_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    met = a.join(b, ["file_id", "grid", "cx", "cy"]).filter(keep)
+    return met.select("file_id", F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def overlap_groups(boxes: DataFrame, time_window: float = math.inf) -> DataFrame:

@@ -21,6 +21,8 @@ from spotflow.session import materialize
 #: Full width at half maximum of a normal distribution, in standard deviations.
 FWHM = 2 * math.sqrt(2 * math.log(2))
 POINT = ("file_id", "point_id")
+#: Edges of a ring in one of its strips.
+EDGES_IN_STRIP = 8
 
 
 def finite_points(points: DataFrame) -> DataFrame:
@@ -215,21 +217,33 @@ def polygon_summary(polygons: DataFrame) -> DataFrame:
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """file_id, point_id and poly_id of every point inside or on the border of a ring of its file.
 
-    Rings are cut into vertical slabs of the mean width of a ring, and a point meets the edges of its slab only:
-    the number of edges to its right, counted in one aggregation, is odd inside.
+    Points meet the boxes of rings through grids, one for each power of two that a ring of the file is as wide as. A ring is
+    cut into strips of about EDGES_IN_STRIP edges by height, and a point meets the edges of its strip only: the
+    number of edges to its right is odd inside.
     """
-    edges = polygon_edges(polygons)
-    bounds = edges.groupBy("file_id", "poly_id").agg(F.min("x1").alias("left"), F.max("x1").alias("right"))
-    width = bounds.groupBy("file_id").agg(F.greatest(F.lit(1e-9), F.avg(F.col("right") - F.col("left"))).alias("width"))
-    # an edge lies in all slabs from its ring's left end to its own right end, as a ray to the right starts there
-    e = edges.join(bounds, ["file_id", "poly_id"]).join(width, "file_id")
-    slab = lambda v: F.floor(v / F.col("width"))
-    e = e.select("file_id", "poly_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(slab(F.col("left")), slab(F.greatest("x1", "x2")))).alias("slab"))
-    p = finite_points(points).select(*POINT, "x", "y").join(width, "file_id").select(*POINT, "x", "y", slab(F.col("x")).alias("slab"))
+    from spotflow.operators.overlap import in_cells, size_class
+
+    edges = materialize(polygon_edges(polygons).filter("x1 IS NOT NULL AND y1 IS NOT NULL"), "edges")
+    boxes = edges.groupBy("file_id", "poly_id").agg(F.min("x1").alias("x0"), F.max("x1").alias("x1"), F.min("y1").alias("y0"), F.max("y1").alias("y1"), F.count("*").alias("_n"))
+    strip = (F.col("y1") - F.col("y0")) / F.ceil(F.col("_n") / EDGES_IN_STRIP)
+    boxes = materialize(boxes.withColumn("_high", F.when(strip > 0, strip).otherwise(1.0)).withColumn("_low", F.col("y0")), "boxes")
+    extent = boxes.groupBy("file_id").agg(F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).alias("_extent"))
+    sized = boxes.join(extent, "file_id").withColumn("_size", size_class(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), F.col("_extent"))).drop("_extent")
+    sizes = sized.groupBy("file_id").agg(F.collect_set("_size").alias("_sizes"))  # a few numbers a file
+    rings = in_cells(sized, F.col("_size")).drop("_size", "_n")
+    p = finite_points(points).select(*POINT, "x", "y").join(sizes, "file_id").withColumn("grid", F.explode("_sizes")).drop("_sizes")
+    side = F.pow(F.lit(2.0), F.col("grid"))
+    p = p.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    within = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    near = p.join(rings, ["file_id", "grid", "cx", "cy"]).filter(within)
+    near = near.select(*POINT, "poly_id", "x", "y", F.floor((F.col("y") - F.col("_low")) / F.col("_high")).alias("strip"))
+    place = lambda v: F.floor((v - F.col("_low")) / F.col("_high"))
+    e = edges.join(boxes.select("file_id", "poly_id", "_low", "_high"), ["file_id", "poly_id"])
+    e = e.select("file_id", "poly_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(place(F.least("y1", "y2")), place(F.greatest("y1", "y2")))).alias("strip"))
     x, y, x1, y1, x2, y2 = map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) * (x2 - x1))
     on = ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
-    met = p.join(e, ["file_id", "slab"]).groupBy(*POINT, "poly_id", "x", "y").agg(F.count_if(crosses).alias("n"), F.max(on).alias("border"))
+    met = near.join(e, ["file_id", "poly_id", "strip"]).groupBy(*POINT, "poly_id", "x", "y").agg(F.count_if(crosses).alias("n"), F.max(on).alias("border"))
     return met.filter("n % 2 = 1 OR border").select(*POINT, "poly_id")
 
 

@@ -182,3 +182,36 @@ def test_sets_of_empty_tables(spark):
     assert [(r.v, r.i) for r in sets.distinct_in_order(one, "v", "ord").orderBy("i").collect()] == [(1, 1), (2, 2)]
     assert sets.common_in_order(one, none, "v", "ord").count() == 0 and sets.difference_in_order(one, none, "v", "ord").count() == 2
     assert sets.near_rows(one, none, 1.0).count() == 0 and sets.near_rows(one, one.filter("v = 2"), 1.5).count() == 2
+
+
+def test_boxes_of_very_different_sizes_equal_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    sizes = [0.0, 1e-6, 0.3, 3.0, 40.0, 900.0]
+    rows = []
+    for i in range(150):
+        x, y = rng.uniform(-500, 500, 2)
+        w, h = rng.choice(sizes, 2)
+        rows.append((i % 2, i, float(x), float(x + w), float(y), float(y + h), int(i % 7), int(i % 7 + 2)))
+    rows += [(0, 200, 5.0, 5.0, 5.0, 5.0, 0, 9), (0, 201, 5.0, 6.0, 5.0, 6.0, 0, 9), (0, 202, 5.0, 1.0, 5.0, 6.0, 0, 9), (0, 203, float("nan"), 1.0, 5.0, 6.0, 0, 9), (0, 204, float("-inf"), 1.0, 5.0, 6.0, 0, 9), (0, 205, None, 1.0, 5.0, 6.0, 0, 9)]
+    boxes = spark.createDataFrame(rows, BOXES)
+    fine = [r for r in rows if r[1] < 202]
+    for strict in (False, True):
+        less = (lambda p, q: p < q) if strict else (lambda p, q: p <= q)
+        want = {(a[0], a[1], b[1]) for a in fine for b in fine if a[0] == b[0] and a[1] < b[1] and less(a[2], b[3]) and less(b[2], a[3]) and less(a[4], b[5]) and less(b[4], a[5])}
+        got = [tuple(r) for r in overlap.overlap_pairs(boxes, strict=strict).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_points_in_long_and_small_rings_equal_counting_all_edges(spark):
+    rng = np.random.default_rng(4)
+    rings = {(0, 1): [(100 + r * math.cos(t), 100 + r * math.sin(t)) for t, r in zip(np.linspace(0, 2 * math.pi, 200, endpoint=False), rng.uniform(20, 90, 200))]}
+    for k in range(12):
+        x, y = rng.uniform(0, 200, 2)
+        rings[k % 2, 10 + k] = [(x + a, y + b) for a, b in rng.uniform(-8, 8, (5, 2))]
+    rings[1, 50] = [(3.0, 3.0), (9.0, 3.0), (6.0, 3.0)]  # without an area
+    rows = [(f, p, k, float(x), float(y)) for (f, p), ring in rings.items() for k, (x, y) in enumerate(ring)]
+    at = [(f, i, float(x), float(y)) for f in (0, 1, 2) for i, (x, y) in enumerate(rng.uniform(0, 200, (150, 2)))] + [(1, 900, 5.0, 3.0), (1, 901, 9.5, 3.0)]
+    polygons = spark.createDataFrame(rows, "file_id long, poly_id long, ord int, x double, y double")
+    got = [tuple(r) for r in spatial.points_in_polygons(points(spark, at), polygons).collect()]
+    want = {(f, i, p) for f, i, x, y in at for (g, p), ring in rings.items() if f == g and sum(((ay > y) != (by > y)) and x < ax + (y - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])) % 2}
+    assert len(got) == len(set(got)) and set(got) == want | {(1, 900, 50)}
