@@ -4,8 +4,8 @@ Each half of a unit vector has a codebook of its own; the product of the two is
 vector lies in the cell of its nearest centroid pair. It visits cells by ascending sum of the two
 distances (multi-sequence traversal with a heap) until the target recall is reached: how many cells
 that takes is measured on sampled vectors, all of whose links are known from brute force; the sample
-grows until enough of them have links. Where links stay too rare, the grid is coarse and a vector
-visits every cell that could hold a vector at the least cosine, so that none is lost. Equal vectors of a label are one weighted vertex, so copies neither count as links of the measure nor are
+grows until enough of them have links. Where links stay too rare, neighbours are made for the sampled vectors, at
+just the least cosine in directions of all kinds, and their cells are measured as well. Equal vectors of a label are one weighted vertex, so copies neither count as links of the measure nor are
 compared with each other; their links are added afterwards. Visitors and residents of a cell are
 compared exactly, in blocks of bounded size, and tasks return counts and a spanning set of links,
 never pairs.
@@ -14,6 +14,7 @@ never pairs.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from spotflow.session import materialize
 #: Vectors that train a codebook for each of its centroids, the most centroids, vectors a cell is meant to
 #: hold, residents and visitors that are compared in one task.
 TRAIN, CENTROIDS, IN_CELL, RESIDENTS, VISITORS = 64, 1_024, 200, 256, 512
-#: Vectors whose links are measured at first and at most, those of them with links that settle the measure,
-#: and vectors a cell and a block hold where links are too rare for that.
-MEASURED, MEASURED_MOST, ENOUGH, IN_COARSE = 400, 25_600, 100, 4_096
+#: Vectors whose links are measured at first and at most, those of them with links that settle the measure, and
+#: sampled vectors and neighbours made for each where links are too rare for that.
+MEASURED, MEASURED_MOST, ENOUGH, MADE_FOR, MADE = 400, 25_600, 100, 1_600, 16
 
 
 def codebook(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -63,15 +64,12 @@ def traverse(d1: np.ndarray, d2: np.ndarray, cells: int) -> list[tuple[int, int]
     return out
 
 
-def to_cells(d2: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Least squared distance of points to the cell of each centroid, from squared distances to the centroids: a
-    cell lies behind the planes halfway to all other centroids."""
-    apart = np.sqrt(np.maximum(distances(centre, centre), 0))
-    least = np.zeros_like(d2)
-    for b in range(len(centre)):
-        far = apart[:, b] > 1e-6
-        least[:, far] = np.maximum(least[:, far], (d2[:, far] - d2[:, b : b + 1]) / (2 * apart[far, b]))
-    return least**2
+def made_neighbours(a: np.ndarray, cosine: float, each: int) -> np.ndarray:
+    """For each unit vector `each` others at just the cosine, in random directions from a fixed seed."""
+    u = np.random.default_rng(13).normal(size=(len(a), each, a.shape[1]))
+    u -= (u * a[:, None]).sum(axis=2, keepdims=True) * a[:, None]
+    u /= np.maximum(np.linalg.norm(u, axis=2, keepdims=True), 1e-300)
+    return cosine * a[:, None] + np.sqrt(max(0.0, 1 - cosine**2)) * u
 
 
 def cells_before(d1: np.ndarray, d2: np.ndarray, i: int, j: int) -> int:
@@ -79,9 +77,10 @@ def cells_before(d1: np.ndarray, d2: np.ndarray, i: int, j: int) -> int:
     return int(np.searchsorted(np.sort(d2), d1[i] + d2[j] - d1).sum())
 
 
-def compare(v: np.ndarray, v_id: np.ndarray, r: np.ndarray, r_id: np.ndarray, weight: np.ndarray, least: float) -> dict[int, list[int]]:
-    """For every id with a link between visitors v and residents r of some weight: the weight it links to as
-    a visitor, and the smallest id of its component among them."""
+def compare(v: np.ndarray, v_id: np.ndarray, r: np.ndarray, r_id: np.ndarray, w: np.ndarray, weight: np.ndarray, least: float, returned: Callable[[], np.ndarray]) -> dict[int, list[int]]:
+    """For every id with a link between visitors v (of weights w) and residents r (of weights weight): the weight it
+    links to, and the smallest id of its component among them. A resident counts the link here only if it does not return
+    the visit, which returned() says of every pair: else it counts it where it is the visitor."""
     link = (v @ r.T >= least) & (v_id[:, None] != r_id[None, :])
     a, b = np.nonzero(link)
     if not len(a):
@@ -98,12 +97,13 @@ def compare(v: np.ndarray, v_id: np.ndarray, r: np.ndarray, r_id: np.ndarray, we
         if (new == label).all():
             break
         label = new
-    count = np.bincount(x, weights=weight[b], minlength=len(ids))
+    once = ~returned()[a, b]
+    count = np.bincount(x, weights=weight[b], minlength=len(ids)) + np.bincount(y[once], weights=w[a[once]], minlength=len(ids))
     return {int(i): [int(c), int(ids[k])] for i, c, k in zip(ids, count, label)}
 
 
 def _search(vertices: DataFrame, d: int, kind: str, cosine: float, recall: float) -> DataFrame:
-    """vertex, n (weight linked to as a visitor) and root, from the blocks of the index over vertices (vertex,
+    """vertex, n (weight linked to) and root, from the blocks of the index over vertices (vertex,
     label, u, w, first) of d dimensions."""
     if d == 1:  # vectors of one dimension have no halves
         vertices, d = vertices.withColumn("u", F.concat("u", F.array(F.lit(0.0)).cast(kind))), 2
@@ -121,12 +121,15 @@ def _search(vertices: DataFrame, d: int, kind: str, cosine: float, recall: float
         m = matrix(column)
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
+    def sampled(m: float):
+        """About m vertices, their labels and unit vectors, by Arrow."""
+        asked = vertices.filter(F.pmod(F.xxhash64("first", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) < min(1.0, m / n)).select("vertex", "label", "u").toArrow()
+        a = unit(asked.column("u")) if len(asked) else np.zeros((0, d))
+        return a, asked.column("vertex").to_numpy(), asked.column("label").to_numpy()
+
     def measure(m: float):
         """Queries with links, cells before those of their links and how many; of about m queries."""
-        asked = vertices.filter(F.pmod(F.xxhash64("first", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) < min(1.0, m / n)).select("vertex", "label", "u").collect()
-        a_id, a_label = np.array([r.vertex for r in asked]), np.array([r.label for r in asked])
-        a = np.array([r.u for r in asked]).reshape(-1, d)
-        a = a / np.linalg.norm(a, axis=1, keepdims=True)
+        a, a_id, a_label = sampled(m)
         return vertices.select("vertex", "label", "u").mapInArrow(ranks_of(a, a_id, a_label), "q long, before long, n long").groupBy("q", "before").agg(F.sum("n").alias("n")).toPandas()
 
     def ranks_of(a: np.ndarray, a_id: np.ndarray, a_label: np.ndarray):
@@ -159,34 +162,34 @@ def _search(vertices: DataFrame, d: int, kind: str, cosine: float, recall: float
         asked *= 4
         seen = measure(asked)
     settled = seen["q"].nunique() >= ENOUGH or asked >= n
-    cells, residents, visitors = 1, RESIDENTS, VISITORS
+    cells = 1
     if len(seen):
         share = (seen["n"] / seen.groupby("q")["n"].transform("sum")).groupby(seen["before"]).sum().sort_index().cumsum()
         cells = int(min(k * k, 2 * (share.index[share >= recall * share.iloc[-1]][0] + 1)))
     if not settled:
-        k, residents, visitors = int(min(CENTROIDS, max(2, round((n / IN_COARSE) ** 0.5)))), IN_COARSE, IN_COARSE
-        one, two = codebook(train[:, :half], k), codebook(train[:, half:], k)
-    reach = 2 * (1 - cosine) + 1e-9  # squared distance of unit vectors at the least cosine
-
-    def visits_of(d1: np.ndarray, d2: np.ndarray) -> list:
-        if settled:
-            return [[i * k + j for i, j in traverse(x, y, cells)] for x, y in zip(d1, d2)]
-        return [np.flatnonzero(x[:, None] + y[None, :] <= reach) for x, y in zip(to_cells(d1, one), to_cells(d2, two))]
+        a = sampled(MADE_FOR)[0]
+        before = []
+        for x, others in zip(a, made_neighbours(a, cosine, MADE)):
+            d1, d2 = distances(x[None, :half], one)[0], distances(x[None, half:], two)[0]
+            i, j = distances(others[:, :half], one).argmin(axis=1), distances(others[:, half:], two).argmin(axis=1)
+            before += [cells_before(d1, d2, p, q) for p, q in zip(i, j)]
+        cells = int(min(k * k, max(cells, np.quantile(before, recall, method="higher") + 1))) if before else cells
 
     def place_in(batches):
         for batch in batches:
             m = unit(batch.column("u")) if len(batch) else np.zeros((0, d))
             d1, d2 = distances(m[:, :half], one), distances(m[:, half:], two)
             own = d1.argmin(axis=1) * k + d2.argmin(axis=1)
-            visits = visits_of(d1, d2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64()), pa.array(visits, pa.list_(pa.int64()))], names=[*batch.schema.names, "own", "visits"])
+            visits = [[i * k + j for i, j in traverse(x, y, cells)] for x, y in zip(d1, d2)]
+            farthest = [x[some[-1] // k] + y[some[-1] % k] for x, y, some in zip(d1, d2, visits)]  # they ascend
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64()), pa.array(visits, pa.list_(pa.int64())), pa.array(farthest, pa.float64())], names=[*batch.schema.names, "own", "visits", "farthest"])
 
-    placed = materialize(vertices.select("vertex", "label", "u", "w").mapInArrow(place_in, f"vertex long, label string, u {kind}, w long, own long, visits array<long>"), "placed")
-    v = placed.select("vertex", "label", "u", F.explode("visits").alias("cell"))
-    r = placed.select("vertex", "label", "u", "w", F.col("own").alias("cell"))
+    placed = materialize(vertices.select("vertex", "label", "u", "w").mapInArrow(place_in, f"vertex long, label string, u {kind}, w long, own long, visits array<long>, farthest double"), "placed")
+    v = placed.select("vertex", "label", "u", "w", "own", F.explode("visits").alias("cell"))
+    r = placed.select("vertex", "label", "u", "w", "farthest", F.col("own").alias("cell"))
     held = r.groupBy("label", "cell").agg(F.count("*").alias("residents"))
     come = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("visitors"))
-    cut = held.join(come, ["label", "cell"]).select("label", "cell", F.ceil(F.col("residents") / residents).cast("int").alias("nr"), F.ceil(F.col("visitors") / visitors).cast("int").alias("nv"))
+    cut = held.join(come, ["label", "cell"]).select("label", "cell", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("nr"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("nv"))
     cut = materialize(cut, "cells")
     h = F.xxhash64("vertex")
     v = v.join(cut, ["label", "cell"]).withColumn("vb", F.pmod(h, "nv").cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
@@ -195,15 +198,20 @@ def _search(vertices: DataFrame, d: int, kind: str, cosine: float, recall: float
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if len(left) and len(right):
-            m, m_id, weight = unit(right.column("u")), right.column("vertex").to_numpy(), right.column("w").to_numpy()
+            m, m_id, weight, farthest = unit(right.column("u")), *(right.column(c).to_numpy() for c in ("vertex", "w", "farthest"))
             for lo in range(0, len(left), VISITORS):
                 part = left.slice(lo, VISITORS)
-                links = compare(unit(part.column("u")), part.column("vertex").to_numpy(), m, m_id, weight, cosine)
+                own = part.column("own").to_numpy()
+
+                def returned(own=own) -> np.ndarray:
+                    return (distances(m[:, :half], one[own // k]) + distances(m[:, half:], two[own % k]) <= farthest[:, None] + 1e-9).T
+
+                links = compare(unit(part.column("u")), part.column("vertex").to_numpy(), m, m_id, part.column("w").to_numpy(), weight, cosine, returned)
                 found += [(i, c, root) for i, (c, root) in links.items()]
         return pa.table({"vertex": pa.array([x[0] for x in found], pa.int64()), "n": pa.array([x[1] for x in found], pa.int64()), "root": pa.array([x[2] for x in found], pa.int64())})
 
     key = ("label", "cell", "rb", "vb")
-    v, r = v.select("vertex", "u", *key), r.select("vertex", "u", "w", *key)
+    v, r = v.select("vertex", "u", "w", "own", *key), r.select("vertex", "u", "w", "farthest", *key)
     v, r = v.toDF(*v.columns), r.toDF(*r.columns)
     found = v.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(block, "vertex long, n long, root long")
     return materialize(found, "found")
@@ -219,7 +227,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     vec_id has no links, a null component and is not kept; rows that repeat a vec_id are one vector. Codebooks are trained on at
     most TRAIN vectors a centroid. The number of visited cells is measured on MEASURED vectors against all
     others, each with the same say however many links it has, and on more, up to MEASURED_MOST, until ENOUGH
-    of them have links or all are measured; else no cell within reach of the cosine is left out. Every row
+    of them have links or all are measured; else on MADE neighbours of MADE_FOR vectors too. Every row
     is indexed and searched.
     """
     ids = vectors.select(F.col("vec_id").cast("long"))

@@ -114,18 +114,42 @@ def test_ids_repeated_with_copies_and_other_vectors(spark):
 @pytest.mark.parametrize("most", [25_600, 400])  # all vectors are measured; links stay too rare to measure
 def test_rare_links_are_found(spark, monkeypatch, most):
     monkeypatch.setattr(multi_index, "IN_CELL", 10)
-    monkeypatch.setattr(multi_index, "IN_COARSE", 300, raising=False)
     monkeypatch.setattr(multi_index, "MEASURED_MOST", most, raising=False)
     found, true = found_and_true(spark, planted(4_000, 40, 0, most=0.94, d=32))
     assert true.sum() == 80 and (found == true).all()
 
 
-def test_bound_of_a_cell():
+def test_neighbours_are_made_at_the_cosine():
     rng = np.random.default_rng(6)
-    x, centre = rng.normal(size=(300, 5)), rng.normal(size=(9, 5))
-    near = multi_index.distances(x, centre)
-    bound, own = multi_index.to_cells(near, centre), near.argmin(axis=1)
-    assert (bound[:, own] <= multi_index.distances(x, x) + 1e-9).all() and (bound > 0).any()
+    a = rng.normal(size=(40, 9))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    made = multi_index.made_neighbours(a, 0.93, 5)
+    assert np.allclose((made * a[:, None]).sum(axis=2), 0.93) and np.allclose(np.linalg.norm(made, axis=2), 1)
+    assert np.array_equal(made, multi_index.made_neighbours(a, 0.93, 5))
+
+
+@pytest.mark.parametrize("k", [8, 24])
+def test_few_cells_hold_nearly_all_made_neighbours(k):
+    """Where nothing is known of links, the cells to visit are a falling share of the grid and still reach fresh neighbours."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one, two = multi_index.codebook(x[: 64 * k, :16], k), multi_index.codebook(x[: 64 * k, 16:], k)
+
+    def ranks(some, others):
+        out = []
+        for v, near in zip(some, others):
+            d1, d2 = multi_index.distances(v[None, :16], one)[0], multi_index.distances(v[None, 16:], two)[0]
+            i, j = multi_index.distances(near[:, :16], one).argmin(axis=1), multi_index.distances(near[:, 16:], two).argmin(axis=1)
+            out += [multi_index.cells_before(d1, d2, p, q) for p, q in zip(i, j)]
+        return np.array(out)
+
+    cells = np.quantile(ranks(x[:600], multi_index.made_neighbours(x[:600], 0.93, 16)), 0.999, method="higher") + 1
+    c = rng.uniform(0.93, 0.99, size=(600, 1, 1))
+    aside = rng.normal(size=(600, 1, 32))
+    aside -= (aside * x[-600:, None]).sum(axis=2, keepdims=True) * x[-600:, None]
+    fresh = c * x[-600:, None] + np.sqrt(1 - c**2) * aside / np.linalg.norm(aside, axis=2, keepdims=True)
+    assert (ranks(x[-600:], fresh) < cells).mean() > 0.99 and cells < {8: 0.7, 24: 0.35}[k] * k * k
 
 
 def test_vectors_of_several_lengths(spark):
