@@ -99,11 +99,13 @@ def log_d_stats(valid: DataFrame, split: float = -1.75) -> DataFrame:
 
 
 def track_features(tracks: DataFrame, frame_rate: float = 50.0) -> DataFrame:
-    """n, duration_s, displacement (first to last row) and range (diagonal of the bounds) of each track."""
-    p = F.struct("x", "y")
+    """n, duration_s, displacement (first to last row) and range (diagonal of the bounds) of each track. Rows without a
+    finite coordinate or a frame count in n only; a track of such rows has no displacement or range."""
+    fine = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & F.col("frame").isNotNull(), F.lit(False))
+    p, frame, x, y = F.struct("x", "y"), *(F.when(fine, F.col(c)) for c in ("frame", "x", "y"))
     t = tracks.groupBy(*TRACK).agg(
-        F.count("*").alias("n"), ((F.max("frame") - F.min("frame") + 1) / frame_rate).alias("duration_s"), F.min_by(p, "frame").alias("a"), F.max_by(p, "frame").alias("b"),
-        (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"),
+        F.count("*").alias("n"), ((F.max("frame") - F.min("frame") + 1) / frame_rate).alias("duration_s"), F.min_by(p, frame).alias("a"), F.max_by(p, frame).alias("b"),
+        (F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h"),
     )
     return t.select(*TRACK, "n", "duration_s", F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")).alias("displacement"), F.hypot("w", "h").alias("range"))
 
