@@ -227,7 +227,7 @@ def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity
     """Cues that only toxic texts use, and weak ones."""
 
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1_000_000):
             for text in batch.column("text").to_pylist():
                 words = LETTERS.findall(lowered(text))
                 found = list(set(zip(words, ["", *words])))
@@ -246,7 +246,7 @@ def _learn_cues(rows: DataFrame, contexts: int, texts: int, share: float, purity
     wanted = rows.sparkSession.sparkContext.broadcast(frozenset(r.cue for r in bad.select("cue").collect()))
 
     def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1_000_000):
             pairs: set = set()
             for text in batch.column("text").to_pylist():
                 words = LETTERS.findall(lowered(text))
@@ -297,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, contexts:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1_000_000):
             seen: Counter = Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 seen[(tuple(shared.value.matches(text)), toxic)] += 1
@@ -326,7 +326,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1_000_000):
             counts = np.array([shared.value.matches(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(PATTERNS) + 1)
             p = shared.value.probability(counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
