@@ -58,6 +58,31 @@ class Blocks:
         return found.withColumnRenamed("_node", "block")
 
 
+    def close(self, radius: float) -> tuple[DataFrame, DataFrame]:
+        """Which nodes lie near the blocks of a file: file_id, a (a block), level and node of nodes no point of which is farther
+        than radius from any point of the block (the highest such nodes), and file_id, a and b of the blocks that have
+        points nearer and may have others. A dense region is few nodes to its blocks, however many blocks it is."""
+        box = ("x0", "x1", "y0", "y1")
+        own = self.levels[0].select("file_id", F.col("node").alias("a"), *[F.col(c).alias(f"a{c}") for c in box])
+        span = lambda lo, hi: F.greatest(F.col(f"{lo}") - F.col(f"a{hi}"), F.col(f"a{lo}") - F.col(f"{hi}"), F.lit(0.0))
+        whole = lambda lo, hi: F.greatest(F.col(f"{hi}") - F.col(f"a{lo}"), F.col(f"a{hi}") - F.col(f"{lo}"))
+        least, most = F.hypot(span("x0", "x1"), span("y0", "y1")), F.hypot(whole("x0", "x1"), whole("y0", "y1"))
+        inside, found = None, None
+        for depth in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[depth].select("file_id", F.col("node").alias("_node"), F.col("parent").alias("_parent"), *box)
+            if found is None:
+                top = F.broadcast(level) if level.count() <= 10_000 else level
+                met = own.join(top, "file_id")
+            else:
+                met = found.join(level, ["file_id", "_parent"])
+            met = met.withColumn("_in", most <= radius * (1 - 1e-12)).filter(least <= radius * (1 + 1e-12))
+            met = materialize(met.select("file_id", "a", *[f"a{c}" for c in box], "_node", "_in"), "close")
+            some = met.filter("_in").select("file_id", "a", F.lit(depth).alias("level"), F.col("_node").alias("node"))
+            inside = some if inside is None else inside.unionByName(some)
+            found = met.filter("NOT _in").drop("_in").withColumnRenamed("_node", "_parent")
+        return inside, found.select("file_id", "a", F.col("_parent").alias("b"))
+
+
 def blocks_of(places: DataFrame, size: int = SIZE) -> Blocks:
     """Blocks of the rows of places (file_id, x, y and others; finite and distinct by file_id, x and y): `size` to twice as
     many rows each, fewer only in a file that has fewer."""
@@ -80,6 +105,11 @@ def blocks_of(places: DataFrame, size: int = SIZE) -> Blocks:
         level = level.drop("node").withColumnRenamed("parent", "node")
 
 
+def at_level(rows: DataFrame, depth: int) -> DataFrame:
+    """rows (with block) with level and node, the node of that level above their block."""
+    return rows.withColumn("node", F.floor(F.col("block") / FAN**depth)).withColumn("level", F.lit(depth))
+
+
 def dealt(asks: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both with `part`: the searches of a block (file_id, block) dealt into parts of about ASKS by a hash, and the rows of
     the block repeated for each part."""

@@ -8,13 +8,15 @@ join is an equi-join and no file is compared with itself as a whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spotflow.operators.blocks import SIZE, blocks_of, box_distance, dealt
-from spotflow.operators.components import connected_components
+from spotflow.operators.blocks import SIZE, at_level, blocks_of, box_distance, dealt
+from spotflow.operators.components import connected_components, smallest_reachable
 from spotflow.operators.ordered import ordinals
 from spotflow.session import materialize
 
@@ -23,6 +25,8 @@ FWHM = 2 * math.sqrt(2 * math.log(2))
 POINT = ("file_id", "point_id")
 #: Edges of a ring in one of its strips.
 EDGES_IN_STRIP = 8
+#: Positions in a block whose points are compared with each other, to twice as many.
+IN_BLOCK = SIZE
 
 
 def finite_points(points: DataFrame) -> DataFrame:
@@ -51,29 +55,102 @@ def neighbours(points: DataFrame, radius: float) -> DataFrame:
     return pairs.filter(F.col("distance") <= radius).select("file_id", "a", "b", "distance")
 
 
+def _pairs_of_blocks(near: DataFrame, left: DataFrame, right: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run over pairs of blocks (file_id, a, b): it gets the columns of left (rows with block) under a_ and those of right under b_,
+    as lists, a pair a row."""
+
+    def packed(rows: DataFrame, side: str) -> DataFrame:
+        names = [c for c in rows.columns if c not in ("file_id", "block")]
+        all_of = rows.groupBy("file_id", F.col("block").alias(side)).agg(F.collect_list(F.struct(*names)).alias("_l"))
+        return all_of.select("file_id", side, *[F.col(f"_l.{c}").alias(f"{side}_{c}") for c in names])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {n: batch.column(n)[i].values for n in batch.schema.names if n[:2] in ("a_", "b_")}
+                yield from pa.table(run({n: v.to_numpy(zero_copy_only=False) for n, v in one.items()})).to_batches()
+
+    met = near.join(packed(left, "a"), ["file_id", "a"]).join(packed(right, "b"), ["file_id", "b"])
+    return met.drop("file_id", "a", "b").mapInArrow(kernel, schema)
+
+
+def _apart(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Distances between the points of two blocks."""
+    dx, dy = c["a_x"][:, None] - c["b_x"][None], c["a_y"][:, None] - c["b_y"][None]
+    return np.sqrt(dx * dx + dy * dy)
+
+
 def dbscan(points: DataFrame, epsilon: float, min_pts: int) -> DataFrame:
     """points with n_near (points within epsilon, itself included), is_core (n_near >= min_pts) and cluster.
 
     Clusters are the connected components of core points, numbered from 1 within a file by their smallest
     point_id; a border point takes the smallest cluster among its core neighbours; -1 is noise. Points without
     coordinates are noise with n_near 0. file_id and point_id together must name a point.
+
+    No pairs are written out. A block of points counts what lies in nodes of the tree that are within epsilon as a whole, and is
+    compared with the blocks at the edge only, of which a task returns counts, a spanning set of links and the
+    smallest cluster of each border point.
     """
-    pairs = materialize(neighbours(points, epsilon), "near")
-    near = pairs.groupBy("file_id", F.col("a").alias("point_id")).agg(F.count("*").alias("n_near"))
-    rows = points.join(near, [*POINT], "left").na.fill({"n_near": 0})
-    rows = materialize(rows.withColumn("is_core", F.col("n_near") >= min_pts).withColumn("_node", F.monotonically_increasing_id()), "density")
-    core = rows.filter("is_core").select(*POINT, "_node")
-    x, y = core.toDF("file_id", "a", "na"), core.toDF("file_id", "b", "nb")
-    linked = pairs.filter("a <= b").join(x, ["file_id", "a"]).join(y, ["file_id", "b"]).select("na", "nb")
-    roots = connected_components(linked, "na", "nb").select(F.col("node").alias("_node"), "component")
-    first = materialize(core.join(roots, "_node"), "roots")
-    lowest = first.groupBy("file_id", "component").agg(F.min("point_id").alias("lowest"))
+    p = finite_points(points).select(F.col("file_id").cast("long").alias("file_id"), "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    places = p.groupBy("file_id", "x", "y").agg(F.count("*").alias("w"), F.min("point_id").alias("first")).withColumn("v", F.monotonically_increasing_id())
+    blocks = blocks_of(materialize(places, "places"), IN_BLOCK)
+    inside, near = blocks.close(epsilon)
+    depths = [r.level for r in inside.select("level").distinct().collect()]  # none where no block is near as a whole
+    own = blocks.places.select("file_id", "block", "v", "x", "y", "w")
+
+    def in_nodes(rows: DataFrame) -> DataFrame:
+        """rows once for each level that nodes within epsilon are of, with level and node."""
+        return reduce(DataFrame.unionByName, [at_level(rows, depth) for depth in depths])
+
+    def of_nodes(rows: DataFrame, value: Column, name: str, total: Callable) -> DataFrame:
+        """file_id, block and name: a total over the rows in all nodes within epsilon of the block as a whole."""
+        sums = in_nodes(rows).groupBy("file_id", "level", "node").agg(value.alias(name))
+        return inside.join(sums, ["file_id", "level", "node"]).groupBy("file_id", F.col("a").alias("block")).agg(total(name).alias(name))
+
+    def counted(c: dict[str, np.ndarray]) -> dict:
+        n = (_apart(c) <= epsilon) @ c["b_w"]
+        return {"v": c["a_v"][n > 0], "n": n[n > 0]}
+
+    edge = _pairs_of_blocks(near, own.select("file_id", "block", "v", "x", "y"), own, counted, "v long, n long").groupBy("v").agg(F.sum("n").alias("n_near"))
+    dense = own.join(edge, "v", "left").na.fill({"n_near": 0})
+    if depths:
+        dense = dense.join(of_nodes(own, F.sum("w"), "whole", F.sum), ["file_id", "block"], "left").withColumn("n_near", F.col("n_near") + F.coalesce("whole", F.lit(0))).drop("whole")
+    dense = materialize(dense.withColumn("is_core", F.col("n_near") >= min_pts), "density")
+    core = dense.filter("is_core").select("file_id", "block", "v", "x", "y")
+
+    def linked(c: dict[str, np.ndarray]) -> dict:
+        i, j = np.nonzero(_apart(c) <= epsilon)
+        ends, lowest = smallest_reachable(c["a_v"][i], c["b_v"][j]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return {"s": ends, "t": lowest}
+
+    links = _pairs_of_blocks(near.filter("a <= b"), core, core, linked, "s long, t long").unionByName(core.select(F.col("v").alias("s"), F.col("v").alias("t")))
+    if depths:
+        # all core points of a block and of a node within epsilon of it are linked: each is to a vertex that stands for them
+        nodes = materialize(in_nodes(core).join(inside.select("file_id", "level", "node").distinct(), ["file_id", "level", "node"], "left_semi").select("file_id", "level", "node", "v"), "in_nodes")
+        names = materialize(nodes.select("file_id", "level", "node").distinct().withColumn("t", -1 - F.monotonically_increasing_id()), "nodes")
+        of_block = inside.withColumnRenamed("a", "block").join(names, ["file_id", "level", "node"]).groupBy("file_id", "block").agg(F.collect_set("t").alias("t"))
+        links = links.unionByName(nodes.join(names, ["file_id", "level", "node"]).select(F.col("v").alias("s"), "t"))
+        links = links.unionByName(core.join(of_block, ["file_id", "block"]).select(F.col("v").alias("s"), F.explode("t").alias("t")))
+    roots = connected_components(links, "s", "t").filter("node >= 0")
+    first = materialize(core.join(roots.select(F.col("node").alias("v"), "component"), "v").join(blocks.places.select("v", "first"), "v"), "roots")
+    lowest = first.groupBy("file_id", "component").agg(F.min("first").alias("lowest"))
     numbers = ordinals(lowest, ["file_id"], ["lowest", "component"], "cluster")
-    of_core = materialize(first.join(numbers, ["file_id", "component"]).select(*POINT, "cluster"), "core")
-    border = pairs.join(of_core.select("file_id", F.col("point_id").alias("b"), "cluster"), ["file_id", "b"])
-    border = border.groupBy("file_id", F.col("a").alias("point_id")).agg(F.min("cluster").alias("border"))
-    out = rows.join(of_core, [*POINT], "left").join(border, [*POINT], "left")
-    return out.select(*points.columns, "n_near", "is_core", F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
+    of_core = materialize(first.join(numbers, ["file_id", "component"]).select("file_id", "block", "v", "x", "y", "cluster"), "core")
+
+    def least(c: dict[str, np.ndarray]) -> dict:
+        of = np.where(_apart(c) <= epsilon, c["b_cluster"][None], np.iinfo(np.int64).max).min(axis=1)
+        some = of < np.iinfo(np.int64).max
+        return {"v": c["a_v"][some], "border": of[some]}
+
+    rest = dense.filter("NOT is_core").select("file_id", "block", "v", "x", "y")
+    border = _pairs_of_blocks(near, rest, of_core, least, "v long, border long")
+    if depths:
+        border = border.unionByName(rest.join(of_nodes(of_core, F.min("cluster"), "border", F.min), ["file_id", "block"]).select("v", "border"))
+    border = border.groupBy("v").agg(F.min("border").alias("border"))
+    known = dense.join(of_core.select("v", "cluster"), "v", "left").join(border, "v", "left").select("file_id", "x", "y", "n_near", "is_core", F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
+    known = p.join(known, ["file_id", "x", "y"]).select(*POINT, "n_near", "is_core", "cluster").toDF("_f", "_p", "_n", "_core", "_cluster")
+    out = points.join(known, (F.col("file_id") == F.col("_f")) & (F.col("point_id") == F.col("_p")), "left")
+    return out.select(*points.columns, F.coalesce("_n", F.lit(0)).alias("n_near"), F.coalesce("_core", F.lit(0) >= min_pts).alias("is_core"), F.coalesce("_cluster", F.lit(-1)).alias("cluster"))
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from spotflow.operators import display, ordered, overlap, sets, spatial
+from spotflow.operators import blocks, display, ordered, overlap, sets, spatial
 
 POINTS = "file_id long, point_id long, x double, y double, n int, cluster_name string"
 
@@ -26,8 +26,15 @@ def fine(r):
     return r[2] is not None and math.isfinite(r[2])
 
 
-def test_dbscan_of_two_files_with_equal_ids(spark, rows):
+@pytest.mark.parametrize("size,fan", [(256, 64), (3, 2)])
+def test_dbscan_of_two_files_with_equal_ids(spark, rows, monkeypatch, size, fan):
+    monkeypatch.setattr(spatial, "IN_BLOCK", size)
+    monkeypatch.setattr(blocks, "FAN", fan)
     eps, least = 3.0, 4
+    rng = np.random.default_rng(21)
+    spots = [(x, y, n) for x, y, n in ((20.0, 20.0, 80), (60.0, 20.0, 50), (63.2, 20.0, 3), (200.0, 5.0, 40))]
+    more = np.concatenate([rng.normal(size=(n, 2)) * 0.4 + (x, y) for x, y, n in spots])
+    rows = [*rows, *[(0, 200 + i, *map(float, p)) for i, p in enumerate(more)], (0, 400, *map(float, more[0])), (0, 401, *map(float, more[0]))]
     want = {}
     for f in (0, 1, 2):
         own = [r for r in rows if r[0] == f and fine(r)]
