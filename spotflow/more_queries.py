@@ -74,7 +74,8 @@ def variance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = A.pixels(spark, sf_dir)
     maps = I.variance_map(pixels).select(F.lit(7).alias("noise_id"), "row", "col", (F.col("variance") / 1e6).alias("variance"))
     peaks = pixels.select((F.col("frame") % 2).alias("file_id"), "frame", "row", "col")
-    return rounded(L.with_variance(peaks, spark.createDataFrame([(0, 7)], "file_id int, noise_id int"), maps))
+    routes = peaks.select("file_id").distinct().filter("file_id = 0").withColumn("noise_id", F.lit(7))
+    return rounded(L.with_variance(peaks, routes, maps))
 
 
 # -- tracking ------------------------------------------------------------------------------------
@@ -461,11 +462,19 @@ def near_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.near_rows(lines, A.table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") * F.col("p_size")).alias("y")), 1.0)
 
 
-@query("SELECT path, o AS old_value, n AS new_value FROM (VALUES ('tracking max gap close', '4', '2'), ('cluster Voronoi alpha', '2.0', NULL), ('cluster Voronoi beta', NULL, '1.0'), ('localization limits photons upper', 'inf', '900.0')) v(path, o, n)")
+@query(
+    """WITH f AS (SELECT c_custkey AS file_id FROM customer)
+SELECT file_id, 'tracking max gap close' AS path, '4' AS old_value, CAST(file_id % 6 AS VARCHAR) AS new_value FROM f WHERE file_id % 6 <> 4
+UNION ALL SELECT file_id, 'cluster Voronoi alpha', '2.0', NULL FROM f WHERE file_id % 3 = 0 UNION ALL SELECT file_id, 'cluster Voronoi beta', NULL, '1.0' FROM f WHERE file_id % 2 = 0"""
+)
 def changed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = P.parameter_table(spark)
-    new = [(p, {"tracking max gap close": "2", "localization limits photons upper": "900.0"}.get(p, v)) for p, v in P.flatten(P.DEFAULTS) if p != "cluster Voronoi alpha"]
-    return P.changed(old, spark.createDataFrame([*new, ("cluster Voronoi beta", "1.0")], "path string, value string"))
+    """Every customer is a file whose parameters differ from the defaults in up to three places."""
+    files = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"))
+    old, k = P.parameters_of(files), F.col("file_id")
+    own = F.when(F.col("path") == "tracking max gap close", (k % 6).cast("string")).otherwise(F.col("value"))
+    new = old.filter((F.col("path") != "cluster Voronoi alpha") | (k % 3 != 0)).withColumn("value", own)
+    more = files.filter(k % 2 == 0).select("file_id", F.lit("cluster Voronoi beta").alias("path"), F.lit("1.0").alias("value"))
+    return P.changed(old, new.unionByName(more), ("file_id",))
 
 
 # -- displays ------------------------------------------------------------------------------------
@@ -486,14 +495,22 @@ def scale_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.scale_bars(axes, -9))
 
 
-@query(f"SELECT i, name, {', '.join(r(f'{c} / 255e0', c) for c in 'rgb')} FROM (VALUES {', '.join(str((i, *c)) for i, c in enumerate(D.DISTINCT, 1))}) v(i, name, r, g, b) WHERE i <= 4")
+NAMED = f"""(SELECT i, name, {', '.join(r(f'{c} / 255e0', c) for c in 'rgb')} FROM (VALUES {', '.join(str((i, *c)) for i, c in enumerate(D.DISTINCT, 1))}) v(i, name, r, g, b))"""
+
+
+@query(f"SELECT t.file_id, track_id, name, r, g, b FROM (SELECT DISTINCT file_id, track_id FROM ({A.TRACKS})) t JOIN {NAMED} c ON c.i = track_id % 4 + 1")
 def cycle_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.distinct_colors(spark, cycle=4))
+    """Tracks in the first four distinct colours by turns."""
+    colors = D.distinct_colors(spark, cycle=4).withColumnRenamed("i", "k")
+    tracks = A.tracks(spark, sf_dir).select("file_id", "track_id").distinct().withColumn("k", (F.col("track_id") % 4 + 1).cast("int"))
+    return rounded(tracks.join(colors, "k").drop("k"))
 
 
-@query(f"SELECT a.i, a.name, {', '.join(r(f'{c} / 255e0', c) for c in 'rgb')} FROM (VALUES {', '.join(str((i, *c)) for i, c in enumerate(D.DISTINCT, 1))}) v(k, name, r, g, b) JOIN (VALUES (1, 'cyan'), (2, 'red'), (3, 'teal')) a(i, name) ON a.name = v.name")
+@query(f"SELECT p.file_id, point_id, name, r, g, b FROM ({A.POINTS}) p JOIN (VALUES (0, 'cyan'), (1, 'red'), (2, 'teal')) a(k, name) ON k = class % 3 JOIN {NAMED} c USING (name)")
 def named_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.distinct_colors(spark, "cyan/red/teal"))
+    """Points in three named colours by their class."""
+    colors = D.distinct_colors(spark, "cyan/red/teal").withColumnRenamed("i", "k")
+    return rounded(A.points(spark, sf_dir).select("file_id", "point_id", (F.col("class") % 3 + 1).cast("int").alias("k")).join(colors, "k").drop("k"))
 
 
 def anchor(c: int) -> str:
@@ -501,21 +518,30 @@ def anchor(c: int) -> str:
     return f"({values}[k + 1] * (1 - t) + {values}[k + 2] * t) / 255"
 
 
-@query(f"SELECT CAST(256 - j AS INTEGER) AS i, {', '.join(r(anchor(c), n) for c, n in enumerate('rgb'))} FROM (SELECT j, k, j / (255e0 / 7) - k AS t FROM (SELECT j, CAST(least(floor(j / (255e0 / 7)), 6) AS INTEGER) AS k FROM range(256) g(j)))")
+@query(
+    f"""WITH n AS (SELECT file_id, CAST(least(floor(photons / 500), 255) + 1 AS INTEGER) AS i, count(*) AS n FROM ({A.LOCALIZATIONS}) GROUP BY ALL),
+c AS (SELECT CAST(256 - j AS INTEGER) AS i, {', '.join(r(anchor(c), n) for c, n in enumerate('rgb'))} FROM (SELECT j, k, j / (255e0 / 7) - k AS t FROM (SELECT j, CAST(least(floor(j / (255e0 / 7)), 6) AS INTEGER) AS k FROM range(256) g(j))))
+SELECT file_id, i, n, r, g, b FROM n JOIN c USING (i)"""
+)
 def reversed_plasma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.color_map(spark, "plasma", reverse=True))
+    """Localizations counted by the colour of their photons on the reversed map."""
+    level = (F.least(F.floor(F.col("photons") / 500), F.lit(255)) + 1).cast("int")
+    counts = A.localizations(spark, sf_dir).groupBy("file_id", level.alias("i")).agg(F.count("*").alias("n"))
+    return rounded(counts.join(D.color_map(spark, "plasma", reverse=True), "i"))
 
 
 DIM = "(CASE WHEN nm < 420 THEN 0.3e0 + 0.7e0 * (nm - 380) / 40 WHEN nm > 700 THEN 0.3e0 + 0.7e0 * (780 - nm) / 80 ELSE 1e0 END)"
 
 
 @query(
-    f"""SELECT CAST(nm AS INTEGER) AS nm, {r(f'{DIM} * CASE WHEN nm < 440 THEN (440 - nm) / 60e0 WHEN nm < 510 THEN 0 WHEN nm < 580 THEN (nm - 510) / 70e0 ELSE 1 END', 'r')},
+    f"""WITH n AS (SELECT 380 + l_partkey % 401 AS nm, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT CAST(nm AS INTEGER) AS nm, {r(f'{DIM} * CASE WHEN nm < 440 THEN (440 - nm) / 60e0 WHEN nm < 510 THEN 0 WHEN nm < 580 THEN (nm - 510) / 70e0 ELSE 1 END', 'r')},
 {r(f'{DIM} * CASE WHEN nm < 440 THEN 0 WHEN nm < 490 THEN (nm - 440) / 50e0 WHEN nm < 580 THEN 1 WHEN nm < 645 THEN (645 - nm) / 65e0 ELSE 0 END', 'g')},
-{r(f'{DIM} * CASE WHEN nm < 490 THEN 1 WHEN nm < 510 THEN (510 - nm) / 20e0 ELSE 0 END', 'b')} FROM range(380, 781) g(nm)"""
+{r(f'{DIM} * CASE WHEN nm < 490 THEN 1 WHEN nm < 510 THEN (510 - nm) / 20e0 ELSE 0 END', 'b')} FROM range(380, 781) g(nm)) SELECT c.nm, n, r, g, b FROM n JOIN c USING (nm)"""
 )
 def wavelength_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.wavelength_colors(spark))
+    """Rows counted by a wavelength, with its colour."""
+    counts = A.table(spark, sf_dir, "lineitem").groupBy((380 + F.col("l_partkey") % 401).cast("int").alias("nm")).agg(F.count("*").alias("n"))
+    return rounded(counts.join(D.wavelength_colors(spark), "nm"))
 
 
 # -- reports -------------------------------------------------------------------------------------

@@ -39,7 +39,13 @@ def parameter_table(spark: SparkSession, tree: dict = DEFAULTS) -> DataFrame:
     return spark.createDataFrame(flatten(tree), "path string, value string")
 
 
-def changed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """path, old_value and new_value of parameters whose values differ or that only one side has."""
-    both = old.select("path", F.col("value").alias("old_value")).join(new.select("path", F.col("value").alias("new_value")), "path", "full")
+def parameters_of(files: DataFrame, tree: dict = DEFAULTS) -> DataFrame:
+    """The parameters of the tree (path, value) for every row of files, with its columns."""
+    leaves = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(v).alias("value")) for p, v in flatten(tree)])
+    return files.select("*", F.explode(leaves).alias("_leaf")).select(*files.columns, "_leaf.path", "_leaf.value")
+
+
+def changed(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The columns `by`, path, old_value and new_value of parameters whose values differ or that only one side has."""
+    both = old.select(*by, "path", F.col("value").alias("old_value")).join(new.select(*by, "path", F.col("value").alias("new_value")), [*by, "path"], "full")
     return both.filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
