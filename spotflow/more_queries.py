@@ -201,6 +201,21 @@ def nastic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.withColumns({c: F.round(c, 4) for c in ("area", "x", "y")}))
 
 
+SHIFTED = f"SELECT file_id, track_id, frame, x - track_id * 61 % 397 * 0.95e0 AS x, y - track_id * 89 % 397 * 0.95e0 AS y FROM ({A.COMPACT_TRACKS})"
+
+
+@query(
+    f"""WITH RECURSIVE {TRACK_BOXES.replace(A.COMPACT_TRACKS, SHIFTED)}, {grouped('tb')},
+l AS (SELECT t.*, group_id, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM t JOIN groups g ON g.file_id = t.file_id AND g.id = t.track_id WINDOW w AS (PARTITION BY t.file_id, t.track_id ORDER BY frame)),
+s AS (SELECT file_id, group_id, track_id, frame, track_id * 1000000 + frame AS id, least(x, xb) AS x0, greatest(x, xb) AS x1, least(y, yb) AS y0, greatest(y, yb) AS y1 FROM l WHERE xb IS NOT NULL)
+SELECT a.file_id, a.track_id, a.frame, count(*) AS n_overlaps FROM s a JOIN s o ON a.file_id = o.file_id AND a.group_id = o.group_id AND a.track_id <> o.track_id AND a.x0 < o.x1 AND o.x0 < a.x1 AND a.y0 < o.y1 AND o.y0 < a.y1 GROUP BY ALL HAVING count(*) > 2"""
+)
+def busy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments that seg_nastic keeps."""
+    at = F.col("track_id")
+    return O.busy_segments(A.compact_tracks(spark, sf_dir).withColumn("x", F.col("x") - at * 61 % 397 * 0.95).withColumn("y", F.col("y") - at * 89 % 397 * 0.95))
+
+
 @query()
 def seg_nastic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hulls of grouped segments; tests/test_spatial.py holds them against plain Python."""

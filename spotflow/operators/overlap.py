@@ -163,11 +163,9 @@ def nastic(tracks: DataFrame, radius_factor: float = 1.0, min_tracks: int = 1, t
     return t.join(hull_areas(members, key), key).select(*key, "area", F.sqrt(4 * F.col("area") / F.pi()).alias("diameter"), "n", "x", "y")
 
 
-def seg_nastic(tracks: DataFrame, radius_factor: float = 1.0, overlaps: int = 2) -> DataFrame:
-    """Clusters of track segments: within a group of overlapping tracks, segments that strictly overlap more than
-    `overlaps` segments of other tracks are grouped by their boxes; a group of at least two segments makes a
-    convex hull. file_id, cluster, area, diameter of a circle of that area, n (centroids of all tracks of the file
-    inside), x and y of the hull's centroid; clusters with fewer than two centroids are dropped."""
+def _busy_segments(tracks: DataFrame, radius_factor: float, overlaps: int) -> tuple[DataFrame, DataFrame]:
+    """The segments (id, file_id, track_id, frame, xa, ya, xb, yb) of tracks in overlap groups, and the boxes of those that
+    strictly overlap more than `overlaps` segments of other tracks of their group, how many in n_overlaps."""
     groups = overlap_groups(track_boxes(tracks, radius_factor)).withColumnRenamed("id", "track_id")
     w = Window.partitionBy("file_id", "track_id").orderBy("frame")
     s = tracks.join(groups, ["file_id", "track_id"]).select("file_id", "track_id", "group_id", "frame", F.col("x").alias("xa"), F.col("y").alias("ya"), F.lead("x").over(w).alias("xb"), F.lead("y").over(w).alias("yb"))
@@ -176,8 +174,22 @@ def seg_nastic(tracks: DataFrame, radius_factor: float = 1.0, overlaps: int = 2)
     # a group of tracks is what a file is to overlap_pairs
     of_group = s.select(F.xxhash64("file_id", "group_id").alias("file_id"), "id", "track_id", *SIDES)
     pairs = overlap_pairs(of_group, strict=True, apart="track_id")
-    busy = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().filter(F.col("count") > overlaps).select("id")
-    busy = materialize(of_group.join(busy, "id", "left_semi"), "busy")
+    busy = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_overlaps")).filter(F.col("n_overlaps") > overlaps)
+    return s, materialize(of_group.join(busy, "id"), "busy")
+
+
+def busy_segments(tracks: DataFrame, radius_factor: float = 1.0, overlaps: int = 2) -> DataFrame:
+    """file_id, track_id, frame and n_overlaps of the segments that seg_nastic keeps."""
+    s, busy = _busy_segments(tracks, radius_factor, overlaps)
+    return s.join(busy.select("id", "n_overlaps"), "id").select("file_id", "track_id", "frame", "n_overlaps")
+
+
+def seg_nastic(tracks: DataFrame, radius_factor: float = 1.0, overlaps: int = 2) -> DataFrame:
+    """Clusters of track segments: within a group of overlapping tracks, segments that strictly overlap more than
+    `overlaps` segments of other tracks are grouped by their boxes; a group of at least two segments makes a
+    convex hull. file_id, cluster, area, diameter of a circle of that area, n (centroids of all tracks of the file
+    inside), x and y of the hull's centroid; clusters with fewer than two centroids are dropped."""
+    s, busy = _busy_segments(tracks, radius_factor, overlaps)
     cluster = overlap_groups(busy).select("id", F.col("group_id").alias("cluster"))
     big = cluster.groupBy("cluster").count().filter("count > 1").select("cluster")
     ends = s.join(cluster.join(big, "cluster"), "id").select("file_id", "cluster", F.explode(F.array(F.struct(F.col("xa").alias("x"), F.col("ya").alias("y")), F.struct(F.col("xb").alias("x"), F.col("yb").alias("y")))).alias("p"))
