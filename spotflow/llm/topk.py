@@ -6,8 +6,8 @@ sum over the first dimensions plus the product of the residual lengths (Cauchy-S
 score from above, and a candidate is computed in full only if its bound reaches the k-th best score
 so far; once the product of the whole lengths is below that, nothing further can count.
 
-Work is cut into tiles of bounded size: candidates by bands of length and a hash, queries by a hash.
-A tile whose longest candidate cannot reach a query's starting score doesn't see that query.
+Work is cut into tiles of bounded size: candidates by bands of length and a hash, queries by a hash. Both sides of a tile are as
+large as memory allows, as every vector is sent once for each tile of the other side that it meets. A tile whose longest candidate cannot reach a query's starting score doesn't see that query.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from spotflow.llm.vectors import finite, matrix
 from spotflow.session import materialize
 
-#: Candidates and queries of a tile, candidates looked at together, bands of length, longest vectors
-#: that give every query its starting score.
-CANDIDATES, QUERIES, STEP, BANDS, SEEDS = 16_384, 4_096, 1_024, 16, 512
+#: Numbers (dimensions times vectors) of a tile's candidates and of its queries, queries and candidates looked at
+#: together, bands of length, longest vectors that give every query its starting score.
+CELLS, QUERIES, STEP, BANDS, SEEDS = 1 << 22, 4_096, 1_024, 16, 512
 #: Share of the dimensions in the partial sums.
 FIRST = 0.25
 #: Whole numbers up to EXACT are exact in a double; a score is handed on as high * HIGH + low.
@@ -140,8 +140,9 @@ def _best(rows: DataFrame, d: int, k: int) -> DataFrame:
     cuts = [c for c in rows.approxQuantile("norm", [i / BANDS for i in range(1, BANDS)], 0.01)]
     band = sum(((F.col("norm") >= c).cast("int") for c in sorted(set(cuts))), F.lit(0))
     stats = rows.groupBy(band.alias("band")).agg(F.max("norm").alias("longest"), F.count("*").alias("n")).collect()  # BANDS rows
-    parts_of = {r.band: -(-r.n // CANDIDATES) for r in stats}
-    groups = max(1, -(-asked.count() // QUERIES))
+    most = max(8, CELLS // d)
+    parts_of = {r.band: -(-r.n // most) for r in stats}
+    groups = max(1, -(-asked.count() // most))
     parts = F.create_map(*[F.lit(x) for b, n in parts_of.items() for x in (b, n)])
     longest = F.array(*[F.struct(F.lit(r.band).alias("band"), F.lit(r.longest).alias("longest"), F.lit(parts_of[r.band]).alias("parts")) for r in stats])
     cands = rows.select("vec_id", "v", band.alias("band")).withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("band")]).cast("int"))
@@ -151,12 +152,16 @@ def _best(rows: DataFrame, d: int, k: int) -> DataFrame:
     seen = seen.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, found = left.column("query_id").to_numpy(), (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
-        if len(left) and len(right):
-            found = best_of_tile(matrix(left.column("v")), ids, left.column("start").to_numpy(), matrix(right.column("v")), right.column("vec_id").to_numpy(), turn, k)
-        score = [int(x) for x in found[2]]
+        query, other, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        c, c_id = (matrix(right.column("v")), right.column("vec_id").to_numpy()) if len(right) else (None, None)
+        for some in (left.slice(i, QUERIES) for i in range(0, len(left) if len(right) else 0, QUERIES)):
+            ids = some.column("query_id").to_numpy()
+            at, found, scores = best_of_tile(matrix(some.column("v")), ids, some.column("start").to_numpy(), c, c_id, turn, k)
+            query.append(ids[at])
+            other.append(found)
+            score += [int(x) for x in scores]
         high, low = pa.array([x >> HIGH for x in score], pa.int64()), pa.array([x & ((1 << HIGH) - 1) for x in score], pa.int64())
-        return pa.table({"query_id": pa.array(ids[found[0]], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "high": high, "low": low})
+        return pa.table({"query_id": pa.array(np.concatenate(query), pa.int64()), "vec_id": pa.array(np.concatenate(other), pa.int64()), "high": high, "low": low})
 
     key = ("band", "part", "group")
     return seen.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(tile, "query_id long, vec_id long, high long, low long")

@@ -57,7 +57,11 @@ def test_multi_sequence_order():
     assert sums == sorted(sums)
 
 
-def test_top_k_equals_all_pairs(vectors, rows):
+@pytest.mark.parametrize("cells,queries", [(1 << 22, 4_096), (16, 3)])
+def test_top_k_equals_all_pairs(vectors, rows, monkeypatch, cells, queries):
+    monkeypatch.setattr(topk, "CELLS", cells)
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    monkeypatch.setattr(topk, "BANDS", 3)
     use = [r for r in rows if whole(r[1])]
     ids = np.array([r[0] for r in use])
     m = np.floor(256 * np.array([r[1] for r in use], dtype=np.float32).astype(np.float64))
