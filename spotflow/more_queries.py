@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spotflow.operators import display as D, fits as T, image as I, localize as L, mobility as M, overlap as O, parameters as P, reports as R, rings as G, sets as U, shapes as H, spatial as S, tracking as K, voronoi as V
@@ -27,6 +28,16 @@ def detect_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.detect(I.frames_to_photons(frames), 1.3, 20000.0, 7).select("file_id", "frame", "x", "y")
 
 
+@query(
+    f"""WITH p AS ({A.PIXELS}), k AS (SELECT * FROM (VALUES {', '.join(f'({i}, {j}, {(3 - abs(i)) * (2 - abs(j)) / 36!r}e0)' for i in (-2, -1, 0, 1, 2) for j in (-1, 0, 1))}) v(i, j, v))
+SELECT a.file_id, a.frame, a.row, a.col, {r('sum(b.adu * k.v)', 'filtered', 4)} FROM p a JOIN k ON true JOIN p b ON b.file_id = a.file_id AND b.frame = a.frame AND b.row = a.row - k.i AND b.col = a.col - k.j GROUP BY ALL"""
+)
+def pixel_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tent of five by three over pixels as they are, for sparse images: no frame is put together."""
+    tent = [[(3 - abs(i)) * (2 - abs(j)) / 36 for j in (-1, 0, 1)] for i in (-2, -1, 0, 1, 2)]
+    return rounded(I.convolve(A.pixels(spark, sf_dir), np.array(tent)), 4)
+
+
 ADAPTIVE = f"""l AS ({A.LOCALIZATIONS}), m AS (SELECT file_id, median(photons) AS m FROM l GROUP BY file_id),
 d AS (SELECT file_id, any_value(m) AS m, median(abs(photons - m)) AS d FROM l JOIN m USING (file_id) GROUP BY file_id),
 u AS (SELECT file_id, m + 2.5e0 * 1.4826e0 * d AS upper, m - 2.5e0 * 1.4826e0 * d AS lower FROM d),
