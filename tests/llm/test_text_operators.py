@@ -325,7 +325,7 @@ def test_article_and_main_do_not_hide_other_text():
 
 
 def test_dense_lines_between_surge_and_dive():
-    lines = [("Home", 4, False), ("x" * 200, 0, False), ("short", 0, False), ("y" * 150, 0, False), ("Imprint", 7, False), ("Contact", 7, False), ("Terms", 5, False)]
+    lines = [html.Line(text, linked, int(linked > 0), (0,), False, False) for text, linked in (("Home", 4), ("x" * 200, 0), ("short", 0), ("y" * 150, 0), ("Imprint", 7), ("Contact", 7), ("Terms", 5))]
     assert html.main_lines(lines) == ["x" * 200, "short", "y" * 150]
     assert json.dumps(html.main_lines([])) == "[]"
 
