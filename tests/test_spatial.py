@@ -222,3 +222,31 @@ def test_points_in_long_and_small_rings_equal_counting_all_edges(spark):
     got = [tuple(r) for r in spatial.points_in_polygons(points(spark, at), polygons).collect()]
     want = {(f, i, p) for f, i, x, y in at for (g, p), ring in rings.items() if f == g and sum(((ay > y) != (by > y)) and x < ax + (y - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])) % 2}
     assert len(got) == len(set(got)) and set(got) == want | {(1, 900, 50)}
+
+
+def test_a_dense_spot_with_an_outlier_asks_no_more_than_spread_points(spark, monkeypatch):
+    """The searches across blocks, and the pairs of blocks that DBSCAN compares, do not grow with the density."""
+    rng = np.random.default_rng(2)
+    clouds = {"spread": rng.uniform(0, 1e4, (3000, 2)), "spot": np.concatenate([rng.normal(0, 1, (2999, 2)), [[1e6, 1e6]]])}
+    asked, compared, plain, close = {}, {}, spatial.dealt, blocks.Blocks.close
+    for name, cloud in clouds.items():
+        df = points(spark, [(0, i, float(x), float(y)) for i, (x, y) in enumerate(cloud)])
+
+        def counting(asks, rows, name=name):
+            asked[name] = asks.count()
+            return plain(asks, rows)
+
+        def counted(self, radius, name=name):
+            inside, near = close(self, radius)
+            compared[name] = near.count()
+            return inside, near
+
+        monkeypatch.setattr(spatial, "dealt", counting)
+        monkeypatch.setattr(blocks.Blocks, "close", counted)
+        got = {r.point_id: r.distance for r in spatial.knn_distance(df, 4).collect()}
+        for i in (0, 17, 2999):
+            assert math.isclose(got[i], float(np.sort(np.hypot(*(cloud - cloud[i]).T))[3]), rel_tol=1e-12)
+        n = spatial.dbscan(df, 20.0, 4).agg({"n_near": "sum"}).first()[0]
+        if name == "spot":
+            assert n == 2999 * 2999 + 1
+    assert asked["spot"] <= 2 * asked["spread"] and compared["spot"] <= 3 * compared["spread"]
