@@ -51,7 +51,7 @@ def neighbours(points: DataFrame, radius: float) -> DataFrame:
     a = a.select("file_id", F.col("point_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("cx") + F.col("to.i")).alias("cx"), (F.col("cy") + F.col("to.j")).alias("cy"))
     b = p.select("file_id", F.col("point_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    pairs = a.join(b, ["file_id", "cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    pairs = a.join(b.hint("merge"), ["file_id", "cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
     return pairs.filter(F.col("distance") <= radius).select("file_id", "a", "b", "distance")
 
 
