@@ -1,7 +1,8 @@
 """Masks from images by Otsu's threshold, the rings around them, and polygons cut by convex cells.
 
-The border of a mask is a table of pixel edges. Each edge names the one it goes on to; rings are the components of that
-relation, and an edge's place in its ring follows by pointer doubling, so that a ring of any length is put in
+Masks are cut into tiles of TILE by TILE pixels with a margin of one. A task walks along the pixel edges of its tiles; rings within
+a tile are whole, others are pieces that name the edge they go on to. Rings across tiles are the components of that
+relation, and a piece's place in its ring follows by pointer doubling, so that a ring of any length is put in
 order by joins.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -18,6 +20,11 @@ from spotflow.session import materialize
 
 #: Grey levels of an image's histogram.
 LEVELS = 256
+#: Pixels along a side of a tile, and the steps of the directions 0 right, 1 up, 2 left, 3 down; a pixel lies to the left of each of its edges.
+TILE, STEP = 128, ((1, 0), (0, 1), (-1, 0), (0, -1))
+#: A walk along edges within a tile: where it begins, its lowest edge, the edge in another tile it goes on to (null: the ring is whole), number of
+#: corners, twice its share of the area, corners before the lowest edge, and the corners.
+PIECE = ", ".join(["file_id long", *[f"{e}_{v} long" for e in ("head", "low", "to") for v in "yxd"], "n long, twice long, low_at long, xs array<long>, ys array<long>"])
 
 
 def grey_levels(pixels: DataFrame, value: str = "adu") -> DataFrame:
@@ -49,49 +56,125 @@ def otsu_mask(pixels: DataFrame, value: str = "adu") -> DataFrame:
     return rows.select("file_id", "row", "col", F.coalesce(F.col("level") > F.col("threshold"), F.lit(False)).alias("inside"))
 
 
+def _paths(f: np.ndarray, ty: np.ndarray, tx: np.ndarray, r: np.ndarray, c: np.ndarray) -> pa.Table:
+    """PIECE rows of whole tiles (file, tile row and column; sorted by them) from the rows and columns of their inside pixels, those of the
+    margin of one pixel included."""
+    new = np.concatenate([[True], (f[1:] != f[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1])])
+    tile, first, wide = np.cumsum(new) - 1, np.flatnonzero(new), TILE + 2
+    keys = np.unique((tile * wide + r - ty * TILE + 1) * wide + c - tx * TILE + 1)
+    of, y, x = keys // (wide * wide), keys // wide % wide, keys % wide
+    own = (y >= 1) & (y <= TILE) & (x >= 1) & (x <= TILE)
+    row, col = y - 1 + (ty[first] * TILE)[of], x - 1 + (tx[first] * TILE)[of]
+
+    def beside(k: np.ndarray, dx: int, dy: int) -> np.ndarray:
+        """Where the pixels beside the pixels k are; -1 outside the mask."""
+        want = keys[k] + dy * wide + dx
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        return np.where(keys[at] == want, at, -1)
+
+    found = []
+    for d, (dx, dy) in enumerate(STEP):
+        k = np.flatnonzero(own)
+        k = k[beside(k, dy, -dx) < 0]
+        left, right, turn = beside(k, dx, dy), beside(k, dx + dy, dy - dx), np.full(len(k), d)
+        # where pixels touch in a corner, the turn to the right leads around both
+        after = np.where(right >= 0, right, np.where(left >= 0, left, k)), (np.where(right >= 0, d + 3, np.where(left >= 0, d, d + 1))) % 4
+        left, right = beside(k, -dx, -dy), beside(k, dy - dx, -dx - dy)
+        before = np.where(right >= 0, right, np.where(left >= 0, left, k)), (np.where(right >= 0, d + 1, np.where(left >= 0, d, d + 3))) % 4
+        found.append((k, turn, *after, *before))
+    k, d, k2, d2, k0, d0 = (np.concatenate(v) for v in zip(*found))
+    corner = lambda k, d: (row[k] + (d >= 2), col[k] + ((d == 1) | (d == 2)))  # noqa: E731  where an edge begins
+    place = lambda k, d: ((of[k] * (wide + 1) + y[k] + (d >= 2)) * (wide + 1) + x[k] + ((d == 1) | (d == 2))) * 4 + d
+    order = np.argsort(place(k, d))
+    k, d, k2, d2, k0, d0 = (v[order] for v in (k, d, k2, d2, k0, d0))
+    at = place(k, d)
+    follow = np.where(own[k2], np.searchsorted(at, place(k2, d2)), -1).tolist()
+    seen, walk, starts = bytearray(len(k)), [], []
+    for e in (*np.flatnonzero(~own[k0]).tolist(), *range(len(k))):
+        if not seen[e]:
+            starts.append(len(walk))
+            while e >= 0 and not seen[e]:
+                seen[e] = 1
+                walk.append(e)
+                e = follow[e]
+    walk, starts = np.array(walk, np.int64), np.array(starts, np.int64)
+    ends = np.append(starts, len(walk))[1:]
+    (ys, xs), turns = corner(k[walk], d[walk]), (d0 != d)[walk]
+    dx, dy = np.array(STEP)[d[walk]].T
+    upto = np.concatenate([[0], np.cumsum(turns)])
+    n, sums = upto[ends] - upto[starts], np.concatenate([[0], np.cumsum(xs * (ys + dy) - (xs + dx) * ys)])
+    lows = np.minimum.reduceat(walk, starts) if len(starts) else starts
+    where = np.empty(len(k), np.int64)
+    where[walk] = np.arange(len(walk))
+    head, last = walk[starts], walk[ends - 1]
+    out = {"file_id": f[first][of[k[head]]]}
+    for name, (a, b) in {"head": (k[head], d[head]), "low": (k[lows], d[lows]), "to": (k2[last], d2[last])}.items():
+        gone = own[a] if name == "to" else np.zeros(len(a), bool)
+        out |= {f"{name}_{v}": pa.array(w, pa.int64(), mask=gone) for v, w in zip("yxd", (*corner(a, b), b))}
+    bounds = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+    lists = {v: pa.ListArray.from_arrays(bounds, pa.array(w[turns], pa.int64())) for v, w in (("xs", xs), ("ys", ys))}
+    return pa.table(out | {"n": n, "twice": sums[ends] - sums[starts], "low_at": upto[where[lows]] - upto[starts]} | lists)
+
+
+def _traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PIECE rows of pixels (file_id, ty, tx, r, c) sorted by tile, a batch of whole tiles at a time."""
+    held = np.zeros((5, 0), np.int64)
+    for batch in batches:
+        held = np.concatenate([held, np.stack([v.to_numpy(zero_copy_only=False) for v in batch.columns])], axis=1)
+        if held.shape[1]:
+            n = int(np.argmax((held[:3] == held[:3, -1:]).all(axis=0)))  # where the last tile begins
+            if n:
+                yield from _paths(*held[:, :n]).to_batches()
+            held = np.unique(held[:, n:], axis=1)
+    if held.shape[1]:
+        yield from _paths(*held).to_batches()
+
+
 def mask_rings(mask: DataFrame) -> DataFrame:
     """Corners (file_id, poly_id, is_hole, ord, x, y) of the rings around the inside pixels of a mask (file_id, row, col,
     inside), a pixel being the square from (col, row) to (col + 1, row + 1). Pixels that touch in a corner are in one
     ring. Outer rings have the mask on their left with y upwards, holes too, so that they turn the other way round. Corners on a
     straight line are left out. Rings are numbered from 1 in a file by their lowest edge (row, then column)."""
-    cells = mask.filter("inside").select(F.col("file_id").cast("long").alias("file_id"), F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c")).distinct()
-    side = lambda x, y, d: F.struct((F.col("c") + x).alias("x"), (F.col("r") + y).alias("y"), F.lit(d).alias("d"))
-    # directions 0 right, 1 up, 2 left, 3 down; the pixel lies to the left of each of its sides
-    sides = cells.select("file_id", F.explode(F.array(side(0, 0, 0), side(1, 0, 1), side(1, 1, 2), side(0, 1, 3))).alias("s")).select("file_id", "s.*")
-    dx, dy = (F.element_at(F.array(*[F.lit(v).cast("long") for v in step]), F.col("d") + 1) for step in ((1, 0, -1, 0), (0, 1, 0, -1)))
-    ends = sides.withColumn("x2", F.col("x") + dx).withColumn("y2", F.col("y") + dy)
-    # an edge between two inside pixels occurs in both directions
-    line = ends.groupBy("file_id", F.least("x", "x2").alias("u"), F.least("y", "y2").alias("v"), (F.col("d") % 2).alias("upright")).agg(F.count("*").alias("n"), F.first(F.struct("x", "y", "d", "x2", "y2")).alias("s"))
-    edges = line.filter("n = 1").select("file_id", "s.*")
-    edges = materialize(ordinals(edges, ["file_id"], ["y", "x", "d"], "_i").withColumn("e", F.monotonically_increasing_id()), "edges")
-    # where two edges begin in the end of one, pixels touch in a corner: the turn to the right leads around both
-    turn = F.pmod(F.col("d2") - F.col("d"), F.lit(4))
-    after = edges.select("file_id", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("d").alias("d2"), F.col("e").alias("next"))
-    met = edges.join(after, ["file_id", "x2", "y2"]).withColumn("_turn", F.when(turn == 3, 0).when(turn == 0, 1).otherwise(2))
-    steps = materialize(met.groupBy("e").agg(F.min_by("next", "_turn").alias("next")), "steps")
+    cells = mask.filter("inside AND file_id IS NOT NULL AND row IS NOT NULL AND col IS NOT NULL").select(F.col("file_id").cast("long").alias("file_id"), F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"))
+    # a pixel on the border of a tile is in the margin of its neighbours
+    tiles = lambda c: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda v: F.floor((F.col(c) + v) / TILE)))
+    inner = lambda c: F.pmod(F.col(c), F.lit(TILE)).between(1, TILE - 2)
+    own = lambda c: F.floor(F.col(c) / TILE)
+    border = cells.filter(~(inner("r") & inner("c"))).withColumn("ty", F.explode(tiles("r"))).withColumn("tx", F.explode(tiles("c")))
+    dealt = cells.filter(inner("r") & inner("c")).withColumn("ty", own("r")).withColumn("tx", own("c")).unionByName(border)
+    keys = ("file_id", "ty", "tx")
+    pieces = dealt.select(*keys, "r", "c").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_traced, PIECE)
+    pieces = materialize(pieces.withColumn("e", F.monotonically_increasing_id()), "pieces")
+    low, slim = F.struct("low_y", "low_x", "low_d"), ("e", "file_id", "n", "twice", "low_y", "low_x", "low_d", "low_at")
+    # far: corners from the beginning of a piece to that of its ring's first one
+    whole = pieces.filter("to_d IS NULL").select(*slim, F.col("e").alias("ring"), F.lit(0).cast("long").alias("far"))
+    parts = pieces.filter("to_d IS NOT NULL")
+    if not parts.isEmpty():
+        whole = whole.unionByName(_chained(parts, slim))
+    whole = materialize(whole, "ringed")
+    rings = whole.groupBy("file_id", "ring").agg(F.min(low).alias("_low"), F.sum("n").alias("_all"), (F.sum("twice") < 0).alias("is_hole"), F.min_by("low_at", low).alias("_first"))
+    rings = ordinals(rings.select("file_id", "ring", "_low.*", "_all", "_first", "is_hole"), ["file_id"], ["low_y", "low_x", "low_d"], "poly_id")
+    placed = whole.select("e", "file_id", "ring", "far").join(rings, ["file_id", "ring"])
+    placed = placed.select("e", "poly_id", "is_hole", "_all", (-F.col("far") - F.col("_first")).alias("_from"))
+    rows = pieces.select("e", "file_id", "xs", "ys").join(placed, "e").select("file_id", "poly_id", "is_hole", "_all", "_from", F.posexplode(F.arrays_zip("xs", "ys")).alias("k", "v"))
+    order = (F.pmod(F.col("_from") + F.col("k"), F.col("_all")) + 1).cast("int")
+    return rows.select("file_id", "poly_id", "is_hole", order.alias("ord"), F.col("v.xs").cast("double").alias("x"), F.col("v.ys").cast("double").alias("y"))
+
+
+def _chained(parts: DataFrame, slim: tuple[str, ...]) -> DataFrame:
+    """The columns slim of pieces that go on in other tiles with their ring, its component, and far."""
+    heads = parts.select("file_id", F.col("head_y").alias("to_y"), F.col("head_x").alias("to_x"), F.col("head_d").alias("to_d"), F.col("e").alias("next"))
+    steps = materialize(parts.select(*slim, "to_y", "to_x", "to_d").join(heads, ["file_id", "to_y", "to_x", "to_d"]).select(*slim, "next"), "steps")
     of = connected_components(steps, "e", "next").select(F.col("node").alias("e"), F.col("component").alias("ring"))
-    # e is numbered within its task, so that the first edge of a ring in reading order is looked up
-    ringed = materialize(edges.join(of, "e"), "ringed")
-    first = ringed.groupBy("file_id", "ring").agg(F.min("_i").alias("_first"))
-    firsts = ordinals(first, ["file_id"], ["_first"], "poly_id")
-    ringed = materialize(ringed.join(firsts, ["file_id", "ring"]), "numbered")
-    # steps from an edge to its ring's first one, doubled each round
-    start = ringed.filter("_i = _first").select("e", F.lit(True).alias("_stop"))
-    ranks = materialize(steps.join(start, "e", "left").select("e", F.when(F.col("_stop"), F.col("e")).otherwise(F.col("next")).alias("next"), F.when(F.col("_stop"), 0).otherwise(1).cast("long").alias("far")), "ranks")
-    while True:
-        ahead = ranks.select(F.col("e").alias("next"), F.col("next").alias("over"), F.col("far").alias("more"))
-        ranks = materialize(ranks.join(ahead, "next").select("e", F.col("over").alias("next"), (F.col("far") + F.col("more")).alias("far"), (F.col("more") > 0).alias("moved")), "ranks")
-        if ranks.filter("moved").isEmpty():
-            break
-        ranks = ranks.drop("moved")
-    rows = ringed.join(ranks.select("e", "far"), "e").withColumn("_at", F.when(F.col("far") == 0, F.lit(-(1 << 62))).otherwise(-F.col("far")))
-    w = Window.partitionBy("file_id", "poly_id").orderBy("_at")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag("d").over(w), F.last("d").over(whole))
-    area = F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")).over(whole)
-    corners = rows.withColumn("_before", before).withColumn("is_hole", area < 0).filter("d <> _before")
-    order = F.row_number().over(Window.partitionBy("file_id", "poly_id").orderBy("_at"))
-    return corners.select("file_id", "poly_id", "is_hole", order.alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    ringed = materialize(steps.join(of, "e"), "chained")
+    stop = ringed.groupBy("ring").agg(F.min_by("e", F.struct("low_y", "low_x", "low_d")).alias("e")).select("e", F.lit(True).alias("_stop"))
+    ranks = ringed.join(stop, "e", "left").select("e", F.when(F.col("_stop"), F.col("e")).otherwise(F.col("next")).alias("next"), F.when(F.col("_stop"), 0).otherwise(F.col("n")).cast("long").alias("far"), F.coalesce("_stop", F.lit(False)).alias("done"))
+    ranks = materialize(ranks, "ranks")
+    # doubled each round until every piece has come to the first one
+    while not ranks.filter("NOT done").isEmpty():
+        ahead = ranks.select(F.col("e").alias("next"), F.col("next").alias("over"), F.col("far").alias("more"), F.col("done").alias("end"))
+        ranks = materialize(ranks.join(ahead, "next").select("e", F.col("over").alias("next"), (F.col("far") + F.col("more")).alias("far"), F.col("end").alias("done")), "ranks")
+    return ringed.select(*slim, "ring").join(ranks.select("e", "far"), "e")
 
 
 Ring = list[tuple[float, float]]
