@@ -38,6 +38,12 @@ def box_distance(x: Column, y: Column, box: str = "") -> Column:
     return F.hypot(F.greatest(x0 - x, x - x1, zero), F.greatest(y0 - y, y - y1, zero))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over as many tasks as `spark.sql.shuffle.partitions` says. Points are few bytes and much work: by their
+    bytes, adaptive execution would put them all into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 @dataclass
 class Blocks:
     """places: the rows with `block` and `blocks`, how many their file has; levels: file_id, node, parent, x0, x1, y0, y1 and n of the blocks, then of the

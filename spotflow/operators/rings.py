@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from spotflow.operators.blocks import spread
 from spotflow.operators.components import connected_components
 from spotflow.operators.ordered import ordinals
 from spotflow.session import materialize
@@ -143,7 +144,7 @@ def mask_rings(mask: DataFrame) -> DataFrame:
     border = cells.filter(~(inner("r") & inner("c"))).withColumn("ty", F.explode(tiles("r"))).withColumn("tx", F.explode(tiles("c")))
     dealt = cells.filter(inner("r") & inner("c")).withColumn("ty", own("r")).withColumn("tx", own("c")).unionByName(border)
     keys = ("file_id", "ty", "tx")
-    pieces = dealt.select(*keys, "r", "c").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_traced, PIECE)
+    pieces = spread(dealt.select(*keys, "r", "c"), *keys).sortWithinPartitions(*keys).mapInArrow(_traced, PIECE)
     pieces = materialize(pieces.withColumn("e", F.monotonically_increasing_id()), "pieces")
     low, slim = F.struct("low_y", "low_x", "low_d"), ("e", "file_id", "n", "twice", "low_y", "low_x", "low_d", "low_at")
     # far: corners from the beginning of a piece to that of its ring's first one

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotflow.operators import components
+from spotflow.operators.blocks import spread
 from spotflow.operators.ordered import medians, ordinals, running_total
 from spotflow.operators.spatial import finite_points, knn_distance
 from spotflow.operators.voronoi import rings_of, voronoi_cells
@@ -173,7 +174,7 @@ def outer_rings(shape: DataFrame) -> DataFrame:
         n, first = len(ring), table.slice(0, 1).to_pylist()[0]
         return pa.table({"file_id": pa.array([first["file_id"]] * n, pa.int64()), "region": pa.array([first["region"]] * n, pa.int64()), "ord": pa.array(range(1, n + 1), pa.int32()), "x": ring[:, 0], "y": ring[:, 1]})
 
-    return region_sides(shape).groupBy("file_id", "region").applyInArrow(trace, "file_id long, region long, ord int, x double, y double")
+    return spread(region_sides(shape), "file_id", "region").groupBy("file_id", "region").applyInArrow(trace, "file_id long, region long, ord int, x double, y double")
 
 
 def grouped(points: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spotflow.operators.blocks import SIZE, at_level, blocks_of, box_distance, dealt
+from spotflow.operators.blocks import SIZE, at_level, blocks_of, box_distance, dealt, spread
 from spotflow.operators.components import connected_components, smallest_reachable
 from spotflow.operators.ordered import ordinals
 from spotflow.session import materialize
@@ -61,8 +61,8 @@ def _pairs_of_blocks(near: DataFrame, left: DataFrame, right: DataFrame, run: Ca
 
     def packed(rows: DataFrame, side: str) -> DataFrame:
         names = [c for c in rows.columns if c not in ("file_id", "block")]
-        all_of = rows.groupBy("file_id", F.col("block").alias(side)).agg(F.collect_list(F.struct(*names)).alias("_l"))
-        return all_of.select("file_id", side, *[F.col(f"_l.{c}").alias(f"{side}_{c}") for c in names])
+        all_of = spread(rows.withColumnRenamed("block", side), "file_id", side).groupBy("file_id", side).agg(F.collect_list(F.struct(*names)).alias("_l"))
+        return all_of.select("file_id", side, *[F.col(f"_l.{c}").alias(f"{side}_{c}") for c in names]).hint("shuffle_hash")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,14 +70,17 @@ def _pairs_of_blocks(near: DataFrame, left: DataFrame, right: DataFrame, run: Ca
                 one = {n: batch.column(n)[i].values for n in batch.schema.names if n[:2] in ("a_", "b_")}
                 yield from pa.table(run({n: v.to_numpy(zero_copy_only=False) for n, v in one.items()})).to_batches()
 
-    met = near.join(packed(left, "a"), ["file_id", "a"]).join(packed(right, "b"), ["file_id", "b"])
+    met = spread(near.join(packed(left, "a"), ["file_id", "a"]), "file_id", "b").join(packed(right, "b"), ["file_id", "b"])
     return met.drop("file_id", "a", "b").mapInArrow(kernel, schema)
 
 
 def _apart(c: dict[str, np.ndarray]) -> np.ndarray:
     """Distances between the points of two blocks."""
     dx, dy = c["a_x"][:, None] - c["b_x"][None], c["a_y"][:, None] - c["b_y"][None]
-    return np.sqrt(dx * dx + dy * dy)
+    dx *= dx
+    dy *= dy
+    dx += dy
+    return np.sqrt(dx, out=dx)
 
 
 def dbscan(points: DataFrame, epsilon: float, min_pts: int) -> DataFrame:
@@ -236,14 +239,14 @@ def knn_distance(points: DataFrame, k: int) -> DataFrame:
         qx, qy = asks.column("x").to_numpy(), asks.column("y").to_numpy()
         return found(asks.column("file_id"), qx, qy, *search(qx, qy, *(own.column(c).to_numpy() for c in ("x", "y", "w"))))
 
-    first = materialize(blocks.places.groupBy("file_id", "block").applyInArrow(within, kinds + ", block long"), "within")
+    first = materialize(spread(blocks.places, "file_id", "block").groupBy("file_id", "block").applyInArrow(within, kinds + ", block long"), "within")
     bound = F.when(F.aggregate("w", F.lit(0).cast("long"), lambda s, v: s + v) >= k, F.element_at("d", -1)).otherwise(float("inf"))
     asks = first.select("file_id", "x", "y", bound.alias("bound"), F.col("block").alias("_own"))
     asks = blocks.meet(asks, lambda: box_distance(F.col("x"), F.col("y")) < F.col("bound")).filter("block <> _own")
     asked = materialize(asks.select("file_id", "x", "y", "block"), "asks")
     left, right = dealt(asked, blocks.places)
     keys = ("file_id", "block", "part")
-    more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(across, kinds)
+    more = spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInArrow(across, kinds)
     every = first.drop("block").unionByName(more).select("file_id", "x", "y", F.arrays_zip("d", "w").alias("l"))
     merged = F.array_sort(F.flatten(F.collect_list("l")))
     step = lambda s, v: F.struct((s["n"] + v["w"]).alias("n"), F.when((s["n"] < k) & (s["n"] + v["w"] >= k), v["d"]).otherwise(s["d"]).alias("d"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.operators.blocks import SIZE, blocks_of, box_distance, dealt
+from spotflow.operators.blocks import SIZE, blocks_of, box_distance, dealt, spread
 from spotflow.operators.components import connected_components
 from spotflow.operators.ordered import ordinals
 from spotflow.operators.spatial import finite_points, first_rank_density
@@ -132,7 +132,7 @@ def voronoi_cells(points: DataFrame, margin: float = 0.0) -> DataFrame:
     far_ends = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))  # nothing lies farther apart
     box = box.select("file_id", (F.col("x0") - wide).alias("x0"), (F.col("x1") + wide).alias("x1"), (F.col("y0") - wide).alias("y0"), (F.col("y1") + wide).alias("y1"), far_ends.alias("across"))
     blocks = blocks_of(p.select("file_id", "node", "x", "y").join(box, "file_id"), IN_BLOCK)
-    left = materialize(blocks.places.groupBy("file_id", "block").applyInArrow(_of_block, CELL), "cells")
+    left = materialize(spread(blocks.places, "file_id", "block").groupBy("file_id", "block").applyInArrow(_of_block, CELL), "cells")
     places = blocks.places.select("file_id", "block", "node", "x", "y")
     columns = left.columns
     hypot = lambda v: F.hypot(v["cx"] - F.col("x"), v["cy"] - F.col("y"))
@@ -151,10 +151,10 @@ def voronoi_cells(points: DataFrame, margin: float = 0.0) -> DataFrame:
         found = materialize(found.select("file_id", "block", "node", "x", "y", "cx", "cy"), "asks")
         one, other = dealt(found, places)
         keys = ("file_id", "block", "part")
-        by = one.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(_cutters, "node long, q long, qx double, qy double")
+        by = spread(one, *keys).groupBy(*keys).cogroup(spread(other, *keys).groupBy(*keys)).applyInArrow(_cutters, "node long, q long, qx double, qy double")
         by = by.groupBy("node").agg(F.collect_list(F.struct("q", "qx", "qy")).alias("by"))
         rows = materialize(left.withColumn("reach", reach).join(by, "node", "left"), "cutters")
-        new = rows.filter("by IS NULL").select(*columns).unionByName(rows.filter("by IS NOT NULL").mapInArrow(_more_cuts, CELL))
+        new = rows.filter("by IS NULL").select(*columns).unionByName(spread(rows.filter("by IS NOT NULL"), "node").mapInArrow(_more_cuts, CELL))
         new = materialize(new, "cells")
         whole = new.filter(2 * far <= F.col("reach"))
         done, left = done.unionByName(whole), new.filter(2 * far > F.col("reach"))
@@ -250,4 +250,4 @@ def outlines(cells: DataFrame, members: DataFrame) -> DataFrame:
         n, first = len(ring), table.slice(0, 1).to_pylist()[0]
         return pa.table({"file_id": pa.array([first["file_id"]] * n, pa.int64()), "poly_id": pa.array([first["cluster"]] * n, pa.int64()), "ord": pa.array(range(1, n + 1), pa.int32()), "x": ring[:, 0], "y": ring[:, 1]})
 
-    return border_sides(cells, members).groupBy("file_id", "cluster").applyInArrow(trace, "file_id long, poly_id long, ord int, x double, y double")
+    return spread(border_sides(cells, members), "file_id", "cluster").groupBy("file_id", "cluster").applyInArrow(trace, "file_id long, poly_id long, ord int, x double, y double")
