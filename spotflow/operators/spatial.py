@@ -339,6 +339,38 @@ def first_rank_density(areas: DataFrame, edges: DataFrame) -> DataFrame:
     return ring.join(mean, "file_id").select(*POINT, (F.col("ring") * F.col("mean")).alias("density"))
 
 
+def density_within(areas: DataFrame, radius: float) -> DataFrame:
+    """first_rank_density of points (file_id, point_id, x, y, area) whose neighbours are all within radius. Points
+    without coordinates have no row, but count for the mean. Point_ids name points.
+
+    No pairs are written out: a block of points adds the sums of the nodes of the tree that are within radius as a whole, and is
+    compared with the blocks at the edge only."""
+    p = finite_points(areas).select(F.col("file_id").cast("long").alias("file_id"), "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("area").cast("double").alias("area"))
+    # null areas count as cells without area; a file with null areas only has no sum
+    sums = (F.count("*").alias("w"), F.sum(F.coalesce("area", F.lit(0.0))).alias("s"), F.count("area").alias("m"))
+    places = materialize(p.groupBy("file_id", "x", "y").agg(*sums).withColumn("v", F.monotonically_increasing_id()), "places")
+    blocks = blocks_of(places, IN_BLOCK)
+    inside, near = blocks.close(radius)
+    own = blocks.places.select("file_id", "block", "v", "x", "y", "w", "s", "m")
+    of = [F.sum(c).alias(c) for c in "wsm"]
+
+    def added(c: dict[str, np.ndarray]) -> dict:
+        within = (_apart(c) <= radius).astype(np.float64)
+        some = np.flatnonzero(within.any(axis=1))
+        return {"v": c["a_v"][some]} | {k: (within @ c[f"b_{k}"].astype(np.float64))[some] for k in "wsm"}
+
+    at_edge = _pairs_of_blocks(near, own.select("file_id", "block", "v", "x", "y"), own.drop("v"), added, "v long, w double, s double, m double")
+    whole = own.select("v", F.lit(0.0).alias("w"), F.lit(0.0).alias("s"), F.lit(0.0).alias("m")).limit(0)
+    for depth in [r.level for r in inside.select("level").distinct().collect()]:  # none where no block is near as a whole
+        nodes = at_level(own, depth).groupBy("file_id", "level", "node").agg(*of)
+        of_block = inside.join(nodes, ["file_id", "level", "node"]).groupBy("file_id", F.col("a").alias("block")).agg(*of)
+        whole = whole.unionByName(own.select("file_id", "block", "v").join(of_block, ["file_id", "block"]).select("v", *[F.col(c).cast("double").alias(c) for c in "wsm"]))
+    ring = at_edge.unionByName(whole).groupBy("v").agg(*of).select("v", (F.col("w") / F.nullif(F.when(F.col("m") > 0, F.col("s")), F.lit(0.0))).alias("ring"))
+    mean = areas.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.avg("area").alias("mean"))
+    of_place = places.select("file_id", "x", "y", "v").join(ring, "v").join(mean, "file_id").select("file_id", "x", "y", (F.col("ring") * F.col("mean")).alias("density"))
+    return p.join(of_place, ["file_id", "x", "y"]).select(*POINT, "density")
+
+
 def points_in_mask(points: DataFrame, mask: DataFrame, pixel_size: float = 1.0) -> DataFrame:
     """Points (file_id, point_id, x, y) whose pixel of the mask (file_id, row, col from 0, inside) is inside: the raster
     form of a mask, an equi-join on the pixel. Points off the mask and without coordinates are outside."""
