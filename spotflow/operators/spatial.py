@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spotflow.operators.blocks import SIZE, at_level, blocks_of, box_distance, dealt, spread
 from spotflow.operators.components import connected_components, smallest_reachable
 from spotflow.operators.ordered import ordinals
+from spotflow.operators.within import turns
 from spotflow.session import materialize
 
 #: Full width at half maximum of a normal distribution, in standard deviations.
@@ -255,6 +256,56 @@ def knn_distance(points: DataFrame, k: int) -> DataFrame:
     return p.join(done, ["file_id", "x", "y"], "left").select(*POINT, "distance")
 
 
+def nearest_points(points: DataFrame, radius: float, k: int) -> DataFrame:
+    """file_id, point_id, other and distance: for every row the k nearest points of the file at most radius away, itself
+    included; of those as far the smallest ids, null last. Points without coordinates have none. ids are whole numbers.
+
+    Only the k smallest ids of a position can be among the nearest of any point, and rows at a position share their
+    nearest. Positions look through their own block, then through the blocks that their k-th distance reaches; no pairs are listed.
+    """
+    last = np.iinfo(np.int64).max
+    p = finite_points(points.filter("file_id IS NOT NULL")).select(F.col("file_id").cast("long").alias("file_id"), F.coalesce(F.col("point_id").cast("long"), F.lit(last)).alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p, place = materialize(p, "points"), ["file_id", "x", "y"]
+    low = p.withColumn("_i", F.row_number().over(Window.partitionBy(*place).orderBy("point_id"))).filter(F.col("_i") <= k)
+    places = materialize(low.groupBy(*place).agg(F.collect_list("point_id").alias("ids")), "places")
+    blocks = blocks_of(places, max(SIZE, 2 * k))
+    kinds = "file_id long, x double, y double, d array<double>, w array<long>"
+
+    def search(asks: pa.Table, own: pa.Table) -> pa.Table:
+        qx, qy = (asks.column(c).to_numpy() for c in ("x", "y"))
+        ids = own.column("ids").combine_chunks()
+        of = np.repeat(np.arange(len(own)), ids.value_lengths().to_numpy())
+        ex, ey, who = own.column("x").to_numpy()[of], own.column("y").to_numpy()[of], ids.flatten().to_numpy()
+        d, w, n = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for at in range(0, len(qx), SIZE):
+            dx, dy = qx[at : at + SIZE, None] - ex, qy[at : at + SIZE, None] - ey
+            apart = np.sqrt(dx * dx + dy * dy)
+            most = np.partition(apart, k - 1, axis=1)[:, k - 1 : k] if len(ex) > k else np.inf
+            i, j = np.nonzero(apart <= np.minimum(most, radius))
+            far = apart[i, j]
+            order = np.lexsort((who[j], far, i))
+            order = order[turns(i[order]) < k]
+            d.append(far[order])
+            w.append(who[j[order]])
+            n.append(np.bincount(i[order], minlength=len(dx)))
+        ends = pa.array(np.cumsum(np.concatenate(n)), pa.int32())
+        return pa.table({"file_id": asks.column("file_id"), "x": qx, "y": qy, "d": pa.ListArray.from_arrays(ends, np.concatenate(d)), "w": pa.ListArray.from_arrays(ends, np.concatenate(w))})
+
+    within = lambda own: search(own, own).append_column("block", own.column("block"))
+    first = materialize(spread(blocks.places, "file_id", "block").groupBy("file_id", "block").applyInArrow(within, kinds + ", block long"), "within")
+    bound = F.when(F.size("d") >= k, F.element_at("d", -1)).otherwise(float(radius))
+    asks = first.select(*place, bound.alias("bound"), F.col("block").alias("_own")).filter("bound > 0")
+    asks = blocks.meet(asks, lambda: box_distance(F.col("x"), F.col("y")) <= F.col("bound") * (1 + 1e-12)).filter("block <> _own")
+    left, right = dealt(materialize(asks.select(*place, "block"), "asks"), blocks.places)
+    keys = ("file_id", "block", "part")
+    right = right.select(*keys, "x", "y", "ids").toDF(*[f"o_{c}" for c in keys], "x", "y", "ids")
+    more = spread(left, *keys).groupBy(*keys).cogroup(spread(right, *right.columns[:3]).groupBy(*right.columns[:3])).applyInArrow(search, kinds)
+    every = first.drop("block").unionByName(more).select(*place, F.explode(F.arrays_zip("d", "w")).alias("l")).select(*place, F.col("l.d").alias("distance"), F.col("l.w").alias("other"))
+    best = every.withColumn("_i", F.row_number().over(Window.partitionBy(*place).orderBy("distance", "other"))).filter(F.col("_i") <= k)
+    known = lambda c: F.nullif(F.col(c), F.lit(last)).alias(c)
+    return p.join(best.hint("merge"), place).select("file_id", known("point_id"), known("other"), "distance")
+
+
 def line_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance of points from the foot that the reference formula gives for a line through two points: the
     foot's share of the line is divided by the squared 2-norm of the matrix of the two points, not by the
